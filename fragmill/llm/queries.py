@@ -91,5 +91,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op5_url_filters, op6_bpe, op8_html_text, op10_language_id)}
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chosen_path import similarity_join
+
+    return similarity_join(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_ngram_join, op5_url_filters, op6_bpe, op7_line_dedup, op8_html_text, op10_language_id)}
 ORACLES = {"op5_url_filters": OP5_SQL}
