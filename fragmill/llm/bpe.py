@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import by_bytes
-from .token_memo import ChunkEncoder, byte_pieces, cut_byte_level
+from .token_memo import ChunkEncoder, after_space, byte_pieces, cut_byte_level
 
 #: Fixed value: the pre-token pattern of byte-level tokenizers.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -206,7 +206,7 @@ class Bpe:
 def bpe_encoder(path: str) -> tuple[Bpe, ChunkEncoder]:
     """A worker's encoder; what pre-tokens encode to is remembered between batches, in a bounded memo."""
     bpe = Bpe(path)
-    return bpe, ChunkEncoder(cut_byte_level, " ", byte_pieces, bpe.encode_pieces, bpe.whole)
+    return bpe, ChunkEncoder(cut_byte_level, after_space, byte_pieces, bpe.encode_pieces, bpe.whole)
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFrame:

@@ -62,7 +62,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches into slices whose text column holds about limit bytes, so that long texts stay few at a time."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

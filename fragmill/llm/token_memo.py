@@ -22,70 +22,83 @@ BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?
 WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Chunks that the two patterns above cut as the tokenizers do.
 PLAIN_BYTE, PLAIN_WORD = re.compile(r"[\n -~À-ÿ]*"), re.compile(r"[!-~À-ÿ]*")
-SPACE_RUN, CHUNKS, SEPARATORS = re.compile(r" \s"), re.compile(r"\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
+PLAIN_TEXT, MARKS = re.compile(r"[\t\n\r !-&(-~À-ÿ]*"), re.compile(r"[^\sa-zß-öø-ÿ0-9]+")
+SPACE_RUN, SEPARATORS = re.compile(r" \s"), re.compile("[\x1c-\x1f]")
 
 
 class Memo:
-    """A dictionary of at most 2 * limit entries: when the young half is full it becomes the old half."""
+    """A dictionary of about 2 * limit entries: when the young half is full it becomes the old half."""
 
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def get(self, key: str) -> bytes | None:
-        if (found := self.young.get(key)) is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key: str, value: bytes) -> None:
+    def find(self, keys: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """What is known of the keys, and the keys that aren't."""
+        young, old, found, missing = self.young, self.old, {}, []
+        for key in keys:
+            value = young.get(key)
+            if value is None:
+                value = old.get(key)
+                if value is None:
+                    missing.append(key)
+                    continue
+                young[key] = value
+            found[key] = value
+        return found, missing
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        """Remembers new entries; long keys aren't kept."""
+        self.young.update(new if max(map(len, new), default=0) <= LONG else {k: v for k, v in new.items() if len(k) <= LONG})
         if len(self.young) >= self.limit:
             self.young, self.old = {}, self.young
-        self.young[key] = value
+
+
+#: Keys of more characters aren't remembered.
+LONG = 200
 
 
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.
 
-    cut(text) -> (first chunk, other chunks); others get prefix put before them when they are encoded.
+    cut(text) -> (first chunk, other chunks); text_of(chunk) is the text that one of the others stands for.
     pieces(chunk) -> its pre-tokens, or None if the chunk must be encoded whole, by whole(chunk).
     encode_pieces(pieces) -> the ids of each, as bytes.
     """
 
-    def __init__(self, cut: Callable, prefix: str, pieces: Callable, encode_pieces: Callable, whole: Callable, limit: int = 400_000):
-        self.cut, self.prefix, self.pieces, self.encode_pieces, self.whole = cut, prefix, pieces, encode_pieces, whole
-        self.memo = Memo(limit)
+    def __init__(self, cut: Callable, text_of: Callable, pieces: Callable, encode_pieces: Callable, whole: Callable, limit: int = 600_000):
+        self.cut, self.text_of, self.pieces, self.encode_pieces, self.whole = cut, text_of, pieces, encode_pieces, whole
+        self.after, self.first, self.parts = Memo(limit), Memo(limit // 8), Memo(limit // 4)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self.cut(t) for t in texts]
-        known = self._known(set().union(*(rest for _, rest in cuts)), self.prefix)
-        first = self._known({f for f, _ in cuts}, "")
+        known = self._known(self.after, set().union(*(rest for _, rest in cuts)), self.text_of)
+        first = self._known(self.first, {f for f, _ in cuts}, str)
         return [b"".join([first[f], *map(known.__getitem__, rest)]) for f, rest in cuts]
 
-    def _known(self, chunks: set[str], prefix: str) -> dict[str, bytes]:
-        """A piece encodes alone as it does in a chunk, so one memo serves both."""
-        get, put = self.memo.get, self.memo.put
-        out, new, parts = {}, [], {}
-        for c in chunks:
-            key = prefix + c
-            if (found := get(key)) is not None:
-                out[c] = found
-                continue
-            new.append((c, key, pieces := self.pieces(key)))
-            parts.update(dict.fromkeys(pieces or ()))
-        missing = [p for p in parts if (found := get(p)) is None or parts.__setitem__(p, found)]
-        for p, ids in zip(missing, self.encode_pieces(missing) if missing else (), strict=True):
-            parts[p] = ids
-            if len(p) <= 200:
-                put(p, ids)
-        for c, key, pieces in new:
-            if pieces is None or len(pieces) != 1:
-                out[c] = self.whole(key) if pieces is None else b"".join(map(parts.__getitem__, pieces))
-                if len(key) <= 200:
-                    put(key, out[c])
+    def _known(self, memo: Memo, chunks: set[str], text_of: Callable) -> dict[str, bytes]:
+        known, missing = memo.find(chunks)
+        if not missing:
+            return known
+        new, cuts, several, alone = {}, {}, set(), {}
+        for c in missing:
+            pieces = self.pieces(text_of(c))
+            if pieces is None:
+                new[c] = self.whole(text_of(c))
+            elif len(pieces) == 1:
+                alone[c] = pieces[0]  # such a chunk is remembered as a chunk only
             else:
-                out[c] = parts[pieces[0]]
-                if key != pieces[0] and len(key) <= 200:
-                    put(key, out[c])
-        return out
+                cuts[c] = pieces
+                several.update(pieces)
+        parts, unknown = self.parts.find(several)
+        wanted = list(dict.fromkeys([*unknown, *alone.values()]))
+        found = dict(zip(wanted, self.encode_pieces(wanted) if wanted else (), strict=True))
+        self.parts.keep({p: found[p] for p in unknown})
+        parts |= found
+        new |= {c: parts[p] for c, p in alone.items()}
+        new |= {c: b"".join(map(parts.__getitem__, pieces)) for c, pieces in cuts.items()}
+        memo.keep(new)
+        known |= new
+        return known
 
 
 def cut_byte_level(text: str) -> tuple[str, list[str]]:
@@ -96,13 +109,23 @@ def cut_byte_level(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+def after_space(chunk: str) -> str:
+    """The text of a byte-level chunk that isn't the first."""
+    return " " + chunk
+
+
 def byte_pieces(chunk: str) -> list[str] | None:
     """Pre-tokens of a byte-level chunk, or None where the chunk is not plain."""
     return BYTE_PIECES.findall(chunk) if "<|" not in chunk and PLAIN_BYTE.fullmatch(chunk) else None
 
 
 def cut_words(text: str) -> tuple[str, list[str]]:
-    """Cuts at white space, which the word tokenizer drops; the separators U+001C to U+001F aren't white space to it."""
+    """Cuts at white space, which the word tokenizer drops; the separators U+001C to U+001F aren't white space to it.
+
+    In a text of plain characters without apostrophes, which begin contractions, letter case and what stands beside runs of
+    marks don't matter, so it is lower-cased and cut around those runs too."""
+    if PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+        return "", MARKS.sub(r" \g<0> ", text.lower()).split()
     return (text, []) if SEPARATORS.search(text) else ("", text.split())
 
 
@@ -142,7 +165,7 @@ def byte_level_library(path: str) -> ChunkEncoder:
                 out.update((p, data[4 * (a + 1) : 4 * b]) for p, a, b in zip(part, bounds, bounds[1:], strict=False))
         return [out[p] if p in out else whole(p) for p in pieces]
 
-    return ChunkEncoder(cut_byte_level, " ", byte_pieces, many, whole)
+    return ChunkEncoder(cut_byte_level, after_space, byte_pieces, many, whole)
 
 
 @functools.lru_cache(maxsize=4)
@@ -174,4 +197,4 @@ def word_library(path: str) -> ChunkEncoder:
                 out += map(whole, part)
         return out
 
-    return ChunkEncoder(cut_words, "", word_pieces, many, whole)
+    return ChunkEncoder(cut_words, str, word_pieces, many, whole)
