@@ -59,7 +59,8 @@ def best_records(records: DataFrame, order: str = "ordinal") -> DataFrame:
     The comparison of collector numbers is no total order where numbers and other texts mix, so a plain minimum would be
     wrong; the fold of a group is over its own records only."""
     fields = [c for c in records.columns if c != order]
-    groups = records.groupBy("oracle_id").agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("r")))).alias("all"))
+    earlier = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)
+    groups = records.groupBy("oracle_id").agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("r"))), earlier).alias("all"))
     ordered = F.transform("all", lambda x: x["r"])
     fold = F.aggregate(F.slice(ordered, F.lit(2), F.size(ordered)), F.element_at(ordered, 1), lambda now, new: F.when(_better(now, new), new).otherwise(now))
     return groups.select(fold.alias("best")).select("best.*")
