@@ -23,6 +23,7 @@ WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-
 #: Chunks that the two patterns above cut as the tokenizers do.
 PLAIN_BYTE, PLAIN_WORD = re.compile(r"[\n -~À-ÿ]*"), re.compile(r"[!-~À-ÿ]*")
 PLAIN_TEXT, MARKS = re.compile(r"[\t\n\r !-&(-~À-ÿ]*"), re.compile(r"[^\sa-zß-öø-ÿ0-9]+")
+NO_SPACE, RUNS, SPACE_MARK = "\x01", re.compile(r"[^ A-Za-z0-9À-ÖØ-öø-ÿ]+"), re.compile(r" (?:[^A-Za-z0-9À-ÖØ-öø-ÿ]|\Z)")
 SPACE_RUN, SEPARATORS = re.compile(r" \s"), re.compile("[\x1c-\x1f]")
 
 
@@ -102,8 +103,14 @@ class ChunkEncoder:
 
 
 def cut_byte_level(text: str) -> tuple[str, list[str]]:
-    """Cuts before single spaces.  In a text with longer white space the first chunk is the whole text."""
-    if SPACE_RUN.search(text):
+    """Cuts before single spaces.  In a text with longer white space the first chunk is the whole text.
+
+    A text of plain characters is also cut around runs of marks and line ends, which no pre-token crosses if nothing in it
+    could join them: no apostrophe, no mark after a space, no empty line.  A chunk that doesn't follow a space begins with NO_SPACE."""
+    if PLAIN_BYTE.fullmatch(text) and "'" not in text and "<|" not in text and "\n\n" not in text and not SPACE_MARK.search(text):
+        first, *rest = RUNS.sub(f" {NO_SPACE}\\g<0> {NO_SPACE}", text).split(" ")
+        return first, rest
+    if NO_SPACE in text or SPACE_RUN.search(text):
         return text, []
     first, *rest = text.split(" ")
     return first, rest
@@ -111,7 +118,7 @@ def cut_byte_level(text: str) -> tuple[str, list[str]]:
 
 def after_space(chunk: str) -> str:
     """The text of a byte-level chunk that isn't the first."""
-    return " " + chunk
+    return chunk[1:] if chunk[:1] == NO_SPACE else " " + chunk
 
 
 def byte_pieces(chunk: str) -> list[str] | None:
