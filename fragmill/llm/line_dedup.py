@@ -1,8 +1,10 @@
 """Line dedup by pairwise alignment.
 
 Documents overlap where they share a line.  Every line of a later document is matched with the same line of the earliest
-document that has it, occurrence by occurrence, so there are never more matches than lines: a rare line gives its few
-overlapping pairs, and a line that thousands of documents share gives one match each, with its first holder, not all pairs.
+document that has it, so there are never more matches than lines: a rare line gives its few overlapping pairs, and a line
+that thousands of documents share gives one match each, with its first holder, not all pairs.  A line of fewer than min_words
+words says little alone, so it is matched by its surroundings: the shortest runs of lines, backward and forward from it, that
+have min_words words.
 The matches of a pair of documents are then aligned as patience diff does: lines that are unique in both documents are the
 anchors, their longest common increasing sequence is kept, and the other matches fill the gaps between anchors; what
 crosses the alignment is aligned in a further pass, so that moved blocks are found too.  Blocks of consecutive aligned lines
@@ -11,14 +13,14 @@ with at least min_words words are deleted from the later document.
 Lines are compared without the white space around them; blank lines are kept out of matching.  Earlier means a smaller
 doc_id, then a smaller hash of the text; a null doc_id comes last.  Edge cases: a null text stays null; rows equal in doc_id
 and text are one document and are treated alike; a document whose lines are all deleted keeps an empty text; repeated lines
-within one document stay; an empty table gives no rows; other columns are returned as they are, but for input columns named
+within one document stay, but where an earlier document has the line, every repetition goes; an empty table gives no rows; other columns are returned as they are, but for input columns named
 like an output column, which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,37 +38,53 @@ def document_keys() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th")]
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, th, at, line, nth, words, alone): place among the lines that aren't blank, hash, occurrence in the document,
-    number of words, and whether the line occurs once in it."""
+def units(lines: list[str], min_words: int) -> list[tuple[int, str, int]]:
+    """(place, text, words) of what is matched: a line by itself, or the runs around a short line."""
+    counts, out = [len(x.split()) for x in lines], []
+    for at, n in enumerate(counts):
+        if n >= min_words:
+            out.append((at, lines[at], n))
+            continue
+        for step in (-1, 1):
+            end, total = at, n
+            while total < min_words and 0 <= end + step < len(lines):
+                end += step
+                total += counts[end]
+            if total >= min_words:
+                first, last = min(at, end), max(at, end)
+                out.append((at, f"{step}\0" + "\n".join(lines[first : last + 1]), total))
+    return out
+
+
+def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc, th, at, line, words, alone): place among the lines that aren't blank, hash of what is matched there, its number of
+    words, and whether it occurs once in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             rows: list[tuple] = []
             for doc, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text")), strict=True):
-                lines = [x for line in text.split("\n") if (x := line.strip())]
-                total, seen = Counter(lines), Counter()
-                for at, line in enumerate(lines):
-                    nth = seen[line]
-                    seen[line] += 1
-                    rows.append((doc, th, at, hashlib.blake2b(line.encode(), digest_size=16).digest(), nth, line.count(" ") + 1, total[line] == 1))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
+                found = units([x for line in text.split("\n") if (x := line.strip())], min_words)
+                total = Counter(u[1] for u in found)
+                rows += [(doc, th, at, hashlib.blake2b(unit.encode(), digest_size=16).digest(), words, total[unit] == 1) for at, unit, words in found]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "th", "at", "line", "nth", "words", "alone"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "th", "at", "line", "words", "alone"])
 
-    return docs.mapInArrow(run, "doc long, th long, at int, line binary, nth int, words int, alone boolean")
+    return docs.mapInArrow(run, "doc long, th long, at int, line binary, words int, alone boolean")
 
 
-def longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest subsequence of pairs, sorted by their first number, whose second numbers rise."""
+def longest_rise(pairs: list[tuple[int, int]], level: bool = False) -> list[tuple[int, int]]:
+    """The longest subsequence of pairs, sorted by their first number, whose second numbers rise, or don't fall if level."""
+    place = bisect_right if level else bisect_left
     ends: list[int] = []
     last: list[int] = []
     back = [-1] * len(pairs)
     for k, (_, b) in enumerate(pairs):
-        i = bisect_left(ends, b)
+        i = place(ends, b)
         back[k] = last[i - 1] if i else -1
-        ends[i:] = [b, *ends[i + 1 :]] if i < len(ends) else [b]
-        last[i:] = [k, *last[i + 1 :]] if i < len(last) else [k]
+        ends[i : i + 1] = [b]
+        last[i : i + 1] = [k]
     out, k = [], last[-1] if last else -1
     while k >= 0:
         out.append(pairs[k])
@@ -75,20 +93,22 @@ def longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def align(matches: list[tuple[int, int, bool]]) -> list[list[tuple[int, int]]]:
-    """Alignments, pass by pass, of matches (place in the later document, place in the earlier one, unique in both)."""
+    """Alignments, pass by pass, of matches (place in the later document, place in the earlier one, unique in both).  After the
+    first pass a place of the earlier document may be met again, by repetitions in the later one."""
     left, passes = sorted(matches), []
     while left:
-        anchors = longest_rise([(a, b) for a, b, unique in left if unique])
+        level = bool(passes)
+        anchors = longest_rise([(a, b) for a, b, unique in left if unique], level)
         found, bounds = list(anchors), [(-1, -1), *anchors, (LAST, LAST)]
         others = [(a, b) for a, b, unique in left if not unique]
         k = 0
         for (a0, b0), (a1, b1) in zip(bounds, bounds[1:], strict=False):
             gap = []
             while k < len(others) and others[k][0] < a1:
-                if others[k][0] > a0 and b0 < others[k][1] < b1:
+                if others[k][0] > a0 and (b0 <= others[k][1] <= b1 if level else b0 < others[k][1] < b1):
                     gap.append(others[k])
                 k += 1
-            found += longest_rise(gap)
+            found += longest_rise(gap, level)
         taken = set(found)
         passes.append(sorted(found))
         left = [m for m in left if m[:2] not in taken]
@@ -113,10 +133,10 @@ def deleted_places(matches: list[tuple[int, int, bool, int]], min_words: int) ->
 
 def find_deletions(lines: DataFrame, min_words: int) -> DataFrame:
     """(doc, th, places): the lines to delete from each later document."""
-    first = lines.groupBy("line", "nth").agg(F.min(F.struct("doc", "th", "at", "alone")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = settle(first.select("line", "nth", F.col("first.doc").alias("doc0"), F.col("first.th").alias("th0"), F.col("first.at").alias("at0"), F.col("first.alone").alias("alone0")), "first-lines")
+    first = lines.groupBy("line").agg(F.min(F.struct("doc", "th", "at", "alone")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = settle(first.select("line", F.col("first.doc").alias("doc0"), F.col("first.th").alias("th0"), F.col("first.at").alias("at0"), F.col("first.alone").alias("alone0")), "first-lines")
     # a line that very many documents hold makes a large join key; the adaptive skew join splits it
-    matched = lines.join(first, ["line", "nth"]).where("doc <> doc0 or th <> th0")
+    matched = lines.join(first, "line").where("doc <> doc0 or th <> th0")
     matched = matched.select("doc", "th", "doc0", "th0", "at", "at0", (F.col("alone") & F.col("alone0")).alias("unique"), "words")
     ordered = matched.repartition("doc", "th").sortWithinPartitions("doc", "th", "doc0", "th0", "at")
 
@@ -156,7 +176,7 @@ def find_deletions(lines: DataFrame, min_words: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
     """docs with the deleted lines taken out of text, and n_lines and n_deleted, which count the lines that aren't blank."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    lines = settle(lines_of(docs.where(F.col("text").isNotNull()).select(*document_keys(), "text")), "lines")
+    lines = settle(lines_of(docs.where(F.col("text").isNotNull()).select(*document_keys(), "text"), min_words), "lines")
     places = find_deletions(lines, min_words)
     row = F.struct(*names).alias("row")
     joined = docs.select(row, *document_keys()).join(places, ["doc", "th"], "left").select("row.*", F.col("places").alias("_places"))
