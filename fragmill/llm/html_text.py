@@ -182,7 +182,10 @@ def main_text(page: str) -> str:
             parts.append((tag_scores[item[1]], False, item[2], False))
         else:
             score = float(word_weights[list(features(item[2], item[3], has_article))].sum())
-            parts.append((score * len(item[1].split()), True, item[1], bool(item[2]) and score < 0))
+            left_out = bool(item[2]) and score < 0
+            # what is left out anyway counts like a tag or two, so that an advert doesn't cut an article in two
+            total = score * len(item[1].split())
+            parts.append((max(total, -1.0) if left_out else total, True, item[1], left_out))
     best = total = 0.0
     region, start = (0, 0), 0
     for k, part in enumerate(parts):
