@@ -92,7 +92,7 @@ def route(classes: DataFrame, trees: int, depth: int, sample_vectors: int, spill
     spark = classes.sparkSession
     sample = [np.frombuffer(r["vector"]) for r in classes.orderBy(F.xxhash64("key"), "key").limit(sample_vectors).select("vector").collect()]
     size = max({len(v) for v in sample}, key=lambda d: (sum(len(v) == d for v in sample), d), default=0)
-    grid = np.array([v for v in sample if len(v) == size]).reshape(-1, size)
+    grid = np.array([v for v in sample if len(v) == size]).reshape(sum(len(v) == size for v in sample), size)
     # at most trees * 2 ** depth directions, both parameters
     forest = spark.sparkContext.broadcast([Tree(grid, depth, seed) for seed in range(trees)])
 
@@ -101,7 +101,7 @@ def route(classes: DataFrame, trees: int, depth: int, sample_vectors: int, spill
             found = read_vectors(batch.column("vector"))
             fits = np.array([len(v) == size for v in found], dtype=bool)
             rows, nodes = [np.flatnonzero(~fits)], [np.array([-len(v) for v in found], dtype=np.int64)[~fits]]
-            vectors, place = np.array([v for v in found if len(v) == size]).reshape(-1, size), np.flatnonzero(fits)
+            vectors, place = np.array([v for v in found if len(v) == size]).reshape(int(fits.sum()), size), np.flatnonzero(fits)
             for k, tree in enumerate(forest.value):
                 r, leaf = tree.leaves(vectors, spill)
                 rows.append(place[r])
