@@ -51,7 +51,7 @@ class Filters:
     categories: tuple[str, ...] = ()
     colors: str = ""
     color_feature: str = "identity"
-    color_mode: str = "at_most"
+    color_mode: str = "at_least"
     cmc_min: float | None = None
     cmc_max: float | None = None
     formats: tuple[str, ...] = ()
@@ -80,6 +80,12 @@ def decode_codes(codes: str, table: Mapping[str, str], what: str) -> list[str]:
     return [table[c] for c in codes]
 
 
+def encode_codes(values: Iterable[str], table: Mapping[str, str]) -> str:
+    """The letters of known values, each once."""
+    letters = {value: code for code, value in table.items()}
+    return "".join(dict.fromkeys(letters[v] for v in values if v in letters))
+
+
 def fragment_numbers(text: str) -> list[int]:
     """Comma-separated fragment numbers, sorted and distinct."""
     try:

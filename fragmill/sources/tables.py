@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.tokens import query_lines
+
 FACE = "name string, mana_cost string, type_line string, oracle_text string, power string, toughness string, loyalty string, defense string, colors array<string>, color_indicator array<string>, image_uris map<string,string>, artist string, flavor_text string, cmc double"
 
 
@@ -52,6 +54,15 @@ def query_pairs(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return texts.join(cache.select(F.col("hash").alias("text_hash"), "queries"), "text_hash").select(F.explode("queries").alias("query"), "text")
 
 
+def recover_queries(pairs: DataFrame, triplets: DataFrame, anchors: DataFrame, llm: str) -> DataFrame:
+    """Cache rows from old pairs (anchor, text, pos): those whose anchor is neither a tag's nor a triplet's, by text."""
+    known = triplets.select("anchor").union(anchors.select("anchor")).distinct()
+    own = pairs.join(known, "anchor", "left_anti").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", "anchor"))).alias("all"))
+    queries = query_lines(F.array_join(F.transform("all", lambda x: x["anchor"]), "\n"))
+    rows = own.select(F.sha2("text", 256).alias("hash"), "text", queries.alias("queries"), F.lit(llm).alias("llm"))
+    return rows.where(F.size("queries") > 0)
+
+
 def to_generate(texts: DataFrame, cache: DataFrame, limit: int) -> DataFrame:
     """The first texts by hash that have no cached queries."""
     return texts.join(cache.select(F.col("hash").alias("text_hash")), "text_hash", "left_anti").orderBy("text_hash").limit(limit)
