@@ -202,7 +202,7 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, brute_forc
     return edges
 
 
-def exact_links(docs: DataFrame, members: DataFrame, n: int, threshold: float, block_sets: int = 512, block_hashes: int = 500_000) -> DataFrame:
+def exact_links(docs: DataFrame, members: DataFrame, n: int, threshold: float, block_sets: int = 256, block_hashes: int = 500_000) -> DataFrame:
     """Compares all sets of a cluster exactly, in pairs of blocks.
 
     docs has doc, th and text; members has doc, th, set, size, m (documents with the set) and cluster.  Gives rows
@@ -271,7 +271,8 @@ def _compare_blocks(group: tuple | None, rows: list, threshold: float) -> list[t
         if seen_left[k]:
             continue
         seen_left[k] = True
-        seen_right[k] |= same
+        if same:
+            seen_right[k] = True
         front = [(0, k)]
         while front:
             side, x = front.pop()
