@@ -20,7 +20,7 @@ CATEGORY_CODES = {"c": "creature", "i": "instant", "s": "sorcery", "e": "enchant
 FORMAT_CODES = {"s": "standard", "p": "pioneer", "m": "modern", "l": "legacy", "v": "vintage", "c": "commander", "u": "pauper"}
 RARITY_CODES = {"c": "common", "u": "uncommon", "r": "rare", "m": "mythic"}
 QUERY_TYPE_LINES = ["Creature", "Land", "Artifact", "Planeswalker", "Enchantment", "Instant", ""]
-DOUBLE_SIDED = ["transform", "modal_dfc", "double_faced_token", "art_series", "reversible_card"]
+DOUBLE_SIDED = ["transform", "modal_dfc", "meld", "double_faced_token", "art_series"]
 ABILITY_WORD = r"(?m)^\s*([A-Za-z][A-Za-z' -]{1,40}?)\s+[—-]\s+"
 KEYS = ["entity_id", "facet_ix"]
 HIT_COLUMNS = ["entity_id", "record_id", "facet_ix", "image_side", "name", "entity_name", "similarity", "matched", "rank", "type_line", "mana_cost", "text", "power", "toughness", "colors", "layout", "rarity", "legalities", "border_color", "set_code"]
