@@ -13,8 +13,8 @@ with at least min_words words are deleted from the later document.
 Lines are compared without the white space around them; blank lines are kept out of matching.  Earlier means a smaller
 doc_id, then a smaller hash of the text; a null doc_id comes last.  Edge cases: a null text stays null; rows equal in doc_id
 and text are one document and are treated alike; a document whose lines are all deleted keeps an empty text; repeated lines
-within one document stay, but where an earlier document has the line, every repetition goes; an empty table gives no rows; other columns are returned as they are, but for input columns named
-like an output column, which are replaced.
+within one document stay, but where an earlier document has the line, every repetition goes; an empty table gives no rows;
+other columns are returned as they are, but for input columns named like an output column, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from .shared import by_bytes, settle
 
 LAST = 2**63 - 1
+MAX_PASSES = 16
 
 
 def document_keys() -> list[Column]:
@@ -97,6 +98,8 @@ def align(matches: list[tuple[int, int, bool]]) -> list[list[tuple[int, int]]]:
     first pass a place of the earlier document may be met again, by repetitions in the later one."""
     left, passes = sorted(matches), []
     while left:
+        if len(passes) == MAX_PASSES:  # what is as scattered as that is aligned match by match
+            return passes + [[m[:2]] for m in left]
         level = bool(passes)
         anchors = longest_rise([(a, b) for a, b, unique in left if unique], level)
         found, bounds = list(anchors), [(-1, -1), *anchors, (LAST, LAST)]
