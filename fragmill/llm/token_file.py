@@ -4,8 +4,8 @@ The id lists are written dictionary-free with the second data page version, so t
 columns keep dictionary or delta encoding.  Row groups and pages have set sizes, and each file carries the page indexes, so
 a reader can fetch the metadata columns alone or the token pages of a doc_id range alone.
 
-Files are cut at quantiles of doc_id, so file k holds smaller ids than file k + 1, and a row's place among all ids is its
-file's offset (a sum over the metadata of earlier files) plus its place in the file, which the row carries.
+Files are ranges of doc_id, so file k holds smaller ids than file k + 1, and a row's place among all ids is its file's offset
+(a sum over the metadata of earlier files) plus its place in the file, which the row carries.
 
 Edge cases: a null text counts as empty and has the end id only; null doc_ids come first; rows with equal doc_id are kept, in
 the order of their text; an empty table gives no rows; other columns are not written.
@@ -38,11 +38,7 @@ def write_token_files(
     """Encodes every text with the tokenizer file, appends end_id, and writes the files below path."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n_files = max(1, round(docs.count() / rows_per_file))
-    shares = [k / n_files for k in range(1, n_files)]
-    bounds = sorted({b for b in docs.agg(F.percentile_approx("doc_id", shares or [0.5], 100 * n_files)).first()[0] or ()}) if shares else []
-    part = F.size(F.filter(F.lit(bounds).cast("array<bigint>") if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col("doc_id")))
-    ordered = docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
-    ordered = ordered.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
+    ordered = docs.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts, starts = encoder_for(tokenizer), {}
@@ -70,24 +66,30 @@ def write_token_files(
     )
 
 
+def file_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(part, before): the ids in all earlier files; one row per file, from two metadata columns."""
+    totals = spark.read.schema(FILE_SCHEMA).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with start, the number of ids of all documents before them.  Only metadata columns are read for it."""
+    """The files' rows with start, the number of ids of all documents before them."""
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    offsets = totals.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # one row per file: their number is the number of files, which write_token_files sets
-    return rows.join(F.broadcast(offsets.select("part", "before")), "part").withColumn("start", F.col("before") + F.col("local_start"))
+    return rows.join(file_offsets(spark, path), "part").withColumn("start", F.col("before") + F.col("local_start"))
 
 
 def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files.  The ids are digested where they are read, so
+    only a few numbers per document take part in the join with the files' offsets."""
+    names = ["doc_id", "part", "local_start", "n_tokens"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"])
 
-    rows = read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids")
-    return rows.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(FILE_SCHEMA).parquet(path).select(*names, "ids").mapInArrow(digest, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    placed = rows.join(file_offsets(spark, path), "part")
+    return placed.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
