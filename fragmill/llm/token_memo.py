@@ -66,7 +66,7 @@ class ChunkEncoder:
     encode_pieces(pieces) -> the ids of each, as bytes.
     """
 
-    def __init__(self, cut: Callable, text_of: Callable, pieces: Callable, encode_pieces: Callable, whole: Callable, limit: int = 250_000):
+    def __init__(self, cut: Callable, text_of: Callable, pieces: Callable, encode_pieces: Callable, whole: Callable, limit: int = 500_000):
         self.cut, self.text_of, self.pieces, self.encode_pieces, self.whole = cut, text_of, pieces, encode_pieces, whole
         self.after, self.first, self.parts = Memo(limit), Memo(limit // 8), Memo(limit // 4)
 
