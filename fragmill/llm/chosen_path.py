@@ -4,9 +4,12 @@ A document is the set of hashes of its runs of n words (split at white space, lo
 are represented by 64 tokens, the minima of 64 hash functions, which two sets share in each place with a probability equal
 to their similarity.  A run starts with all sets in one node; a node is split by one sampled place, or two with the
 probability that makes a similar pair share 1 / threshold places on average, into one child for each token found there.
-Nodes of at most brute_force sets are compared pair by pair on their tokens; larger ones are split again, and a node that is
-still large at the last level holds sets that agree in as many sampled places, so all of it is taken as alike.  Runs are
-repeated until a pair at the threshold is found with the target recall.
+Nodes of at most brute_force sets are compared pair by pair on their tokens; larger ones are split again.  Every split may part
+a similar pair, so deep nodes need more runs than shallow ones: all sets get the runs that find a pair at the threshold by
+level SHALLOW, and the sets of nodes still large there get runs of their own, as many as level LEVELS needs.  A node that is
+still large at that level holds sets that agree in as many sampled places, so all of it is taken as alike.  A pair is missed
+only if it shares no node at level SHALLOW of the first runs or, being in a large one there, none at level LEVELS of the
+second; each has half of the loss that the target recall leaves.
 
 What the runs find are candidates.  They are joined to clusters, and in each cluster every two sets are compared exactly,
 in blocks of bounded size, so links are exact and also cover pairs of a cluster that no run brought together.
@@ -32,7 +35,7 @@ from .components import components
 from .line_dedup import document_keys
 from .shared import by_bytes, settle
 
-PLACES, LEVELS = 64, 8
+PLACES, SHALLOW, LEVELS = 64, 3, 8
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -93,13 +96,26 @@ def children(nodes: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[n
     return rows, child
 
 
-def runs_needed(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has shared a node at the third level with the target recall."""
-    two, together = 1 / threshold - 1, 1.0
-    for _ in range(3):
-        miss = 1 - threshold * together
+def least_places(threshold: float) -> int:
+    """Places in which two sets must agree to be candidates."""
+    return int(PLACES * threshold - 4 * math.sqrt(PLACES * threshold * (1 - threshold)))
+
+
+def runs_needed(threshold: float, recall: float, level: int) -> int:
+    """Runs after which a pair at the threshold has shared a node at the level with the target recall.  The 64 places are the
+    same in all runs, so it is the mean over the number of places in which such a pair agrees."""
+    two, agree = 1 / threshold - 1, np.arange(least_places(threshold), PLACES + 1)
+    weights = np.array([math.comb(PLACES, k) * threshold**k * (1 - threshold) ** (PLACES - k) for k in agree.tolist()])
+    together = np.ones(len(agree))
+    for _ in range(level):
+        miss = 1 - agree / PLACES * together
         together = 1 - (1 - two) * miss - two * miss * miss
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+    if recall >= weights.sum():
+        raise ValueError("the sketch of 64 places doesn't reach this recall")
+    runs = 1
+    while weights @ (1 - (1 - together) ** runs) < recall:
+        runs += 1
+    return runs
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -138,7 +154,7 @@ def _split(members: DataFrame, threshold: float) -> DataFrame:
 def _compare_small(members: DataFrame, threshold: float) -> DataFrame:
     """Candidate edges (a, b) inside nodes of (node, set, tokens): a spanning star of each group of sets that agree in nearly
     as many places as similar sets do."""
-    least = int(PLACES * threshold - 4 * math.sqrt(PLACES * threshold * (1 - threshold)))
+    least = least_places(threshold)
     ordered = members.repartition("node").sortWithinPartitions("node", "set")
 
     def stars(sets: list[bytes], tokens: list[bytes]) -> list[tuple[bytes, bytes]]:
@@ -179,26 +195,37 @@ def _compare_small(members: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
-def candidate_edges(sets: DataFrame, threshold: float, recall: float, brute_force: int) -> DataFrame:
-    """Edges (a, b) that join all candidates of each cluster, from sets (set, tokens)."""
-    n_runs = runs_needed(threshold, recall)
-    roots = F.explode(F.lit([int(x) for x in mix(np.arange(1, n_runs + 1, dtype=np.uint64)).view(np.int64)]))
+def _search(sets: DataFrame, runs: range, levels: int, threshold: float, brute_force: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (a, b) found in nodes of (set, tokens) down to a level, and (first, set, tokens) of nodes still large there."""
+    roots = F.explode(F.lit([int(x) for x in mix(np.array(runs, dtype=np.uint64)).view(np.int64)]))
     members = _split(sets.select(roots.alias("node"), "set", "tokens"), threshold)
     edges = None
-    for level in range(1, LEVELS + 1):
+    for level in range(1, levels + 1):
         members = settle(members, f"nodes-{level}")
         sizes = settle(members.groupBy("node").agg(F.count("*").alias("n"), F.min("set").alias("first")).where("n > 1"), f"node-sizes-{level}")
         small = members.join(sizes.where(F.col("n") <= brute_force).select("node"), "node")
-        found = _compare_small(small, threshold)
-        large = sizes.where(F.col("n") > brute_force)
-        done = large.isEmpty()
-        if level == LEVELS and not done:
-            found = found.union(members.join(large, "node").where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")))
-        found = settle(found, f"candidates-{level}")
+        found = settle(_compare_small(small, threshold), f"candidates-{level}")
         edges = found if edges is None else edges.union(found)
-        if done:
-            break
-        members = _split(members.join(large.select("node"), "node").select("node", "set", "tokens"), threshold)
+        large = sizes.where(F.col("n") > brute_force)
+        if large.isEmpty():
+            return edges, None
+        members = members.join(large.select("node", "first"), "node")
+        if level < levels:
+            members = _split(members.select("node", "set", "tokens"), threshold)
+    return edges, members.select("first", "set", "tokens")
+
+
+def candidate_edges(sets: DataFrame, threshold: float, recall: float, brute_force: int) -> DataFrame:
+    """Edges (a, b) that join all candidates of each cluster, from sets (set, tokens)."""
+    half = 1 - (1 - recall) / 2
+    n_runs, more_runs = (runs_needed(threshold, half, level) for level in (SHALLOW, LEVELS))
+    edges, large = _search(sets, range(1, n_runs + 1), SHALLOW, threshold, brute_force)
+    if large is not None:
+        crowded = settle(large.select("set", "tokens").dropDuplicates(["set"]), "crowded-sets")
+        found, large = _search(crowded, range(n_runs + 1, n_runs + more_runs + 1), LEVELS, threshold, brute_force)
+        edges = edges.union(found)
+    if large is not None:
+        edges = edges.union(settle(large.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct(), "candidates-large"))
     return edges
 
 
