@@ -97,8 +97,9 @@ def children(nodes: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[n
 
 
 def least_places(threshold: float) -> int:
-    """Places in which two sets must agree to be candidates."""
-    return int(PLACES * threshold - 4 * math.sqrt(PLACES * threshold * (1 - threshold)))
+    """Places in which two sets must agree to be candidates: the mean of a pair at the threshold less six deviations, as no
+    other run or level finds a pair that has fewer."""
+    return int(PLACES * threshold - 6 * math.sqrt(PLACES * threshold * (1 - threshold)))
 
 
 def runs_needed(threshold: float, recall: float, level: int) -> int:

@@ -86,6 +86,14 @@ def test_recall_at_the_deepest_level(spark: SparkSession) -> None:
     assert all(bytes(r["a"])[:-1] == bytes(r["b"])[:-1] for r in edges) and len(edges) >= 0.996 * n
 
 
+def test_pairs_that_agree_in_few_places_are_candidates(spark: SparkSession) -> None:
+    """36 of 64 places is rare for a pair at 0.8, and the same in every run."""
+    left = np.arange(chosen_path.PLACES, dtype=np.uint32)
+    rows = [(1, b"a", left.tobytes()), (1, b"b", np.where(left < 36, left, left + 1000).astype(np.uint32).tobytes())]
+    members = spark.createDataFrame(rows, "node long, set binary, tokens binary")
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in chosen_path._compare_small(members, 0.8).collect()] == [(b"a", b"b")]
+
+
 def test_blocks_cover_all_pairs() -> None:
     rng = np.random.default_rng(1)
     left, right = ([np.unique(rng.integers(0, 30, 20)).astype(np.uint64) for _ in range(n)] for n in (9, 4))
