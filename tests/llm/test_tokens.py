@@ -139,3 +139,14 @@ def test_local_search_empties_bins() -> None:
     bins = [[1, {6: 1, 3: 1}, 1], [1, {5: 1, 3: 1}, 2], [1, {2: 1, 1: 1}, 7]]
     out = packing.local_search(bins, 10, 2)
     assert sum(b[0] for b in out) == 2
+
+
+def test_local_search_goes_on_after_many_equal_bins() -> None:
+    """No step helps the many emptiest bins; the next one can be emptied into those that lack 24 tokens."""
+    bins = [[300_000, {350: 2}, 324], [1, {20: 36}, 304], [36, {1000: 1}, 24]]
+    out = packing.local_search(bins, 1024, 0)
+    held = Counter()
+    for n, b, free in out:
+        assert sum(x * y for x, y in b.items()) + free == 1024
+        held.update({x: n * y for x, y in b.items()})
+    assert held == {350: 600_000, 20: 36, 1000: 36} and sum(b[0] for b in out) == 300_036
