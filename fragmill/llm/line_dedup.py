@@ -3,13 +3,17 @@
 Documents overlap where they share a line.  Every line of a later document is matched with the same line of the earliest
 document that has it, so there are never more matches than lines: a rare line gives its few overlapping pairs, and a line
 that thousands of documents share gives one match each, with its first holder, not all pairs.  A line of fewer than min_words
-words says little alone, so it is matched by its surroundings: the shortest runs of lines, backward and forward from it, that
-have min_words words.
+words says little alone, so it is matched by its surroundings: every shortest run of lines around it, begun at whichever line,
+that has min_words words.
 The matches of a pair of documents are then aligned as patience diff does: lines that are unique in both documents are the
 anchors, their longest common increasing sequence is kept, and the other matches fill the gaps between anchors; what
 crosses the alignment is aligned in a further pass, so that moved blocks are found too.  Blocks of consecutive aligned lines
 with at least min_words words are deleted from the later document.
 
+The alignment doesn't change which lines go: what is matched has min_words words by itself, so it is a block whatever stands
+beside it, and what crosses comes in a further pass.  The result is that of exact dedup: a line goes if it stands in a run of
+consecutive lines, of at least min_words words in all, that an earlier document has too.
+
 Lines are compared without the white space around them; blank lines are kept out of matching.  Earlier means a smaller
 doc_id, then a smaller hash of the text; a null doc_id comes last.  Edge cases: a null text stays null; rows equal in doc_id
 and text are one document and are treated alike; a document whose lines are all deleted keeps an empty text; repeated lines
@@ -40,20 +44,29 @@ def document_keys() -> list[Column]:
 
 
 def units(lines: list[str], min_words: int) -> list[tuple[int, str, int]]:
-    """(place, text, words) of what is matched: a line by itself, or the runs around a short line."""
+    """(place, text, words) of what is matched: a line by itself, or the shortest runs that hold a short line."""
     counts, out = [len(x.split()) for x in lines], []
     for at, n in enumerate(counts):
         if n >= min_words:
             out.append((at, lines[at], n))
             continue
-        for step in (-1, 1):
-            end, total = at, n
-            while total < min_words and 0 <= end + step < len(lines):
-                end += step
-                total += counts[end]
-            if total >= min_words:
-                first, last = min(at, end), max(at, end)
-                out.append((at, f"{step}\0" + "\n".join(lines[first : last + 1]), total))
+        first, last, total = at, at, n
+        while first > 0 and total < min_words:
+            first -= 1
+            total += counts[first]
+        while first <= at:  # the shortest run from each line that still holds this one
+            while total < min_words and last + 1 < len(lines):
+                last += 1
+                total += counts[last]
+            if total < min_words:
+                break
+            while last > at and total - counts[last] >= min_words:
+                total -= counts[last]
+                last -= 1
+            if first == at or total - counts[first] < min_words:
+                out.append((at, f"{at - first}\0" + "\n".join(lines[first : last + 1]), total))
+            total -= counts[first]
+            first += 1
     return out
 
 
@@ -162,7 +175,7 @@ def find_deletions(lines: DataFrame, min_words: int) -> DataFrame:
                         if places:
                             done.append((*now, places))
                         now, places = (doc, th), set()
-                if not matches or matches[-1][0] != at:  # a repeated row brings each line again
+                if not matches or matches[-1][0] != at:  # a repeated row brings each line again, and a short line has several runs
                     matches.append((at, at0, unique, words))
             if len(done) > 1000:
                 yield flush()

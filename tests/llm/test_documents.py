@@ -142,6 +142,17 @@ def test_line_dedup_edges(spark: SparkSession) -> None:
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_short_lines_go_with_every_shared_run() -> None:
+    """A short line goes if a run of shared lines on both of its sides has enough words, as plain search over all runs says."""
+    rng = random.Random(4)
+    for _ in range(300):
+        old, new = ([rng.choice(["a", "b", "c d", "e f", "g h i", "k l m n"]) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        runs = {tuple(old[i:j]) for i in range(len(old)) for j in range(i + 1, len(old) + 1)}
+        wanted = {k for i in range(len(new)) for j in range(i + 1, len(new) + 1) if tuple(new[i:j]) in runs and len(" ".join(new[i:j]).split()) >= 4 for k in range(i, j)}
+        held = {u for _, u, _ in line_dedup.units(old, 4)}
+        assert {at for at, u, _ in line_dedup.units(new, 4) if u in held} == wanted
+
+
 def test_alignment() -> None:
     assert line_dedup.longest_rise([(0, 5), (1, 1), (2, 2), (3, 9), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
     moved = [(k, k + 3, True, 5) for k in range(3)] + [(k, k - 3, True, 5) for k in range(3, 6)]
