@@ -45,8 +45,10 @@ def best_similarity(vector: Column, group: Sequence[Sequence[float]]) -> Column:
 def seed_of_facet(instances: DataFrame, facet: Column, include: Sequence[int] = (), exclude: Sequence[int] = ()) -> Seed | None:
     """The seed for a facet's own fragments; instances has fragment_ix, vector and idf.  Excluded fragments are rejected, and
     exclude wins over include.  None if nothing is left to search for."""
-    rows = instances.where(facet).select("fragment_ix", "idf", "vector").orderBy("fragment_ix").limit(MAX_SEED).collect()
+    rows = instances.where(facet).select("fragment_ix", "idf", "vector").orderBy("fragment_ix").limit(MAX_SEED + 1).collect()
     n = len(rows)
+    if n > MAX_SEED:
+        raise ValueError(f"a seed holds at most {MAX_SEED} vectors, the facet has more fragments")
     rejected = sorted({i for i in exclude if 0 <= i < n})
     wanted = [i for i in (include or range(n)) if 0 <= i < n and i not in rejected]
     if not wanted:

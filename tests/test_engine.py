@@ -225,3 +225,10 @@ def test_tags_and_cache(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     again = read_query_cache(spark, str(tmp_path / "cache"))
     texts = spark.createDataFrame([("h1", "x"), ("h2", "y")], "text_hash string, text string")
     assert query_pairs(texts, again).count() == 2 and to_generate(texts, again, 5).first()["text_hash"] == "h2"
+
+
+def test_seed_of_a_facet_with_too_many_fragments_is_refused(spark: SparkSession) -> None:
+    many = spark.range(score.MAX_SEED + 1).select(F.col("id").cast("int").alias("fragment_ix"), F.lit(1.0).alias("idf"), F.array(F.lit(1.0)).alias("vector"))
+    assert len(score.seed_of_facet(many.where(F.col("fragment_ix") < score.MAX_SEED), F.lit(True)).groups) == score.MAX_SEED
+    with pytest.raises(ValueError, match="at most"):
+        score.seed_of_facet(many, F.lit(True), include=[0])
