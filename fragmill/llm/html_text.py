@@ -36,7 +36,7 @@ ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 CONTENT_MARKS = re.compile(r"<!--(/?)content-->")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea select option object canvas math".split())
+RAW = frozenset("script style textarea iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("p div ul ol li table article section header footer nav aside form h1 h2 h3 h4 h5 h6 blockquote pre main dl figure hr".split())

@@ -209,6 +209,14 @@ def test_html() -> None:
     assert main_text("<html><body>plain words here<br>and there</body></html>") == "plain words here\nand there"
 
 
+def test_html_keeps_what_stands_in_other_elements() -> None:
+    """No element but scripts and the like takes its content, or without an end tag the rest of the page, away."""
+    options = "<datalist><option value=a><option value=b></datalist>"
+    assert main_text(f"<body><article><p>Some words before.</p>{options}<p>The whole article follows here.</p></article></body>") == "Some words before.\nThe whole article follows here."
+    for name in ("noscript", "object", "canvas", "math", "svg", "template"):
+        assert main_text(f"<article><p>Words before <{name}>and within it</{name}> and after it.</p></article>").split() == "Words before and within it and after it.".split()
+
+
 def test_html_table(spark: SparkSession) -> None:
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, None), (3, "v", "<p>" + "long " * 50000, "x")], "page_id long, url string, html string, text string")
     rows = {r["page_id"]: r for r in extract(pages).collect()}
