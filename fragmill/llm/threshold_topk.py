@@ -2,8 +2,9 @@
 
 Candidates are dealt to blocks by hash.  A block keeps its rows in one sorted list per dimension; for a query it reads all
 lists in step from the end that the query's sign favours, scores every row it meets by random access, and stops when the sum
-of the list heads' contributions can't beat the k-th score found (an equal one could still win by its smaller id, so the
-scan goes on while the bound is equal).  The depth doubles from one step to the next.  A block's own k best of each query are
+of the contributions of the values last read can't beat the k-th score found (an equal one could still win by its smaller
+id, so the scan goes on while the bound is equal).  The depth doubles from one step to the next, and the bound is computed
+at the depths reached only.  A block's own k best of each query are
 merged over all blocks.
 
 Scores are exact integers.  Edge cases: vectors that are null, empty or hold null or non-finite components take no part, as
@@ -37,33 +38,32 @@ class Block:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        self.lists = np.argsort(self.rows, axis=0, kind="stable")  # ascending
-        self.heads = np.take_along_axis(self.rows, self.lists, axis=0)
+        self.lists = np.argsort(self.rows, axis=0, kind="stable").astype(np.int32)  # ascending
         self.largest = float(np.abs(self.rows).max(initial=0)) * rows.shape[1]
-        self.as_kind = {np.float64: (self.rows.astype(np.float64), self.heads.astype(np.float64))}
+        self.as_kind = {np.float64: self.rows.astype(np.float64)}
+        self.entries_read = 0  # of all lists, by all queries
 
-    def numbers(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query, rows and list heads as doubles where all sums are exact in them, else as integers of any size."""
+    def numbers(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query and rows as doubles where all sums are exact in them, else as integers of any size."""
         kind = np.float64 if self.largest * float(np.abs(query).max(initial=0)) < 2**52 else object
         if kind not in self.as_kind:
-            self.as_kind[kind] = (self.rows.astype(kind), self.heads.astype(kind))
-        return query.astype(kind), *self.as_kind[kind]
+            self.as_kind[kind] = self.rows.astype(kind)
+        return query.astype(kind), self.as_kind[kind]
 
     def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the query's own."""
         n = len(self.ids)
-        query, rows, heads = self.numbers(query)
+        query, rows = self.numbers(query)
         use_up, use_down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
-        # for every depth, the highest score of a row that no list has shown down to it
-        bounds = heads @ np.minimum(query, 0) + heads[::-1] @ np.maximum(query, 0)
         seen = np.zeros(n, dtype=bool)
         at, depth = np.zeros(0, dtype=np.int64), min(n, max(4, k))
         read = 0
         scores = np.zeros(0, dtype=query.dtype)
         while True:
             met = np.zeros(n, dtype=bool)
-            met[self.lists[read:depth][:, use_up].ravel()] = True
-            met[self.lists[n - depth : n - read][:, use_down].ravel()] = True
+            met[self.lists[read:depth, use_up].ravel()] = True
+            met[self.lists[n - depth : n - read, use_down].ravel()] = True
+            self.entries_read += (depth - read) * (len(use_up) + len(use_down))
             if depth == n:
                 met[:] = True  # all lists are read to their ends
             met &= ~seen & (self.ids != query_id)
@@ -73,22 +73,32 @@ class Block:
             order = np.argsort(at, kind="stable")  # rows stand in ascending order of id, so ties go to the smaller one
             order = order[np.argsort(-scores[order], kind="stable")][:k]
             at, scores = at[order], scores[order]
-            if depth == n or len(at) == k and scores[-1] > bounds[depth - 1]:
+            if depth == n:
                 return self.ids[at], scores
+            if len(at) == k:
+                # the highest score of a row that no list has shown so far: each list gives the last value read
+                up = rows[self.lists[depth - 1, use_up], use_up] @ query[use_up]
+                down = rows[self.lists[n - depth, use_down], use_down] @ query[use_down]
+                if scores[-1] > up + down:
+                    return self.ids[at], scores
             read, depth = depth, min(n, 2 * depth)
 
 
-def exact_top_k(table: DataFrame, query: Column, k: int = 5, scale: int = 256, block_rows: int = 32_768, least_blocks: int = 64) -> DataFrame:
+def exact_top_k(table: DataFrame, query: Column, k: int = 5, scale: int = 256, block_rows: int = 131_072, least_blocks: int = 64, query_rows: int = 32_768) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest scores of each row for which query holds, among all other rows."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), query.alias("is_query"), quantized(F.col("embedding"), scale).cast("array<long>").alias("x"))
     rows = rows.where(F.col("x").isNotNull())
-    n = rows.count()
-    # at least least_blocks blocks, so that all cores work; more as soon as a block would hold more than block_rows rows
-    blocks = max(-(-n // block_rows), min(least_blocks, -(-n // 64)), 1)
-    candidates = rows.select(F.lit(False).alias("is_query"), "vec_id", "x", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("block"))
+    n, n_queries = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
+    # At least least_blocks blocks, so that all cores work; more as soon as a block would hold more than block_rows rows.  A task
+    # is a block and a group of at most about query_rows queries: large blocks keep the copies of the queries few, and groups
+    # keep tasks short, at one copy of the candidates each.
+    blocks, groups = max(-(-n // block_rows), min(least_blocks, -(-n // 64)), 1), max(1, -(-n_queries // query_rows))
+    deal = lambda count: F.pmod(F.xxhash64("vec_id", "x"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    candidates = rows.select(F.lit(False).alias("is_query"), "vec_id", "x", deal(blocks).alias("block"), every(groups).alias("part"))
     asked = rows.where("is_query").select("is_query", "vec_id", "x").dropDuplicates(["vec_id", "x"])
-    queries = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ordered = candidates.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "is_query")
+    queries = asked.select("is_query", "vec_id", "x", every(blocks).alias("block"), deal(groups).alias("part"))
+    ordered = candidates.unionByName(queries).repartition(blocks * groups, "block", "part").sortWithinPartitions("block", "part", "is_query")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, built = None, {}, None
@@ -106,12 +116,12 @@ def exact_top_k(table: DataFrame, query: Column, k: int = 5, scale: int = 256, b
             wanted: list[tuple[int, np.ndarray]] = []
             lists = batch.column("x")
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for r, (is_query, vec_id, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("is_query", "vec_id", "block")), strict=True)):
+            for r, (is_query, vec_id, *group) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("is_query", "vec_id", "block", "part")), strict=True)):
                 x = values[offsets[r] : offsets[r + 1]]
-                if block != now:
+                if group != now:
                     if wanted:
                         yield answers(wanted)
-                    wanted, now, held, built = [], block, {}, None
+                    wanted, now, held, built = [], group, {}, None
                 if not is_query:
                     ids, xs = held.setdefault(len(x), ([], []))
                     ids.append(vec_id)
