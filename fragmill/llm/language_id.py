@@ -1,8 +1,8 @@
 """Language identification by a byte convolutional network: filters of several widths over embedded bytes, max pooling over a
 window and softmax, trained in numpy on labelled text and applied to batched windows of fixed length.
 
-The classifier is fitted on a bounded sample of labelled rows (max_docs_per_label rows of each of at most max_labels labels,
-four windows of each); prediction reads every text whole, as consecutive windows whose probabilities are averaged by their
+The classifier is fitted on a bounded sample of labelled rows (about max_docs_per_label rows of every label, four windows of
+each); prediction reads every text whole, as consecutive windows whose probabilities are averaged by their
 length in bytes.
 
 Because a filter is a sum over its bytes, its response to a pair of bytes is looked up in a table of 65,536 rows, so a
@@ -34,19 +34,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def training_windows(docs: DataFrame, max_docs_per_label: int = 1000, max_labels: int = 200) -> dict[str, list[str]]:
-    """Windows of text by label, from a bounded sample of docs that is drawn by hashes of doc_id."""
+def training_windows(docs: DataFrame, max_docs_per_label: int = 1000) -> dict[str, list[str]]:
+    """Windows of text by label, from a sample of docs that is drawn by hashes: about max_docs_per_label of each label, and no
+    more than twice as many rows in all."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_000)) / 1e6
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(2**40)) / 2**40
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, max_docs_per_label / n)))
-    sample = labelled.where(draw < F.try_element_at(share, F.col("lang"))).limit(2 * max_docs_per_label * len(counts))
+    sample = labelled.where(draw < F.try_element_at(share, F.col("lang"))).select("doc_id", "lang", "text", draw.alias("draw"))
     length = F.greatest(F.length("text") - WINDOW, F.lit(1))
     cuts = F.array(*(F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(k)), length) + 1).cast("int"), F.lit(WINDOW)) for k in range(4)))
     out: dict[str, list[str]] = {}
-    for row in sample.select("lang", cuts.alias("cuts")).collect():
+    few = sample.select("lang", cuts.alias("cuts"), "draw", "doc_id").orderBy("draw", "doc_id", "lang", "cuts").limit(2 * max_docs_per_label * len(counts))
+    for row in few.collect():
         out.setdefault(row["lang"], []).extend(row["cuts"])
     return {lang: out[lang] for lang in sorted(out)}
 
