@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import settle
+from .shared import discard, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -12,20 +12,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round gives each node its smallest neighbour as label and keeps the edges between different labels; clusters that are
     stars end after one round, others after a number of rounds logarithmic in their size.  Every round is a written table,
-    and nothing but one row that says whether edges are left comes to the driver.
+    the tables that it was made of are deleted, and nothing but one row that says whether edges are left comes to the driver.
     """
     edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mapping = None
     while True:
         near = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
         label = settle(near.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "labels")
-        if mapping is None:
-            mapping = label
-        else:
+        before, mapping = mapping, label
+        if before is not None:
             step = label.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            mapping = settle(mapping.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            mapping = settle(before.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
         left, right = label.select(F.col("node").alias("a"), F.col("root").alias("x")), label.select(F.col("node").alias("b"), F.col("root").alias("y"))
         between = edges.join(left, "a").join(right, "b").where("x <> y")
-        edges = settle(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        between = settle(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(edges, before, None if mapping is label else label)
+        edges = between
         if edges.isEmpty():
+            discard(edges)
             return mapping

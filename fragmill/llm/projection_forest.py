@@ -1,5 +1,6 @@
 """Near-duplicate vectors by a forest of random-projection trees: recursive splits with spill overlap across several trees,
-exact comparison inside the leaves, and the union of the verified links.
+exact comparison inside the leaves, and the union of the verified links.  Links are never written as pairs: a leaf gives a
+spanning forest of its links, and the components that the forests join are compared once more to count the links.
 
 The top levels of every tree are fitted on a bounded sample (sample_vectors rows by hash): a node splits at the median of the
 sample's projections on a random direction, and vectors within spill of the threshold go to both sides, so that a linked
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .block_pairs import LINK_ROWS, compare_blocks, link_rows
 from .components import components
-from .shared import settle
+from .shared import discard, number_at, order_key, settle
 from .vectors import takes_part
 
 
@@ -112,13 +114,15 @@ def route(classes: DataFrame, trees: int, depth: int, sample_vectors: int, spill
     return classes.mapInArrow(run, "node long, key binary, vector binary")
 
 
-def split_on(members: DataFrame, leaf_vectors: int, spill: float, max_levels: int = 40) -> DataFrame:
+def split_on(members: DataFrame, leaf_vectors: int, spill: float, tables: list[DataFrame], max_levels: int = 40) -> DataFrame:
     """Splits nodes of (node, key, vector) with more than leaf_vectors rows until none is left that shrinks; adds blocks, the
-    number of blocks that a node is compared in."""
-    out = None
+    number of blocks that a node is compared in.  The written tables that the result reads are added to tables."""
+    out, previous = None, []
     for level in range(max_levels + 1):
         members = settle(members, f"forest-{level}")
+        discard(*previous)
         sizes = settle(members.groupBy("node").agg(F.count("*").alias("n")), f"forest-sizes-{level}")
+        tables += [members, sizes]
         small = members.join(sizes.where(F.col("n") <= leaf_vectors).select("node"), "node").withColumn("blocks", F.lit(1))
         out = small if out is None else out.unionByName(small)
         large = sizes.where(F.col("n") > leaf_vectors)
@@ -139,11 +143,14 @@ def split_on(members: DataFrame, leaf_vectors: int, spill: float, max_levels: in
         rows = members.join(large, "node").select("node", "key", "vector", "n").mapInArrow(project, "node long, key binary, vector binary, n long, at double")
         rows = settle(rows, f"forest-at-{level}")
         # the two sides of the median, as exact counts: a node of which a side would keep nearly all rows is compared as it is
-        cut = rows.groupBy("node").agg(F.percentile_approx("at", 0.5, 1000).alias("cut"))
-        sides = rows.join(settle(cut, f"forest-cuts-{level}"), "node").withColumns({"left": F.col("at") <= F.col("cut") + spill, "right": F.col("at") > F.col("cut") - spill})
+        cut = settle(rows.groupBy("node").agg(F.percentile_approx("at", 0.5, 1000).alias("cut")), f"forest-cuts-{level}")
+        sides = rows.join(cut, "node").withColumns({"left": F.col("at") <= F.col("cut") + spill, "right": F.col("at") > F.col("cut") - spill})
         sides = settle(sides, f"forest-sides-{level}")
+        previous = [rows, cut]
         stuck = sides.groupBy("node").agg((F.greatest(F.sum(F.col("left").cast("int")), F.sum(F.col("right").cast("int"))) > 0.8 * F.first("n")).alias("stuck"))
-        sides = sides.join(settle(stuck, f"forest-stuck-{level}"), "node")
+        stuck = settle(stuck, f"forest-stuck-{level}")
+        tables += [sides, stuck]
+        sides = sides.join(stuck, "node")
         if level == max_levels:
             sides = sides.withColumn("stuck", F.lit(True))
         whole = sides.where("stuck").select("node", "key", "vector", F.ceil(F.col("n") / leaf_vectors).cast("int").alias("blocks"))
@@ -153,63 +160,77 @@ def split_on(members: DataFrame, leaf_vectors: int, spill: float, max_levels: in
     return out
 
 
-def leaf_links(leaves: DataFrame, threshold: float) -> DataFrame:
-    """Linked pairs (a, b), a < b, of all leaves; a pair that several trees find comes several times."""
+def in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (group, blocks, key, m, vector) dealt to the pairs of their group's blocks and sorted there by key."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = leaves.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", other)
-    placed = placed.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "vector")
-    ordered = placed.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "key")
-
-    def links(group: tuple, rows: list) -> Iterator[pa.RecordBatch]:
-        for size in {len(r[2]) for r in rows}:
-            left = [r for r in rows if r[0] == group[1] and len(r[2]) == size]
-            right = [r for r in rows if r[0] == group[2] and len(r[2]) == size]
-            if not left or not right:
-                continue
-            x, y = (np.frombuffer(b"".join(r[2] for r in side)).reshape(len(side), -1) for side in (left, right))
-            keys = pa.array([r[1] for r in left], pa.binary()), pa.array([r[1] for r in right], pa.binary())
-            for at in range(0, len(x), 512):
-                a, b = np.nonzero(x[at : at + 512] @ y.T >= threshold)
-                a += at
-                if group[1] == group[2]:
-                    a, b = a[a < b], b[a < b]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([keys[0].take(pa.array(a)), keys[1].take(pa.array(b))], ["a", "b"])
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", other)
+    placed = placed.select(F.col(group).alias("grp"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "m", "vector")
+    return placed.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "key")
+
+
+def block_links(dealt: DataFrame, threshold: float) -> DataFrame:
+    """LINK_ROWS of every pair of blocks; vectors of different lengths are not linked."""
+
+    def linked(left: list, right: list) -> np.ndarray:
+        sizes = [np.array([len(r[3]) for r in side]) for side in (left, right)]
+        out = np.zeros((len(left), len(right)), dtype=bool)
+        for size in np.intersect1d(*sizes):
+            x, y = (np.flatnonzero(n == size) for n in sizes)
+            a, b = (np.frombuffer(b"".join(side[k][3] for k in at.tolist())).reshape(len(at), -1) for side, at in ((left, x), (right, y)))
+            out[np.ix_(x, y)] = a @ b.T >= threshold
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
+        group, rows, out = None, [], []
         for batch in batches:
-            for node, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("node", "i", "j", "block", "key", "vector")), strict=True):
-                if (node, i, j) != group:
+            for grp, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, i, j) != group:
                     if len(rows) > 1:
-                        yield from links(group, rows)
-                    group, rows = (node, i, j), []
-                rows.append(row)
+                        out += compare_blocks(group, rows, linked)
+                    group, rows = (grp, i, j), []
+                if not rows or rows[-1][1] != row[1]:
+                    rows.append(row)
+            if len(out) > 5000:
+                yield link_rows(out)
+                out = []
         if len(rows) > 1:
-            yield from links(group, rows)
+            out += compare_blocks(group, rows, linked)
+        if out:
+            yield link_rows(out)
 
-    return ordered.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return dealt.mapInArrow(run, LINK_ROWS)
 
 
 def near_duplicates(
-    table: DataFrame, threshold: float = 0.95, trees: int = 5, leaf_vectors: int = 1024, sample_vectors: int = 8192, max_depth: int = 8, spill: float = 0.03
+    table: DataFrame, threshold: float = 0.95, trees: int = 5, leaf_vectors: int = 1024, sample_vectors: int = 8192, max_depth: int = 8, spill: float = 0.03, most_blocks: int = 64
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+    """(vec_id, n_links, component_id, kept) of every row.
+
+    The leaves give a spanning forest of their links, not the pairs, so a dense group of n vectors is n - 1 edges a leaf.  Its
+    components are then compared once, again in pairs of blocks, for the number of links: a link never leaves a component."""
     own = settle(unit_vectors(table), "vectors")
     classes = own.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("m"), F.min("vec_id").alias("vec_id"), F.first("vector").alias("vector"))
-    classes = settle(classes, "vector-classes")
+    # a class's key in the search begins with its smallest vec_id, so the smallest key reachable tells the component's
+    classes = settle(classes.select(F.col("key").alias("raw"), F.concat(order_key(F.col("vec_id")), "key").alias("key"), "m", "vector"), "vector-classes")
     n = classes.count()
     depth = min(max_depth, max(0, int(np.ceil(np.log2(max(n, 1) / (leaf_vectors / 4))))))
-    leaves = split_on(route(classes.select("key", "vector"), trees, depth, sample_vectors, spill), leaf_vectors, spill)
-    pairs = settle(leaf_links(leaves, threshold).distinct(), "vector-links")
-    both = pairs.union(pairs.select("b", "a")).toDF("key", "near")
-    sizes = classes.select(F.col("key").alias("near"), "m")
-    counts = both.join(sizes, "near").groupBy("key").agg(F.sum("m").alias("links"))
-    roots = components(pairs).select(F.col("node").alias("key"), "root")
-    rooted = classes.select("key", "m", "vec_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    firsts = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    found = rooted.join(firsts, "root").join(counts, "key", "left")
-    found = settle(found.select("key", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "vector-found")
+    tables: list[DataFrame] = []
+    leaves = split_on(route(classes.select("key", "vector"), trees, depth, sample_vectors, spill), leaf_vectors, spill, tables)
+    edges = settle(block_links(in_blocks(leaves.withColumn("m", F.lit(1).cast("long")), "node"), threshold).where(F.col("b").isNotNull()).select("a", "b"), "vector-forest")
+    discard(*tables)
+    roots = components(edges)
+    discard(edges)
+    members = classes.join(roots.select(F.col("node").alias("key"), "root"), "key")
+    blocks = F.least(F.ceil(F.count("*") / leaf_vectors), F.greatest(F.lit(most_blocks), F.ceil(F.count("*") / (64 * leaf_vectors)))).cast("int")
+    # only components of several blocks are looked up; there is at most one of them for leaf_vectors vectors
+    sizes = settle(members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1"), "component-sizes")
+    sized = members.join(sizes, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    links = block_links(in_blocks(sized, "root"), threshold).where(F.col("links").isNotNull())
+    counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    found = classes.select("raw", "key", "m").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").join(counts, "key", "left")
+    found = found.select(F.col("raw").alias("key"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), number_at(F.coalesce("root", "key"), 0).alias("component_id"))
+    found = settle(found, "vector-found")
+    discard(classes, roots, sizes)
     linked = own.where(F.col("key").isNotNull()).select("vec_id", "key").join(found, "key").select("vec_id", "n_links", "component_id")
     alone = own.where(F.col("key").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
