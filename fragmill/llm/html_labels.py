@@ -1,31 +1,76 @@
-"""Labelled pages from which html_text learns its weights: article text stands between content marks."""
+"""Labelled pages from which html_text learns its weights: article text stands between content marks.
+
+The pages are put together by rule from layouts, kinds of article and parts around them, with a fixed seed; only their
+structure is learned from, so the words are made up."""
 
 from __future__ import annotations
 
-WORDS = "Rivers carry silt down to the plain where farmers have worked the land for many years and know each bend of the stream"
-
-LABELLED_PAGES = [
-    f"""<!DOCTYPE html><html><head><title>River farming - Daily</title><style>p {{}}</style></head><body>
-<nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About us</a></li></ul></nav>
-<div class="ad">Buy new boots today at half the price</div><p>You are reading the free edition of this paper today</p>
-<article><!--content--><h1>River farming</h1><p>{WORDS}.</p><p>{WORDS} <a href="/x">as a study shows</a>.</p><ul><li>{WORDS}</li></ul><!--/content--></article>
-<footer>&copy; Daily. All rights reserved. <a href="/terms">Terms</a></footer></body></html>""",
-    f"""<html><head><title>Old bridge</title></head><body><header><a href="/">The Post</a> <form><input> <button>Search</button></form></header>
-<div id="content"><!--content--><h2>Old bridge</h2><p>{WORDS}.</p><blockquote>{WORDS}</blockquote><p>{WORDS}.</p><!--/content-->
-<div class="share">Share this on every network</div></div><div id="sidebar"><h3>Related stories</h3><ul><li><a href="/1">Ten bridges to see before you travel home</a></li><li><a href="/2">How the town was built</a></li></ul></div>
-<div id="footer"><p>Contact us at the office. Copyright of the authors.</p></div></body></html>""",
-    f"""<html><body><div class="cookie-notice"><p>We use cookies to make this site better for you. <a href="/c">Read more</a></p></div>
-<ul class="menu"><li><a href="/a">Start</a></li><li><a href="/b">Archive</a></li></ul>
-<div class="post"><!--content--><h1>On silt</h1>{WORDS}.<br>{WORDS}.<p>{WORDS}.</p><!--/content--></div>
-<section id="comments"><h3>Comments</h3><div class="comment"><p>I liked this a lot and I will come back to read more of it soon.</p></div><div class="comment"><p>My uncle had a farm there and he said the same thing.</p></div><form><label>Your name</label></form></section></body></html>""",
-    f"""<html><head><title>Wheat</title></head><body><div class="header"><div class="nav"><a href="/">Home</a> | <a href="/map">Map</a></div></div>
-<main><!--content--><h1>Wheat</h1><p>{WORDS}.</p><table><tr><td>{WORDS}</td></tr></table><p>{WORDS}.</p><!--/content-->
-<div hidden><p>Loading the rest of the page now</p></div><aside><p>Sign up to our letter and get the best of the week.</p></aside></main><footer><p>Made with care by the team. Imprint. Privacy.</p></footer></body></html>""",
-    f"""<html><body><div><a href="/">Home</a> <a href="/p">Pictures</a> <a href="/q">Questions</a></div><div><!--content--><p>{WORDS}.</p><p>{WORDS}.</p><!--/content--></div>
-<div class="sponsored"><p>Cheap flights to all places, book now and save a lot of money.</p></div><div class="login"><p>Log in to your account to go on</p></div></body></html>""",
-    f"""<html><head><title>Mills</title></head><body><div role="navigation"><a href="/">Top</a></div><div class="banner promo">Sale ends on Monday</div><article class="entry"><!--content--><header><h1>Mills</h1></header>
-<h2>First</h2><p>{WORDS}.</p><h2>Second</h2><ol><li>{WORDS}</li><li>{WORDS}</li></ol><p>{WORDS}.</p><!--/content--><footer>Filed under farms by the editor</footer></article>
-<p>Thank you for your visit and come back soon</p><div class="related"><h4>More to read</h4><p>The long way home and other tales of the road</p></div><div class="newsletter"><p>Get our letter each week</p></div></body></html>""",
-    f"""<html><head><title>Plain</title></head><body><!--content-->{WORDS}.<br><br>{WORDS}.<!--/content--></body></html>""",
-    f"""<html><body><div><div><!--content-->{WORDS}.<br>{WORDS}.<br>{WORDS}.<!--/content--></div></div><div class="reply-form"><p>Write a reply</p></div></body></html>""",
-]
+import random
+
+SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo zu".split()
+
+
+def labelled_pages(n: int = 160, seed: int = 5) -> list[str]:
+    rng = random.Random(seed)
+
+    def words(low: int, high: int) -> str:
+        return " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(low, high)))
+
+    def links(k: int) -> str:
+        return "".join(f"<li><a href='/{i}'>{words(1, 3)}</a></li>" for i in range(k))
+
+    def prose(low: int, high: int) -> str:
+        return f"<p>{words(low, high)}.</p>"
+
+    def block() -> str:
+        kind = rng.randrange(9)
+        return (
+            prose(10, 60) if kind < 3 else f"<h2>{words(2, 6)}</h2>{prose(10, 40)}" if kind == 3 else f"<ul><li>{words(4, 15)}</li><li>{words(4, 15)}</li></ul>" if kind == 4
+            else f"<blockquote>{words(8, 30)}</blockquote>" if kind == 5 else f"<table><tr><td>{words(2, 8)}</td><td>{words(2, 8)}</td></tr></table>" if kind == 6
+            else f"<p>{words(5, 20)} <a href='/x'>{words(2, 5)}</a> {words(5, 20)}.</p>" if kind == 7 else f"{words(10, 40)}.<br>{words(10, 40)}."
+        )
+
+    def advert() -> str:
+        name = rng.choice(["ad", "advert", "sponsored", "promo banner", "ad-slot", "newsletter-box", "share-bar", "notice"])
+        return rng.choice([f"<div class='{name}'>{words(3, 12)}</div>", f"<div class='{name}'>{prose(5, 25)}<a href='/b'>{words(1, 3)}</a></div>", f"<aside>{prose(4, 15)}</aside>"])
+
+    def before() -> str:
+        parts = [f"<nav><ul>{links(5)}</ul></nav>", f"<div class='menu'><ul>{links(4)}</ul></div>", f"<header><a href='/'>{words(1, 2)}</a><p>{words(3, 8)}</p></header>", f"<div id='header'><p>{words(2, 6)}</p></div>",
+                 f"<div class='cookie-notice'>{prose(8, 30)}</div>", f"<form><label>{words(1, 2)}</label><button>{words(1, 2)}</button></form>", f"<div hidden>{prose(4, 10)}</div>", f"<div class='breadcrumb'><a href='/'>{words(1, 2)}</a> {words(1, 2)}</div>",
+                 f"<div><a href='/a'>{words(1, 2)}</a> <a href='/b'>{words(1, 2)}</a> <a href='/c'>{words(1, 2)}</a></div>", f"<div role='navigation'><p>{words(1, 3)}</p></div>", advert()]
+        return "".join(rng.sample(parts, rng.randint(1, 4)))
+
+    def comments() -> str:
+        said = "".join(f"<div class='comment'>{prose(5, 40)}</div>" for _ in range(rng.randint(1, 4)))
+        plain = "".join(f"<li>{words(5, 30)}</li>" for _ in range(rng.randint(1, 3)))
+        return rng.choice([f"<section id='comments'><h3>{words(1, 2)}</h3>{said}</section>", f"<ol class='commentlist'>{plain}</ol>", f"<div class='comments'><article class='comment'>{prose(5, 30)}</article></div>"])
+
+    def after() -> str:
+        parts = [f"<footer><p>{words(3, 15)}</p></footer>", f"<div id='footer'>{prose(4, 15)}<a href='/t'>{words(1, 2)}</a></div>", f"<aside><h3>{words(1, 3)}</h3><ul>{links(4)}</ul></aside>", f"<div class='sidebar'>{prose(5, 15)}<ul>{links(3)}</ul></div>",
+                 f"<div class='related'><h4>{words(1, 3)}</h4>{prose(5, 15)}</div>", f"<div class='share'>{words(2, 6)}</div>", f"<div class='newsletter'>{prose(4, 12)}</div>", f"<div class='login-form'>{prose(4, 12)}</div>", comments(), comments(), advert(),
+                 f"<div class='legal'>{prose(5, 20)}</div>", f"<div class='popup'>{prose(5, 15)}</div>"]
+        return "".join(rng.sample(parts, rng.randint(1, 5)))
+
+    def article() -> str:
+        blocks = [block() for _ in range(rng.randint(2, 6))]
+        if rng.random() < 0.6:
+            blocks.insert(rng.randint(1, len(blocks)), f"<!--/content-->{advert()}<!--content-->")
+        body = f"<h1>{words(2, 8)}</h1>" * (rng.random() < 0.7) + "".join(blocks)
+        inner = f"<!--content-->{body}<!--/content-->"
+        tail = rng.choice(["", "", comments(), f"<footer>{words(3, 8)}</footer>", f"<div class='share'>{words(2, 5)}</div>"])
+        kind = rng.randrange(7)
+        return (
+            f"<article>{inner}{tail}</article>" if kind < 2 else f"<main>{inner}{tail}</main>" if kind == 2 else f"<div id='content'>{inner}{tail}</div>" if kind == 3
+            else f"<div class='post'>{inner}{tail}</div>" if kind == 4 else f"<div><div>{inner}</div>{tail}</div>" if kind == 5 else inner + tail
+        )
+
+    def page() -> str:
+        body = article()
+        if rng.random() < 0.25:
+            body = f"<div class='{rng.choice(['has-ads', 'with-sidebar', 'no-comments', 'layout menu-left', 'legal-page', 'popular'])}'>{body}</div>"
+        whole = before() + rng.choice(["", prose(4, 12)]) * ("<article" in body or "<main" in body) + body + after()
+        if rng.random() < 0.15:
+            whole = f"<form id='page'>{whole}</form>"
+        return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{whole}</body></html>"
+
+    return [page() for _ in range(n)]

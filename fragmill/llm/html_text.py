@@ -1,16 +1,20 @@
 """Main text of HTML pages as the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of tags and runs of words.  A word scores the log-odds of being article text that its surroundings
-have on labelled pages (the enclosing elements, and what their class, id and role say); a tag scores a negative constant by
-its kind, from the same pages.  One linear scan finds the contiguous region with the largest sum.  Inside it, runs that score
-negative because they stand in a marked part (menu, advert, form, comments ...) are left out; text in links is kept.
+have on labelled pages: the enclosing elements, and what their class, id and role say (menu, advert, form, comments ...) as
+features beside each other.  A tag scores a negative constant by its kind, from the same pages, and so does as a whole, like
+a tag, a run that stands in a marked part and whose words score negative.  One linear scan finds the contiguous region
+with the largest sum; the marked runs inside it are left out, and text in links is kept.
+
+A mark on an element that holds nearly all of the page's text that no other mark covers says nothing of that text: it is a
+wrapper (a page-wide form, a layout named after its sidebar), and that is a feature of its own.
 
 The text is that of the remaining blocks: character references decoded, white space inside a block turned into one space,
 trimmed, and the blocks that aren't empty joined in page order by one line end.
 
 Edge cases: null html counts as empty and gives an empty text; so does a page on which nothing scores above zero; unclosed
-and misnested elements end with the nearest enclosing element that is closed; a page cut off in the middle of a tag ends
-there; scripts, styles and comments are never text; repeated rows give equal rows.
+and misnested elements end with the nearest enclosing element that is closed, also scripts, styles, text areas and frames;
+a page cut off in the middle of a tag ends there; scripts, styles and comments are never text; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -19,13 +23,14 @@ import functools
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .html_labels import LABELLED_PAGES
+from .html_labels import labelled_pages
 from .shared import by_bytes
 
 #: One markup item: a comment, a declaration, or a tag with its attributes.
@@ -55,8 +60,12 @@ MARKS = {
 MARK_OF = {word: mark for mark, words in MARKS.items() for word in words.split()}
 CONTENT_WORDS = frozenset("content article post entry main story body text page".split())
 ELEMENT_MARK = {"nav": "menu", "menu": "menu", "footer": "footer", "aside": "sidebar", "form": "form", "button": "form", "head": "head", "title": "head", "dialog": "notice"}
-WORD_FEATURES = ("bias", *MARKS, "head", "hidden", "link", "p", "heading", "li", "cell", "article", "beside")
-TAG_KINDS = ("inline", "link", "p", "heading", "li", "part", "other")
+#: Elements whose name alone marks them; a mark on them is never that of a wrapper.
+PARTS = frozenset(ELEMENT_MARK) - {"form"}
+WORD_FEATURES = ("bias", *MARKS, "head", "hidden", "wrapper", "link", "p", "heading", "li", "cell", "article", "beside")
+TAG_KINDS = ("inline", "link", "p", "heading", "li", "part", "other", "marked")
+#: A wrapper holds at least so many words outside links, and so many times the words that no mark covers.
+WRAPPER_WORDS, WRAPPER_SHARE = 25, 4
 
 
 def marks_of(name: str, attributes: str, in_article: bool) -> frozenset:
@@ -80,37 +89,70 @@ def marks_of(name: str, attributes: str, in_article: bool) -> frozenset:
     return frozenset(marks | named)
 
 
-def items(page: str) -> Iterator[tuple]:
-    """("tag", kind, breaks a block) and ("text", raw text, marks, element names) in page order."""
-    stack: list[tuple[str, frozenset]] = []
+@dataclass
+class Element:
+    """An open element: its marks (those of its ancestors too, once the page is read), the names of it and its ancestors, and
+    what it holds."""
+
+    name: str
+    parent: Element | None
+    marks: frozenset
+    names: frozenset
+    words: int = 0  # outside links, and not in a marked element inside
+    holds_main: bool = False
+    seen: bool = field(default=False, repr=False)
+
+
+@dataclass
+class Run:
+    """A run of words, or of white space, and the element that it stands in."""
+
+    text: str
+    inside: Element
+    n_words: int
+
+
+@dataclass
+class Tag:
+    kind: str
+    breaks: bool
+
+
+def parse(page: str) -> list[Run | Tag]:
+    """The page's runs and tags in page order, with the marks of wrappers taken off."""
+    top = Element("", None, frozenset(), frozenset())
+    stack, elements, out = [top], [top], []
     at, n = 0, len(page)
 
-    def text(a: int, b: int) -> Iterator[tuple]:
+    def text(a: int, b: int) -> None:
         if b > a:
-            yield "text", page[a:b], frozenset().union(*(m for _, m in stack)), frozenset(x for x, _ in stack)
+            out.append(Run(page[a:b], stack[-1], len(page[a:b].split())))
 
     def close(names: frozenset, within: frozenset) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in names:
                 del stack[k:]
                 return
-            if stack[k][0] in within:
+            if stack[k].name in within:
                 return
 
     while at < n and (found := MARKUP.search(page, at)):
-        yield from text(at, found.start())
+        text(at, found.start())
         at = found.end()
         ending, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
         if not name:
             continue
         name = name.lower()
         if name in RAW and not ending:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             if not attributes.endswith("/"):
-                at = end.end() if end else n
+                own = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                # without an end tag it ends where an enclosing element does
+                open_names = "|".join(sorted({re.escape(e.name) for e in stack[1:]}))
+                outer = None if own or not open_names else re.compile(rf"(?=</(?:{open_names})\b)", re.I).search(page, at)
+                at = own.end() if own else outer.end() if outer else n
             continue
         kind = "link" if name == "a" else "inline" if name in INLINE else "p" if name in ("p", "br") else "heading" if name in HEADINGS else "li" if name in ("li", "ul", "ol") else "part" if name in ELEMENT_MARK else "other"
-        yield "tag", kind, name not in INLINE
+        out.append(Tag(kind, name not in INLINE))
         if ending:
             close(frozenset([name]), frozenset() if name not in INLINE and name != "p" else CLOSES_P - {"p"})
         elif name not in VOID and not attributes.endswith("/"):
@@ -120,85 +162,121 @@ def items(page: str) -> Iterator[tuple]:
                 close(frozenset(["li"]), frozenset(["ul", "ol"]))
             if name == "body":
                 close(frozenset(["head"]), frozenset())
-            stack.append((name, marks_of(name, attributes, any(x in ("article", "main") for x, _ in stack))))
-    yield from text(at, n)
+            parent = stack[-1]
+            stack.append(Element(name, parent, marks_of(name, attributes, bool(parent.names & {"article", "main"})), parent.names | {name}))
+            elements.append(stack[-1])
+    text(at, n)
+    spread_marks(elements, [x for x in out if isinstance(x, Run)])
+    return out
+
+
+def spread_marks(elements: list[Element], runs: list[Run]) -> None:
+    """Takes the marks off wrappers, then gives every element the marks of its ancestors."""
+
+    def marked(e: Element | None) -> Element | None:
+        while e is not None and not e.marks:
+            e = e.parent
+        return e
+
+    free = 0
+    for run in runs:
+        holder = marked(run.inside)
+        if run.n_words and "a" not in run.inside.names:
+            if holder is None:
+                free += run.n_words
+            else:
+                holder.words += run.n_words
+    for e in reversed(elements):  # children come before their parents
+        if e.marks and e.name not in PARTS and e.words >= WRAPPER_WORDS and e.words >= (1 if e.holds_main else WRAPPER_SHARE) * free:
+            e.marks = frozenset(["wrapper"])
+            outer = marked(e.parent)
+            if outer is None:
+                free += e.words
+            else:
+                outer.words += e.words
+        if e.parent is not None and (e.holds_main or e.name in ("main", "h1")):
+            e.parent.holds_main = True
+    for e in elements[1:]:
+        e.marks |= e.parent.marks
 
 
 @functools.lru_cache(maxsize=4096)
 def features(marks: frozenset, names: frozenset, has_article: bool) -> tuple[int, ...]:
-    """Indexes of the features that hold for a word.  What stands around a marked part doesn't speak for its words."""
+    """Indexes of the features that hold for a word."""
     held = {"bias", *marks}
-    if marks:
-        return tuple(k for k, f in enumerate(WORD_FEATURES) if f in held)
     if has_article and not names & {"article", "main"}:
         held.add("beside")
     held |= {f for f, group in (("link", {"a"}), ("p", {"p", "blockquote", "pre"}), ("heading", HEADINGS), ("li", {"li", "dt", "dd"}), ("cell", {"td", "th"}), ("article", {"article", "main"})) if names & group}
     return tuple(k for k, f in enumerate(WORD_FEATURES) if f in held)
 
 
+def is_marked(marks: frozenset) -> bool:
+    return bool(marks - {"wrapper"})
+
+
 @functools.lru_cache(maxsize=1)
 def weights() -> tuple[np.ndarray, dict[str, float]]:
     """Word weights by logistic regression, and tag scores, from the labelled pages."""
-    rows, labels, counts = [], [], []
+    rows: dict[tuple, np.ndarray] = {}  # words outside and inside the article by their features
     tags = {kind: np.array([1.0, 1.0]) for kind in TAG_KINDS}
-    for page in LABELLED_PAGES:
+    for page in labelled_pages():
         inside, has_article = False, bool(ARTICLE.search(page))
-        # the marks are comments, so the page is read once and its runs are labelled by where they stand
-        spans, start = [], None
-        for m in CONTENT_MARKS.finditer(page):
-            if m[1]:
-                spans.append((start, m.start()))
+        for item in parse(CONTENT_MARKS.sub(lambda m: f"<{m[1]}content-mark>", page)):
+            # the label marks are read as tags, which open and close the labelled stretch
+            if isinstance(item, Run):
+                inside = "content-mark" in item.inside.names
+                if item.n_words:
+                    rows.setdefault(features(item.inside.marks, item.inside.names - {"content-mark"}, has_article), np.zeros(2))[int(inside)] += item.n_words
+                    if is_marked(item.inside.marks):
+                        tags["marked"][int(inside)] += 1
             else:
-                start = m.end()
-        position = 0
-        for item in items(page):
-            if item[0] == "text":
-                position = page.index(item[1], position)
-                inside = any(a <= position < b for a, b in spans)
-                if n := len(item[1].split()):
-                    row = np.zeros(len(WORD_FEATURES))
-                    row[list(features(item[2], item[3], has_article))] = 1
-                    rows.append(row)
-                    labels.append(inside)
-                    counts.append(n)
-                position += len(item[1])
-            else:
-                tags[item[1]][int(inside)] += 1
-    x, y, n = np.array(rows), np.array(labels, dtype=float), np.sqrt(np.array(counts, dtype=float))
+                tags[item.kind][int(inside)] += 1
+    x = np.array([[k in held for k in range(len(WORD_FEATURES))] for held in rows], dtype=float)
+    counts = np.array(list(rows.values()))
+    n, y = np.sqrt(counts.sum(1)), counts[:, 1] / counts.sum(1)
     w = np.zeros(x.shape[1])
-    for _ in range(2000):
+    for _ in range(4000):
         p = 1 / (1 + np.exp(-x @ w))
         w -= 0.5 * (x.T @ (n * (p - y)) / n.sum() + 0.002 * w)
     return w, {kind: -0.05 - 0.3 * float(out / (out + own)) for kind, (out, own) in tags.items()}
 
 
-def main_text(page: str) -> str:
-    """The main text of one page."""
-    word_weights, tag_scores = weights()
-    has_article = bool(ARTICLE.search(page))
-    parts = []  # (score, is text, raw text or breaks a block, is left out)
-    for item in items(page):
-        if item[0] == "tag":
-            parts.append((tag_scores[item[1]], False, item[2], False))
-        else:
-            score = float(word_weights[list(features(item[2], item[3], has_article))].sum())
-            left_out = bool(item[2]) and score < 0
-            # what is left out anyway counts like a tag or two, so that an advert doesn't cut an article in two
-            total = score * len(item[1].split())
-            parts.append((max(total, -1.0) if left_out else total, True, item[1], left_out))
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The first and last + 1 place of the contiguous stretch with the largest sum, (0, 0) if no sum is above zero; of equal
+    ones the one that ends first."""
     best = total = 0.0
     region, start = (0, 0), 0
-    for k, part in enumerate(parts):
+    for k, score in enumerate(scores):
         if total <= 0:
             total, start = 0.0, k
-        total += part[0]
+        total += score
         if total > best:
             best, region = total, (start, k + 1)
+    return region
+
+
+def scored(page: str) -> list[tuple[float, bool, Run | Tag]]:
+    """(score, is left out, run or tag) of a page."""
+    word_weights, tag_scores = weights()
+    has_article, out = bool(ARTICLE.search(page)), []
+    for item in parse(page):
+        if isinstance(item, Tag):
+            out.append((tag_scores[item.kind], False, item))
+            continue
+        score = float(word_weights[list(features(item.inside.marks, item.inside.names, has_article))].sum())
+        left_out = score < 0 and is_marked(item.inside.marks)
+        out.append((tag_scores["marked"] if left_out and item.n_words else score * item.n_words, left_out, item))
+    return out
+
+
+def main_text(page: str) -> str:
+    """The main text of one page."""
+    parts = scored(page)
     blocks: list[list[str]] = [[]]
-    for _, is_text, value, left_out in parts[slice(*region)]:
-        if is_text and not left_out:
-            blocks[-1].append(value)
-        elif (left_out or not is_text and value) and blocks[-1]:
+    for _, left_out, item in parts[slice(*best_region([p[0] for p in parts]))]:
+        if isinstance(item, Run) and not left_out:
+            blocks[-1].append(item.text)
+        elif (left_out or item.breaks) and blocks[-1]:
             blocks.append([])
     return "\n".join(x for b in blocks if (x := " ".join(html.unescape("".join(b)).split())))
 
