@@ -8,7 +8,7 @@ Files are ranges of doc_id, so file k holds smaller ids than file k + 1, and a r
 (a sum over the metadata of earlier files) plus its place in the file, which the row carries.
 
 Edge cases: a null text counts as empty and has the end id only; null doc_ids come first; rows with equal doc_id are kept, in
-the order of their text; an empty table gives no rows; other columns are not written.
+the order of a hash of their text, so that a doc_id with very many rows is cut too; an empty table gives no rows; other columns are not written.
 """
 
 from __future__ import annotations
@@ -33,12 +33,15 @@ def encoder_for(path: str) -> Callable[[list[str]], list[bytes]]:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, rows_per_file: int = 20_000, row_group_bytes: int = 16_000_000, page_bytes: int = 256_000
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, rows_per_file: int = 20_000, text_bytes_per_file: int = 100_000_000, row_group_bytes: int = 16_000_000, page_bytes: int = 256_000
 ) -> None:
-    """Encodes every text with the tokenizer file, appends end_id, and writes the files below path."""
+    """Encodes every text with the tokenizer file, appends end_id, and writes the files below path, as many as keep both the
+    rows and the text of a file few."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n_files = max(1, round(docs.count() / rows_per_file))
-    ordered = docs.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_files = max(1, round(rows / rows_per_file), round(size / text_bytes_per_file))
+    keyed = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(n_files, "doc_id", "tie")
+    ordered = keyed.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts, starts = encoder_for(tokenizer), {}
