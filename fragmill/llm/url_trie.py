@@ -11,6 +11,7 @@ count as empty; an empty table gives an empty result.  Input columns named like
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_SCHEMA = "action string, host string, path string"
+#: What a rule takes in a worker's trie at most, beside its characters.
+RULE_BYTES = 1000
 OUTPUT = ("host", "path", "rule", "verdict")
 
 
@@ -33,7 +36,8 @@ def path_of(url: Column) -> Column:
 
 
 class UrlTrie:
-    """Nodes are [children, path node]; path nodes are [children, [(rest of the last segment, rule)]]."""
+    """Nodes are [children, path node]; path nodes are [children, {beginning of the last segment: rule}, lengths of these], so
+    that a url looks up one key for each length, however many rules end in a segment."""
 
     def __init__(self, rules: list[tuple[str, str, str]]):
         self.root: list = [{}, None]
@@ -42,13 +46,15 @@ class UrlTrie:
             for label in reversed(host.split(".")) if host else ():
                 node = node[0].setdefault(label, [{}, None])
             if node[1] is None:
-                node[1] = [{}, []]
+                node[1] = [{}, {}, []]
             node = node[1]
             *whole, rest = path.split("/")
             for segment in whole:
-                node = node[0].setdefault(segment, [{}, []])
-            order = (len(host) + len(path), len(host), action == "block")
-            node[1].append((rest, (order, host + path, action)))
+                node = node[0].setdefault(segment, [{}, {}, []])
+            rule = ((len(host) + len(path), len(host), action == "block"), host + path, action)
+            node[1][rest] = max(rule, node[1].get(rest, rule))
+            if len(rest) not in node[2]:
+                insort(node[2], len(rest))
 
     def match(self, host: str, path: str) -> tuple | None:
         """(order, rule, action) of the winning rule, or None."""
@@ -57,8 +63,12 @@ class UrlTrie:
         while node is not None:
             at, depth = node[1], 0
             while at is not None:
-                for rest, rule in at[1]:
-                    if segments[depth].startswith(rest) and (best is None or rule[0] > best[0]):
+                segment = segments[depth]
+                for n in at[2]:
+                    if n > len(segment):
+                        break
+                    rule = at[1].get(segment[:n])
+                    if rule is not None and (best is None or rule[0] > best[0]):
                         best = rule
                 # a child stands for a whole segment, so a slash must follow it
                 at = at[0].get(segments[depth]) if depth + 1 < len(segments) else None
@@ -68,12 +78,12 @@ class UrlTrie:
 
 
 def filter_urls(
-    pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_broadcast_bytes: int = 64_000_000
+    pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_broadcast_bytes: int = 200_000_000
 ) -> DataFrame:
-    """Adds host, path, rule and verdict to pages.  The trie is broadcast if the rules' texts are measured to stay under
-    max_broadcast_bytes; larger rule sets are joined on host suffix and path prefix instead."""
+    """Adds host, path, rule and verdict to pages.  The trie is broadcast if it is measured to stay under max_broadcast_bytes
+    in a worker, at RULE_BYTES a rule beside its text; larger rule sets are joined on host suffix and path prefix instead."""
     rules = rules.select("action", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("host", "path")))
-    n_bytes = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0]
+    n_bytes = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + RULE_BYTES), F.lit(0))).first()[0]
     kept = [c for c in pages.columns if c not in OUTPUT]
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).select(*kept, "host", "path")
     if n_bytes > max_broadcast_bytes:

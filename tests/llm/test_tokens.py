@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from fragmill.llm import packing
@@ -88,12 +88,20 @@ def test_token_files(docs: DataFrame, spark: SparkSession, tmp_path) -> None:  #
     file = pq.ParquetFile(next((tmp_path / "t").glob("*.parquet")))
     ids = next(file.metadata.row_group(0).column(i) for i in range(file.metadata.num_columns) if file.metadata.row_group(0).column(i).path_in_schema.startswith("ids"))
     assert "DELTA_BINARY_PACKED" in ids.encodings and ids.has_offset_index
+    # one doc_id on very many rows is cut into several files, too
+    one = spark.range(300).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    write_token_files(one, str(tmp_path / "o"), WORD, end_id=2, rows_per_file=50)
+    rows = digest_token_files(spark, str(tmp_path / "o")).orderBy("start").collect()
+    assert len(rows) == 300 and [r["start"] for r in rows] == list(np.cumsum([0, *(r["n_tokens"] for r in rows[:-1])]))
+    assert Counter(r["ids_crc32"] for r in rows) == Counter(crc([*ids_of(WORD, f"text {k}"), 2]) for k in range(300))
+    assert max(r["count"] for r in read_token_files(spark, str(tmp_path / "o")).groupBy("part").count().collect()) < 150
     write_token_files(docs.limit(0), str(tmp_path / "e"), WORD, end_id=2)
     assert digest_token_files(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_packing(docs: DataFrame) -> None:
-    rows = packing.pack(docs, BYTE, end_id=2, capacity=64, group_rows=5).collect()
+@pytest.mark.parametrize("max_broadcast_bytes", [64_000_000, 0])
+def test_packing(docs: DataFrame, max_broadcast_bytes: int) -> None:
+    rows = packing.pack(docs, BYTE, end_id=2, capacity=64, group_rows=5, max_broadcast_bytes=max_broadcast_bytes).collect()
     pieces: dict = {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -150,3 +158,61 @@ def test_local_search_goes_on_after_many_equal_bins() -> None:
         assert sum(x * y for x, y in b.items()) + free == 1024
         held.update({x: n * y for x, y in b.items()})
     assert held == {350: 600_000, 20: 36, 1000: 36} and sum(b[0] for b in out) == 300_036
+
+
+def fewest_bins(lengths: tuple[int, ...], capacity: int) -> int:
+    """The optimum, by trying every place of every piece."""
+    best = len(lengths)
+
+    def place(k: int, bins: list[int]) -> None:
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for free in set(bins):
+            if free >= lengths[k]:
+                at = bins.index(free)
+                place(k + 1, [*bins[:at], free - lengths[k], *bins[at + 1 :]])
+        place(k + 1, [*bins, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_small_packings_against_the_optimum() -> None:
+    rng, over = random.Random(2), 0
+    for _ in range(150):
+        lengths = tuple(sorted((rng.randint(2, 20) for _ in range(rng.randint(1, 10))), reverse=True))
+        counts = np.bincount(lengths, minlength=21)
+        bins = packing.local_search(packing.best_fit(counts, 20), 20, packing.lower_bound(counts, 20))
+        n, least = sum(b[0] for b in bins), fewest_bins(lengths, 20)
+        assert packing.lower_bound(counts, 20) <= least <= n <= least + 1
+        over += n > least
+    assert over <= 5
+
+
+@pytest.fixture(scope="module")
+def real_lengths() -> np.ndarray:
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()
+    return np.array([len(x) // 4 + 1 for x in byte_level_library(BYTE).encode([t or "" for t in texts])])
+
+
+def test_local_search_empties_bins_of_real_lengths(real_lengths: np.ndarray) -> None:
+    counts = np.bincount(real_lengths[(real_lengths >= 250) & (real_lengths <= 520)], minlength=1025)
+    first = packing.best_fit(counts, 1024)
+    found = packing.local_search(first, 1024, packing.lower_bound(counts, 1024))
+    assert sum(b[0] for b in found) <= 0.97 * sum(b[0] for b in first)
+
+
+def test_the_plan_does_not_grow_with_the_corpus(real_lengths: np.ndarray) -> None:
+    counts = np.bincount(real_lengths % 1024, minlength=1025)
+    counts[0] = 0
+    rows = [len(packing.plan_runs(counts * times, 1024)) for times in (1, 1000)]
+    assert rows[1] <= 1.5 * rows[0] and rows[1] < 10_000
+    one = np.zeros(1025, dtype=np.int64)
+    one[342] = 1_000_000
+    assert len(packing.plan_runs(one, 1024)) <= 4
