@@ -4,7 +4,8 @@ A document is the set of hashes of its runs of n words (split at white space, lo
 are represented by 64 tokens, the minima of 64 hash functions, which two sets share in each place with a probability equal
 to their similarity.  A run starts with all sets in one node; a node is split by one sampled place, or two with the
 probability that makes a similar pair share 1 / threshold places on average, into one child for each token found there.
-Nodes of at most brute_force sets are compared pair by pair on their tokens; larger ones are split again.  Every split may part
+Nodes of at most brute_force sets are compared pair by pair on their tokens; a larger one whose sets
+mostly have the same tokens is a group of near copies and is joined whole; other large ones are split again.  Every split may part
 a similar pair, so deep nodes need more runs than shallow ones: all sets get the runs that find a pair at the threshold by
 level SHALLOW, and the sets of nodes still large there get runs of their own, as many as level LEVELS needs.  A node that is
 still large at that level holds sets that agree in as many sampled places, so all of it is taken as alike.  A pair is missed
@@ -31,11 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .block_pairs import LINK_ROWS, compare_blocks, link_rows
 from .components import components
 from .line_dedup import document_keys
-from .shared import by_bytes, settle
+from .shared import by_bytes, discard, number_at, order_key, settle
 
 PLACES, SHALLOW, LEVELS = 64, 3, 8
+#: Places that tell whether a node is dense, and the mean share of equal tokens in them from which it is.
+SIGNS, DENSE = 8, 0.7
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -137,36 +141,49 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, doc long, th long, set binary, size int, tokens binary")
 
 
-def _split(members: DataFrame, threshold: float) -> DataFrame:
-    """The children of (node, set, tokens)."""
+def _children(sets: DataFrame, threshold: float, runs: list[int] | None = None) -> DataFrame:
+    """(node, set, signs): the children of (node, set, tokens), or those of the roots of all runs for (set, tokens).  signs holds
+    the lowest bits of eight places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                nodes = batch.column("node").to_numpy().view(np.uint64)
-                tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, PLACES)
+            if not batch.num_rows:
+                continue
+            tokens = as_tokens(batch.column("tokens"))
+            signs = np.packbits((tokens[:, ::PLACES // SIGNS] & 1).astype(np.uint8), axis=1, bitorder="little")[:, 0].view(np.int8)
+            roots = [batch.column("node").to_numpy().view(np.uint64)] if runs is None else [np.full(len(tokens), r, dtype=np.uint64) for r in mix(np.array(runs, dtype=np.uint64))]
+            for nodes in roots:
                 rows, child = children(nodes, tokens, threshold)
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("set").take(at), batch.column("tokens").take(at)], ["node", "set", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("set").take(pa.array(rows)), pa.array(signs[rows])], ["node", "set", "signs"])
 
-    return members.mapInArrow(run, "node long, set binary, tokens binary")
+    return sets.mapInArrow(run, "node long, set binary, signs byte")
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of places in which rows of tokens agree."""
+    return (a == b).sum(-1)
+
+
+def as_tokens(column: pa.Array | list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), dtype=np.uint32).reshape(-1, PLACES)
+
+
+def stars(sets: list[bytes], tokens: np.ndarray, least: int) -> list[tuple[bytes, bytes]]:
+    """A spanning star of each group of sets that agree in enough places, by comparing all pairs."""
+    root = np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        near = (agreement(tokens[i + 1 :], tokens[i]) >= least) & (root[i + 1 :] != root[i])
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+    return [(sets[r], sets[k]) for k, r in enumerate(root.tolist()) if r != k]
 
 
 def _compare_small(members: DataFrame, threshold: float) -> DataFrame:
     """Candidate edges (a, b) inside nodes of (node, set, tokens): a spanning star of each group of sets that agree in nearly
     as many places as similar sets do."""
     least = least_places(threshold)
-    ordered = members.repartition("node").sortWithinPartitions("node", "set")
-
-    def stars(sets: list[bytes], tokens: list[bytes]) -> list[tuple[bytes, bytes]]:
-        t = np.frombuffer(b"".join(tokens), dtype=np.uint32).reshape(-1, PLACES)
-        root = list(range(len(sets)))
-        for i in range(len(sets) - 1):
-            for j in (np.flatnonzero((t[i + 1 :] == t[i]).sum(1) >= least) + i + 1).tolist():
-                a, b = root[i], root[j]
-                if a != b:
-                    root = [a if r == b else r for r in root]
-        return [(sets[r], sets[k]) for k, r in enumerate(root) if r != k]
+    ordered = members.select("node", "set", "tokens").repartition("node").sortWithinPartitions("node", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, sets, tokens = None, [], []
@@ -181,7 +198,7 @@ def _compare_small(members: DataFrame, threshold: float) -> DataFrame:
             for k, s, t in zip(*(batch.column(c).to_pylist() for c in ("node", "set", "tokens")), strict=True):
                 if k != node:
                     if len(sets) > 1:
-                        out += stars(sets, tokens)
+                        out += stars(sets, as_tokens(tokens), least)
                     node, sets, tokens = k, [], []
                 if not sets or sets[-1] != s:
                     sets.append(s)
@@ -189,130 +206,115 @@ def _compare_small(members: DataFrame, threshold: float) -> DataFrame:
             if len(out) > 5000:
                 yield flush()
         if len(sets) > 1:
-            out += stars(sets, tokens)
+            out += stars(sets, as_tokens(tokens), least)
         if out:
             yield flush()
 
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
-def _search(sets: DataFrame, runs: range, levels: int, threshold: float, brute_force: int) -> tuple[DataFrame, DataFrame | None]:
-    """Edges (a, b) found in nodes of (set, tokens) down to a level, and (first, set, tokens) of nodes still large there."""
-    roots = F.explode(F.lit([int(x) for x in mix(np.array(runs, dtype=np.uint64)).view(np.int64)]))
-    members = _split(sets.select(roots.alias("node"), "set", "tokens"), threshold)
-    edges = None
+def _nodes(members: DataFrame, brute_force: int) -> DataFrame:
+    """(node, first, kind) of the nodes of (node, set, signs) with more than one set, first being the smallest.
+
+    A node of at most brute_force sets is SMALL.  A larger one whose sets mostly have the same sign in each place, as near
+    copies have, is DENSE: a share of equal tokens leaves the signs off balance by that share, other tokens leave them even."""
+    counts = [F.sum(F.col("signs").bitwiseAND(1 << k).cast("boolean").cast("int")).alias(f"s{k}") for k in range(SIGNS)]
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("set").alias("first"), *counts).where("n > 1")
+    off = sum((F.abs(2 * F.col(f"s{k}") / F.col("n") - 1) for k in range(SIGNS)), F.lit(0.0)) / SIGNS
+    return sizes.select("node", "first", F.when(F.col("n") <= brute_force, "small").when(off >= DENSE, "dense").otherwise("large").alias("kind"))
+
+
+def _search(sets: DataFrame, runs: range, levels: int, threshold: float, brute_force: int, tables: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (a, b) found in nodes of (set, tokens) down to a level, and (first, set, tokens) of nodes still large there.
+
+    Small nodes are compared pair by pair.  A dense one is a group of near copies, which no split would part: it is joined
+    whole, and the exact comparison decides.  The rest is split.  Rows of nodes carry no tokens; they are joined to those
+    sets that need them.  The written tables that the result reads are added to tables."""
+    members, edges = _children(sets, threshold, list(runs)), None
     for level in range(1, levels + 1):
         members = settle(members, f"nodes-{level}")
-        sizes = settle(members.groupBy("node").agg(F.count("*").alias("n"), F.min("set").alias("first")).where("n > 1"), f"node-sizes-{level}")
-        small = members.join(sizes.where(F.col("n") <= brute_force).select("node"), "node")
-        found = settle(_compare_small(small, threshold), f"candidates-{level}")
+        kept = settle(members.join(_nodes(members, brute_force), "node").select("node", "set", "first", "kind"), f"shared-nodes-{level}")
+        discard(members)
+        with_tokens = lambda kind: kept.where(F.col("kind") == kind).join(sets, "set")  # noqa: B023, E731
+        groups = kept.where("kind = 'dense' and set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+        found = settle(_compare_small(with_tokens("small"), threshold).union(groups).distinct(), f"candidates-{level}")
+        tables += [kept, found]
         edges = found if edges is None else edges.union(found)
-        large = sizes.where(F.col("n") > brute_force)
-        if large.isEmpty():
+        if kept.where("kind = 'large'").isEmpty():
             return edges, None
-        members = members.join(large.select("node", "first"), "node")
         if level < levels:
-            members = _split(members.select("node", "set", "tokens"), threshold)
-    return edges, members.select("first", "set", "tokens")
+            members = _children(with_tokens("large").select("node", "set", "tokens"), threshold)
+    return edges, with_tokens("large").select("first", "set", "tokens")
 
 
-def candidate_edges(sets: DataFrame, threshold: float, recall: float, brute_force: int) -> DataFrame:
+def candidate_edges(sets: DataFrame, threshold: float, recall: float, brute_force: int, tables: list[DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) that join all candidates of each cluster, from sets (set, tokens)."""
+    tables = [] if tables is None else tables
     half = 1 - (1 - recall) / 2
     n_runs, more_runs = (runs_needed(threshold, half, level) for level in (SHALLOW, LEVELS))
-    edges, large = _search(sets, range(1, n_runs + 1), SHALLOW, threshold, brute_force)
+    edges, large = _search(sets, range(1, n_runs + 1), SHALLOW, threshold, brute_force, tables)
     if large is not None:
         crowded = settle(large.select("set", "tokens").dropDuplicates(["set"]), "crowded-sets")
-        found, large = _search(crowded, range(n_runs + 1, n_runs + more_runs + 1), LEVELS, threshold, brute_force)
+        tables.append(crowded)
+        found, large = _search(crowded, range(n_runs + 1, n_runs + more_runs + 1), LEVELS, threshold, brute_force, tables)
         edges = edges.union(found)
     if large is not None:
-        edges = edges.union(settle(large.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct(), "candidates-large"))
+        found = settle(large.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct(), "candidates-large")
+        tables.append(found)
+        edges = edges.union(found)
     return edges
 
 
-def exact_links(docs: DataFrame, members: DataFrame, n: int, threshold: float, block_sets: int = 256, block_hashes: int = 500_000) -> DataFrame:
+def exact_links(docs: DataFrame, members: DataFrame, n: int, threshold: float, block_sets: int = 256, most_blocks: int = 64, block_hashes: int = 2_000_000) -> DataFrame:
     """Compares all sets of a cluster exactly, in pairs of blocks.
 
-    docs has doc, th and text; members has doc, th, set, size, m (documents with the set) and cluster.  Gives rows
-    (a, links, b): links is the number of documents whose sets are linked to a in one pair of blocks, and (a, b) is an edge
-    of a spanning forest of the links; one of the two is null."""
+    docs has doc, th and text; members has doc, th, key, size, m (documents with the set) and cluster.  Gives rows
+    (a, links, b) of keys: links is the number of documents whose sets are linked to a in one pair of blocks, and (a, b) is an
+    edge of a spanning forest of the links; one of the two is null.  A cluster has a block for every block_sets sets, but no
+    more than most_blocks unless a block would hold more than block_hashes n-grams, so a set is sent to few blocks."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("size").alias("h"))
-    sizes = settle(sizes.select("cluster", F.greatest(F.ceil(F.col("k") / block_sets), F.ceil(F.col("h") / block_hashes)).cast("int").alias("blocks")), "cluster-sizes")
-    texts = docs.join(members.join(sizes, "cluster"), ["doc", "th"]).select("set", "m", "cluster", "blocks", "text", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int").alias("block"))
+    blocks = F.greatest(F.least(F.ceil(F.col("k") / block_sets), F.lit(most_blocks)), F.ceil(F.col("h") / block_hashes)).cast("int")
+    # only clusters of several blocks are looked up; there is at most one of them for block_sets sets
+    sizes = settle(sizes.select("cluster", blocks.alias("blocks")).where("blocks > 1"), "cluster-sizes")
+    sized = members.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    texts = docs.join(sized, ["doc", "th"]).select("key", "m", "cluster", "blocks", "text", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             data = pa.array([shingles(t, n).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "blocks", "block", "set", "m")), data], ["cluster", "blocks", "block", "set", "m", "data"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "blocks", "block", "key", "m")), data], ["cluster", "blocks", "block", "key", "m", "data"])
 
-    whole = texts.mapInArrow(to_sets, "cluster binary, blocks int, block int, set binary, m long, data binary")
+    whole = texts.mapInArrow(to_sets, "cluster binary, blocks int, block int, key binary, m long, data binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = whole.withColumn("other", other).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "m", "data"
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "m", "data"
     )
-    ordered = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set")
+    ordered = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "key")
+
+    def compare(group: tuple | None, rows: list) -> list[tuple]:
+        def linked(left: list, right: list) -> np.ndarray:
+            return similar(*([np.frombuffer(r[3], dtype=np.uint64) for r in side] for side in (left, right)), threshold)
+
+        return compare_blocks(group, rows, linked) if len(rows) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            a, links, b = zip(*out, strict=True)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(links, pa.int64()), pa.array(b, pa.binary())], ["a", "links", "b"])
-
         for batch in batches:
-            for cluster, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "set", "m", "data")), strict=True):
+            for cluster, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "key", "m", "data")), strict=True):
                 if (cluster, i, j) != group:
-                    out += _compare_blocks(group, rows, threshold)
+                    out += compare(group, rows)
                     group, rows = (cluster, i, j), []
                 if not rows or rows[-1][1] != row[1]:  # a repeated row brings its set again
                     rows.append(row)
             if len(out) > 5000:
-                yield flush()
-        out += _compare_blocks(group, rows, threshold)
+                yield link_rows(out)
+                out = []
+        out += compare(group, rows)
         if out:
-            yield flush()
+            yield link_rows(out)
 
-    return ordered.mapInArrow(run, "a binary, links long, b binary")
-
-
-def _compare_blocks(group: tuple | None, rows: list, threshold: float) -> list[tuple]:
-    """Exact links between the sets of blocks i and j of a cluster, or inside block i."""
-    if len(rows) < 2:
-        return []
-    same = group[1] == group[2]
-    left = [r for r in rows if r[0] == group[1]]
-    right = left if same else [r for r in rows if r[0] == group[2]]
-    if not left or not right:
-        return []
-    linked = similar(*([np.frombuffer(r[3], dtype=np.uint64) for r in side] for side in (left, right)), threshold)
-    if same:
-        np.fill_diagonal(linked, False)
-    m_left, m_right = (np.array([r[2] for r in side], dtype=np.int64) for side in (left, right))
-    out = [(left[k][1], int(x), None) for k, x in enumerate(linked @ m_right) if x]
-    if not same:
-        out += [(right[k][1], int(x), None) for k, x in enumerate(m_left @ linked) if x]
-    # a spanning forest: breadth first over the block pair's links
-    seen_left, seen_right = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
-    for k in range(len(left)):
-        if seen_left[k]:
-            continue
-        seen_left[k] = True
-        if same:
-            seen_right[k] = True
-        front = [(0, k)]
-        while front:
-            side, x = front.pop()
-            near, seen = (linked[x], seen_right) if side == 0 else (linked[:, x], seen_left)
-            for y in np.flatnonzero(near & ~seen).tolist():
-                seen[y] = True
-                if same:
-                    seen_left[y] = seen_right[y] = True
-                a, b = (left[x][1], right[y][1]) if side == 0 else (right[x][1], left[y][1])
-                out.append((a, None, b))
-                front.append((0 if same else 1 - side, y))
-    return out
+    return ordered.mapInArrow(run, LINK_ROWS)
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -332,7 +334,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -
     return common + 1e-9 >= threshold * union
 
 
-def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, brute_force: int = 128) -> DataFrame:
+def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, brute_force: int = 1024) -> DataFrame:
     """(doc_id, th, n_links, class_id, kept) of every document: th is the hash of its text, n_links the number of other documents whose n-grams are similar
     enough, class_id the smallest doc_id reachable by links, and kept says whether the document is the first of its class."""
     docs = docs.select("doc_id", "text")
@@ -340,21 +342,27 @@ def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     classes = own.where(F.col("set").isNotNull()).groupBy("set").agg(
         F.count("*").alias("m"), F.min(F.struct("doc", "th")).alias("first"), F.first("size").alias("size"), F.first("tokens").alias("tokens")
     )
-    classes = settle(classes.select("set", "m", F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), "size", "tokens"), "classes")
-    clusters = components(candidate_edges(classes.select("set", "tokens"), threshold, recall, brute_force))
+    # a class is known by its first document's key, so the smallest key reachable is that of the first document
+    key = order_key(F.col("first.doc"), F.col("first.th"))
+    classes = settle(classes.select("set", "m", key.alias("key"), F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), "size", "tokens"), "classes")
+    tables: list[DataFrame] = []
+    clusters = components(candidate_edges(classes.select("set", "tokens"), threshold, recall, brute_force, tables))
+    discard(*tables)
     members = classes.drop("tokens").join(clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")), "set")
     texts = docs.where(F.col("text").isNotNull()).select(*document_keys(), "text")
     links = settle(exact_links(texts, members, n, threshold), "links")
+    discard(clusters)
     roots = components(links.where(F.col("b").isNotNull()).select("a", "b"))
-    counts = links.where(F.col("links").isNotNull()).groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
-    rooted = classes.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("set", "m", "doc", "th", F.coalesce("root", "set").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("first"))
-    found = rooted.join(firsts, "root").join(counts, "set", "left")
-    found = settle(found.select("set", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first"), "class-rows")
+    counts = links.where(F.col("links").isNotNull()).groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    root = F.coalesce("root", "key")
+    found = classes.select("set", "m", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").join(counts, "key", "left")
+    found = found.select("set", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), number_at(root, 0).alias("doc0"), number_at(root, 1).alias("th0"))
+    found = settle(found, "class-rows")
+    discard(classes, links, roots)
     alone = own.where(F.col("set").isNull()).select("doc_id", "th", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     joined = own.select("doc_id", "doc", "th", "set").where(F.col("set").isNotNull()).join(found, "set")
-    class_id = F.when((F.col("first.doc") == 2**63 - 1) & F.col("doc_id").isNull(), None).otherwise(F.col("first.doc"))
-    kept = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th"))
+    class_id = F.when((F.col("doc0") == 2**63 - 1) & F.col("doc_id").isNull(), None).otherwise(F.col("doc0"))
+    kept = (F.col("doc") == F.col("doc0")) & (F.col("th") == F.col("th0"))
     return joined.select("doc_id", "th", "n_links", class_id.alias("class_id"), kept.alias("kept")).union(alone)
 
 
