@@ -1,30 +1,33 @@
-"""Line dedup by pairwise alignment.
-
-Documents overlap where they share a line.  Every line of a later document is matched with the same line of the earliest
-document that has it, so there are never more matches than lines: a rare line gives its few overlapping pairs, and a line
-that thousands of documents share gives one match each, with its first holder, not all pairs.  A line of fewer than min_words
-words says little alone, so it is matched by its surroundings: every shortest run of lines around it, begun at whichever line,
-that has min_words words.
-The matches of a pair of documents are then aligned as patience diff does: lines that are unique in both documents are the
-anchors, their longest common increasing sequence is kept, and the other matches fill the gaps between anchors; what
-crosses the alignment is aligned in a further pass, so that moved blocks are found too.  Blocks of consecutive aligned lines
-with at least min_words words are deleted from the later document.
-
-The alignment doesn't change which lines go: what is matched has min_words words by itself, so it is a block whatever stands
-beside it, and what crosses comes in a further pass.  The result is that of exact dedup: a line goes if it stands in a run of
-consecutive lines, of at least min_words words in all, that an earlier document has too.
-
-Lines are compared without the white space around them; blank lines are kept out of matching.  Earlier means a smaller
-doc_id, then a smaller hash of the text; a null doc_id comes last.  Edge cases: a null text stays null; rows equal in doc_id
-and text are one document and are treated alike; a document whose lines are all deleted keeps an empty text; repeated lines
-within one document stay, but where an earlier document has the line, every repetition goes; an empty table gives no rows;
-other columns are returned as they are, but for input columns named like an output column, which are replaced.
+"""Line dedup by pairwise alignment of documents that share rare lines.
+
+A document is the sequence of its lines that aren't blank, without the white space around them; the k-th time that a line
+occurs in a document is a token of its own, so a token stands at one place of a document.  Every document is aligned with
+
+* each earlier document that shares a rare token with it, one that at most RARE documents hold, and
+* for every more frequent token, the first document that holds it, so that what thousands of documents share is found
+  without pairing them all with each other.
+
+A line of fewer than min_words words says little alone, so it brings no documents together by itself; the shortest runs of
+lines around it that have min_words words do, by the same two rules.
+
+A pair is aligned by patience diff over all tokens that both documents hold: lines that occur once in both are the anchors,
+their longest common increasing sequence is kept, and the others fill the gaps between anchors.  A common block is a run of
+aligned lines that follow each other in both documents.  From the later document go the blocks of at least min_words words,
+and, of the lines that cross the alignment, the moved blocks: runs that follow each other in both documents and have at
+least moved_words words.  What crosses the alignment in smaller pieces stays, and so does a block that is too short.
+Where a deleted line of at least min_words words occurs again in the later document, it goes too.
+
+Earlier means a smaller doc_id, then a smaller hash of the text; a null doc_id comes last.  Edge cases: a null text stays
+null; rows equal in doc_id and text are one document and are treated alike, but count each for the frequency of a token; a
+document whose lines are all deleted keeps an empty text; repeated lines within one document stay where no earlier document
+has them; an empty table gives no rows; other columns are returned as they are, but for input columns named like an output
+column, which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,10 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .shared import by_bytes, settle
+from .shared import by_bytes, discard, settle
 
 LAST = 2**63 - 1
-MAX_PASSES = 16
+#: Most documents that hold a rare token: each of them is aligned with every earlier one.
+RARE = 5
+#: What a row of lines_of is: a line that brings documents together, one that is too short for it, a run of lines.
+LINE, SHORT, RUN = 0, 1, 2
+ROWS = "doc long, th long, at int, token binary, words int, kind byte, alone boolean"
+MATCHES = ["doc", "th", "doc0", "th0", "at", "at0", "unique", "words", "kind"]
 
 
 def document_keys() -> list[Column]:
@@ -43,59 +51,71 @@ def document_keys() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th")]
 
 
-def units(lines: list[str], min_words: int) -> list[tuple[int, str, int]]:
-    """(place, text, words) of what is matched: a line by itself, or the shortest runs that hold a short line."""
-    counts, out = [len(x.split()) for x in lines], []
-    for at, n in enumerate(counts):
-        if n >= min_words:
-            out.append((at, lines[at], n))
-            continue
-        first, last, total = at, at, n
-        while first > 0 and total < min_words:
-            first -= 1
-            total += counts[first]
-        while first <= at:  # the shortest run from each line that still holds this one
-            while total < min_words and last + 1 < len(lines):
-                last += 1
-                total += counts[last]
-            if total < min_words:
-                break
-            while last > at and total - counts[last] >= min_words:
-                total -= counts[last]
-                last -= 1
-            if first == at or total - counts[first] < min_words:
-                out.append((at, f"{at - first}\0" + "\n".join(lines[first : last + 1]), total))
-            total -= counts[first]
-            first += 1
+def kept_lines(text: str) -> list[str]:
+    return [x for line in text.split("\n") if (x := line.strip())]
+
+
+def runs_around(counts: list[int], at: int, min_words: int) -> Iterator[tuple[int, int]]:
+    """The shortest runs [first, last] of lines with these numbers of words that hold line at and have min_words words."""
+    first, last, total = at, at, counts[at]
+    while first > 0 and total < min_words:
+        first -= 1
+        total += counts[first]
+    while first <= at:
+        while total < min_words and last + 1 < len(counts):
+            last += 1
+            total += counts[last]
+        if total < min_words:
+            return
+        while last > at and total - counts[last] >= min_words:
+            total -= counts[last]
+            last -= 1
+        if first == at or total - counts[first] < min_words:
+            yield first, last
+        total -= counts[first]
+        first += 1
+
+
+def tokens_of(lines: list[str], min_words: int) -> list[tuple[int, str, int, int, bool]]:
+    """(place, token, words, kind, alone) of a document; a token that occurs again has its number in front, and alone says that
+    the line occurs once."""
+    counts, total, seen = [len(x.split()) for x in lines], Counter(lines), Counter()
+    out, runs = [], set()
+    for at, (line, n) in enumerate(zip(lines, counts, strict=True)):
+        k = seen[line]
+        seen[line] += 1
+        out.append((at, f"{k}\0{line}" if k else line, n, LINE if n >= min_words else SHORT, total[line] == 1))
+        if n < min_words:
+            for first, last in runs_around(counts, at, min_words):
+                run = "\n".join(lines[first : last + 1])
+                if run not in runs and first < last:
+                    runs.add(run)
+                    out.append((first, "\n" + run, 0, RUN, False))
     return out
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, th, at, line, words, alone): place among the lines that aren't blank, hash of what is matched there, its number of
-    words, and whether it occurs once in the document."""
+    """ROWS: the tokens of every document by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             rows: list[tuple] = []
             for doc, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text")), strict=True):
-                found = units([x for line in text.split("\n") if (x := line.strip())], min_words)
-                total = Counter(u[1] for u in found)
-                rows += [(doc, th, at, hashlib.blake2b(unit.encode(), digest_size=16).digest(), words, total[unit] == 1) for at, unit, words in found]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_())
+                rows += [(doc, th, at, hashlib.blake2b(t.encode(), digest_size=16).digest(), words, kind, alone) for at, t, words, kind, alone in tokens_of(kept_lines(text), min_words)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int8(), pa.bool_())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "th", "at", "line", "words", "alone"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "th", "at", "token", "words", "kind", "alone"])
 
-    return docs.mapInArrow(run, "doc long, th long, at int, line binary, words int, alone boolean")
+    return docs.mapInArrow(run, ROWS)
 
 
-def longest_rise(pairs: list[tuple[int, int]], level: bool = False) -> list[tuple[int, int]]:
-    """The longest subsequence of pairs, sorted by their first number, whose second numbers rise, or don't fall if level."""
-    place = bisect_right if level else bisect_left
+def longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest subsequence of pairs, sorted by their first number, whose second numbers rise."""
     ends: list[int] = []
     last: list[int] = []
     back = [-1] * len(pairs)
     for k, (_, b) in enumerate(pairs):
-        i = place(ends, b)
+        i = bisect_left(ends, b)
         back[k] = last[i - 1] if i else -1
         ends[i : i + 1] = [b]
         last[i : i + 1] = [k]
@@ -106,58 +126,88 @@ def longest_rise(pairs: list[tuple[int, int]], level: bool = False) -> list[tupl
     return out[::-1]
 
 
-def align(matches: list[tuple[int, int, bool]]) -> list[list[tuple[int, int]]]:
-    """Alignments, pass by pass, of matches (place in the later document, place in the earlier one, unique in both).  After the
-    first pass a place of the earlier document may be met again, by repetitions in the later one."""
-    left, passes = sorted(matches), []
-    while left:
-        if len(passes) == MAX_PASSES:  # what is as scattered as that is aligned match by match
-            return passes + [[m[:2]] for m in left]
-        level = bool(passes)
-        anchors = longest_rise([(a, b) for a, b, unique in left if unique], level)
-        found, bounds = list(anchors), [(-1, -1), *anchors, (LAST, LAST)]
-        others = [(a, b) for a, b, unique in left if not unique]
-        k = 0
-        for (a0, b0), (a1, b1) in zip(bounds, bounds[1:], strict=False):
-            gap = []
-            while k < len(others) and others[k][0] < a1:
-                if others[k][0] > a0 and (b0 <= others[k][1] <= b1 if level else b0 < others[k][1] < b1):
-                    gap.append(others[k])
-                k += 1
-            found += longest_rise(gap, level)
-        taken = set(found)
-        passes.append(sorted(found))
-        left = [m for m in left if m[:2] not in taken]
-    return passes
-
-
-def deleted_places(matches: list[tuple[int, int, bool, int]], min_words: int) -> set[int]:
-    """Places in the later document that stand in an aligned common block of at least min_words words."""
-    words, out = {a: w for a, _, _, w in matches}, set()
-    for aligned in align([m[:3] for m in matches]):
-        block: list[int] = []
-        for k, (a, b) in enumerate(aligned):
-            if k and (a, b) != (aligned[k - 1][0] + 1, aligned[k - 1][1] + 1):
-                if sum(map(words.__getitem__, block)) >= min_words:
-                    out.update(block)
-                block = []
-            block.append(a)
-        if sum(map(words.__getitem__, block)) >= min_words:
-            out.update(block)
+def align(matches: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """Patience diff of matches (place in the later document, place in the earlier one, unique in both), sorted; no place occurs
+    twice.  Rising in both."""
+    anchors = longest_rise([(a, b) for a, b, unique in matches if unique])
+    others = [(a, b) for a, b, unique in matches if not unique]
+    found, bounds, k = list(anchors), [(-1, -1), *anchors, (LAST, LAST)], 0
+    for (a0, b0), (a1, b1) in zip(bounds, bounds[1:], strict=False):
+        gap = []
+        while k < len(others) and others[k][0] < a1:
+            if others[k][0] > a0 and b0 < others[k][1] < b1:
+                gap.append(others[k])
+            k += 1
+        found += longest_rise(gap)
+    return sorted(found)
+
+
+def blocks(pairs: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Runs of places that follow each other in both documents."""
+    block: list[int] = []
+    for k, (a, b) in enumerate(pairs):
+        if k and (a, b) != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
+            yield block
+            block = []
+        block.append(a)
+    if block:
+        yield block
+
+
+def deleted_places(matches: list[tuple[int, int, bool, int]], min_words: int, moved_words: int) -> set[int]:
+    """Places in the later document of the common blocks, from matches with their words."""
+    words = {a: w for a, _, _, w in matches}
+    aligned = align([m[:3] for m in matches])
+    taken = set(aligned)
+    crossing = [m[:2] for m in matches if m[:2] not in taken]
+    out: set[int] = set()
+    for pairs, least in ((aligned, min_words), (crossing, moved_words)):
+        for block in blocks(pairs):
+            if sum(map(words.__getitem__, block)) >= least:
+                out.update(block)
     return out
 
 
-def find_deletions(lines: DataFrame, min_words: int) -> DataFrame:
+def find_matches(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """MATCHES of every pair of documents that is to be aligned, from ROWS."""
+    stats = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "at", "alone")).alias("first")).where("n > 1")
+    # a token that very many documents hold makes a large join key; the adaptive skew join splits it
+    shared = settle(rows.join(settle(stats, "line-tokens"), "token"), "shared-lines")
+
+    # rare tokens: at most RARE holders meet in a group
+    holders = shared.where(F.col("n") <= RARE).groupBy("token").agg(
+        F.first("words").alias("words"), F.first("kind").alias("kind"), F.array_distinct(F.collect_list(F.struct("doc", "th", "at", "alone"))).alias("held")
+    )
+    later = holders.select("*", F.explode("held").alias("own"))
+    both = later.select("*", F.explode(F.filter("held", lambda h: (h["doc"] < F.col("own.doc")) | ((h["doc"] == F.col("own.doc")) & (h["th"] < F.col("own.th"))))).alias("other"))
+    rare = both.select(
+        F.col("own.doc").alias("doc"), F.col("own.th").alias("th"), F.col("other.doc").alias("doc0"), F.col("other.th").alias("th0"), F.col("own.at").alias("at"),
+        F.col("other.at").alias("at0"), (F.col("own.alone") & F.col("other.alone")).alias("unique"), "words", "kind",
+    )
+    # frequent tokens: the first holder only
+    other_than_first = lambda doc, th: (F.col(doc) != F.col("first.doc")) | (F.col(th) != F.col("first.th"))
+    frequent = shared.where((F.col("n") > RARE) & other_than_first("doc", "th"))
+    hot = frequent.select(
+        "doc", "th", F.col("first.doc").alias("doc0"), F.col("first.th").alias("th0"), "at", F.col("first.at").alias("at0"), (F.col("alone") & F.col("first.alone")).alias("unique"), "words", "kind"
+    )
+    known = settle(rare.unionByName(hot), "line-matches")
+
+    # the frequent lines of these pairs whose first holder is another document
+    pairs = known.where(F.col("kind") != SHORT).select("doc", "th", "doc0", "th0").distinct()
+    own = frequent.where(F.col("kind") != RUN).select("doc", "th", "token", "at", "alone", "words", "kind", "first")
+    wanted = pairs.join(own, ["doc", "th"]).where(other_than_first("doc0", "th0"))
+    held = shared.where((F.col("n") > RARE) & (F.col("kind") != RUN)).select(F.col("doc").alias("doc0"), F.col("th").alias("th0"), "token", F.col("at").alias("at0"), F.col("alone").alias("alone0"))
+    more = wanted.join(held, ["doc0", "th0", "token"]).withColumn("unique", F.col("alone") & F.col("alone0"))
+    tables += [shared, known]
+    return known.unionByName(more.select(*MATCHES))
+
+
+def find_deletions(rows: DataFrame, min_words: int, moved_words: int, tables: list[DataFrame]) -> DataFrame:
     """(doc, th, places): the lines to delete from each later document."""
-    first = lines.groupBy("line").agg(F.min(F.struct("doc", "th", "at", "alone")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = settle(first.select("line", F.col("first.doc").alias("doc0"), F.col("first.th").alias("th0"), F.col("first.at").alias("at0"), F.col("first.alone").alias("alone0")), "first-lines")
-    # a line that very many documents hold makes a large join key; the adaptive skew join splits it
-    matched = lines.join(first, "line").where("doc <> doc0 or th <> th0")
-    matched = matched.select("doc", "th", "doc0", "th0", "at", "at0", (F.col("alone") & F.col("alone0")).alias("unique"), "words")
-    ordered = matched.repartition("doc", "th").sortWithinPartitions("doc", "th", "doc0", "th0", "at")
+    ordered = find_matches(rows, tables).select(*MATCHES).repartition("doc", "th").sortWithinPartitions("doc", "th", "doc0", "th0", "at", "at0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pair, matches, places = None, None, [], set()
+        now, pair, matches, meets, places = None, None, [], False, set()
         done: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -166,21 +216,22 @@ def find_deletions(lines: DataFrame, min_words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ths, pa.int64()), pa.array([sorted(s) for s in sets], pa.list_(pa.int32()))], ["doc", "th", "places"])
 
         for batch in batches:
-            for doc, th, doc0, th0, at, at0, unique, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, th, doc0, th0, at, at0, unique, words, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (doc, th, doc0, th0) != pair:
-                    if matches:
-                        places |= deleted_places(matches, min_words)
-                    pair, matches = (doc, th, doc0, th0), []
+                    if meets and matches:
+                        places |= deleted_places(matches, min_words, moved_words)
+                    pair, matches, meets = (doc, th, doc0, th0), [], False
                     if (doc, th) != now:
                         if places:
                             done.append((*now, places))
                         now, places = (doc, th), set()
-                if not matches or matches[-1][0] != at:  # a repeated row brings each line again, and a short line has several runs
+                meets |= kind != SHORT
+                if kind != RUN and (not matches or matches[-1][0] != at):  # a repeated row brings each match again
                     matches.append((at, at0, unique, words))
             if len(done) > 1000:
                 yield flush()
-        if matches:
-            places |= deleted_places(matches, min_words)
+        if meets and matches:
+            places |= deleted_places(matches, min_words, moved_words)
         if places:
             done.append((*now, places))
         if done:
@@ -189,11 +240,30 @@ def find_deletions(lines: DataFrame, min_words: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc long, th long, places array<int>")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
+def without(text: str, places: set[int], min_words: int) -> tuple[str, int, int]:
+    """The text without the lines at these places and their repetitions, the number of lines, and of deleted ones."""
+    lines = kept_lines(text)
+    gone = {lines[at] for at in places if len(lines[at].split()) >= min_words}
+    drop = places | {at for at, line in enumerate(lines) if line in gone}
+    if not drop:
+        return text, len(lines), 0
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line.strip():
+            if at not in drop:
+                out.append(line)
+            at += 1
+        elif out:
+            out.append(line)
+    return "\n".join(out), len(lines), len(drop)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 4, moved_words: int = 12) -> DataFrame:
     """docs with the deleted lines taken out of text, and n_lines and n_deleted, which count the lines that aren't blank."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    lines = settle(lines_of(docs.where(F.col("text").isNotNull()).select(*document_keys(), "text"), min_words), "lines")
-    places = find_deletions(lines, min_words)
+    rows, tables = settle(lines_of(docs.where(F.col("text").isNotNull()).select(*document_keys(), "text"), min_words), "lines"), []
+    places = settle(find_deletions(rows, min_words, moved_words, tables), "deleted-lines")
+    discard(rows, *tables)
     row = F.struct(*names).alias("row")
     joined = docs.select(row, *document_keys()).join(places, ["doc", "th"], "left").select("row.*", F.col("places").alias("_places"))
 
@@ -201,17 +271,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
         for batch in by_bytes(batches, "text"):
             texts, counts, gone = [], [], []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist(), strict=True):
-                drop, out, at = set(places or ()), [], 0
-                for line in text.split("\n") if text is not None else ():
-                    if line.strip():
-                        if at not in drop:
-                            out.append(line)
-                        at += 1
-                    elif not drop or out:
-                        out.append(line)
-                texts.append(None if text is None else text if not drop else "\n".join(out))
-                counts.append(at)
-                gone.append(len(drop))
+                left = (None, 0, 0) if text is None else without(text, set(places or ()), min_words)
+                for out, x in zip((texts, counts, gone), left, strict=True):
+                    out.append(x)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], [*names, "n_lines", "n_deleted"])
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from fragmill.llm import chosen_path, language_id, line_dedup, url_trie
+from fragmill.llm import block_pairs, chosen_path, html_text, language_id, line_dedup, url_trie
 from fragmill.llm.html_text import extract, main_text
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -99,26 +100,121 @@ def test_blocks_cover_all_pairs() -> None:
     left, right = ([np.unique(rng.integers(0, 30, 20)).astype(np.uint64) for _ in range(n)] for n in (9, 4))
     found = chosen_path.similar(left, right, 0.5)
     assert all(found[i, j] == (len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b))) for i, a in enumerate(left) for j, b in enumerate(right))
-    rows = [(k % 2, bytes([k]), 1, s.tobytes()) for k, s in enumerate([*left, *right])]
+    rows = [(k % 2, bytes([k]), 1 + k % 3, s) for k, s in enumerate([*left, *right])]
+    linked = {(a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and chosen_path.similar([a[3]], [b[3]], 0.4)[0, 0]}
     for group in ((b"c", 0, 0), (b"c", 0, 1), (b"c", 1, 1)):
-        for a, links, b in chosen_path._compare_blocks(group, rows, 0.2):
-            assert (links is None) != (b is None) and isinstance(a, bytes)
-
-
-def plain_line_dedup(docs: list[tuple[int, str]], min_words: int) -> dict[int, list[str]]:
-    """Lines that stay, for documents whose shared lines are in the same order: every line that an earlier document has goes,
-    if its run of such lines that is also a run there has enough words."""
-    first: dict[str, int] = {}
+        pairs = {(a[1], b[1]) for a in rows for b in rows if (a[1], b[1]) in linked and sorted((a[0], b[0])) == list(group[1:])}
+        for tile in (2, 3, 512):
+            out = block_pairs.compare_blocks(group, rows, lambda x, y: chosen_path.similar([r[3] for r in x], [r[3] for r in y], 0.4), tile)
+            assert {a: n for a, n, b in out if b is None} == dict(Counter({a: sum(r[2] for r in rows if (a, r[1]) in pairs) for a, _ in pairs}))
+            edges = [(a, b) for a, _, b in out if b is not None]
+            assert set(edges) <= pairs and components_of(edges) == components_of(pairs)
+            assert len(edges) == len({x for e in edges for x in e}) - len(components_of(edges))
+
+
+def components_of(pairs) -> set[frozenset]:  # noqa: ANN001
+    root: dict = {}
+    for a, b in pairs:
+        x, y = root.setdefault(a, a), root.setdefault(b, b)
+        root = {k: x if r == y else r for k, r in root.items()}
+    return {frozenset(k for k, r in root.items() if r == x) for x in set(root.values())}
+
+
+def test_groups_of_near_copies_are_joined_whole(spark: SparkSession) -> None:
+    """A large node of near copies is one group at once, one with other sets in it is split on."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**32, chosen_path.PLACES, dtype=np.uint32)
+    copies = [np.where(rng.random(len(base)) < 0.9, base, rng.integers(0, 2**32, len(base), dtype=np.uint32)) for _ in range(60)]
+    half = [np.where(np.arange(len(base)) < 20, base, rng.integers(0, 2**32, len(base), dtype=np.uint32)) for _ in range(60)]
+    rows = [(f"{kind}{k:03}".encode(), t.tobytes()) for kind, ts in (("c", copies), ("h", half)) for k, t in enumerate(ts)]
+    edges = chosen_path.candidate_edges(spark.createDataFrame(rows, "set binary, tokens binary"), 0.8, 0.999, brute_force=16).distinct().collect()
+    groups = components_of([(bytes(r["a"]), bytes(r["b"])) for r in edges])
+    assert groups == {frozenset(f"c{k:03}".encode() for k in range(60))}
+
+
+def plain_line_dedup(docs: list[tuple[int, str]], min_words: int, moved_words: int, rare: int) -> dict[int, list[str]]:
+    """Every two documents aligned with difflib-free plain code, where a shared token of either rule brings them together."""
+    split = {doc: [x.strip() for x in text.split("\n") if x.strip()] for doc, text in docs}
+    lines = {doc: [(x, own[:k].count(x)) for k, x in enumerate(own)] for doc, own in split.items()}
+    size = lambda xs: sum(len(x.split()) for x in xs)
+
+    def finders(own: list[str]) -> set:
+        found = {(x, own[:k].count(x)) for k, x in enumerate(own) if size([x]) >= min_words}
+        for i in range(len(own)):
+            for j in range(i + 2, len(own) + 1):
+                run = own[i:j]
+                # the shortest runs with enough words around one of their short lines
+                if size(run) >= min_words and any(size([x]) < min_words and (k == 0 or size(run[1:]) < min_words) and (k == len(run) - 1 or size(run[:-1]) < min_words) for k, x in enumerate(run)):
+                    found.add(tuple(run))
+        return found
+
+    tokens = {doc: finders(own) for doc, own in split.items()}
+    holders: dict = {}
+    for doc in sorted(tokens):
+        for t in tokens[doc]:
+            holders.setdefault(t, []).append(doc)
     out = {}
-    for doc, text in sorted(docs):
-        lines = text.split("\n")
-        out[doc] = [x for x in lines if x not in first or len(x.split()) < min_words]
-        for x in lines:
-            first.setdefault(x, doc)
+    for later in sorted(split):
+        gone: set[int] = set()
+        for earlier in sorted(split):
+            if earlier >= later or not any(t in tokens[earlier] and (len(holders[t]) <= rare or holders[t][0] == earlier) for t in tokens[later]):
+                continue
+            place = {t: k for k, t in enumerate(lines[earlier])}
+            matches = [(k, place[t]) for k, t in enumerate(lines[later]) if t in place]
+            once = [(a, b) for a, b in matches if split[later].count(split[later][a]) == 1 == split[earlier].count(split[earlier][b])]
+            aligned = list(line_dedup.longest_rise(once))
+            bounds = [(-1, -1), *aligned, (10**9, 10**9)]
+            for (a0, b0), (a1, b1) in zip(bounds, bounds[1:], strict=False):
+                aligned += line_dedup.longest_rise([(a, b) for a, b in matches if (a, b) not in once and a0 < a < a1 and b0 < b < b1])
+            for pairs, least in ((set(aligned), min_words), (set(matches) - set(aligned), moved_words)):
+                for a, b in pairs:
+                    if (a - 1, b - 1) not in pairs:
+                        n = next(n for n in range(1, len(pairs) + 1) if (a + n, b + n) not in pairs)
+                        if size(split[later][a : a + n]) >= least:
+                            gone |= set(range(a, a + n))
+        again = {split[later][a] for a in gone if size([split[later][a]]) >= min_words}
+        out[later] = [x for k, x in enumerate(split[later]) if k not in gone and x not in again]
     return out
 
 
+def test_line_dedup_equals_plain_pairs(spark: SparkSession) -> None:
+    rng = random.Random(6)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice((1, 2, 3, 5, 6, 14)))) for _ in range(60)]
+    docs = []
+    for k in range(150):
+        own: list[str] = []
+        for _ in range(rng.randint(1, 5)):
+            if docs and rng.random() < 0.7:  # a stretch of an earlier document, its parts sometimes in another order
+                lines = rng.choice(docs)[1].split("\n")
+                at = rng.randrange(len(lines))
+                parts = [lines[at : at + 2], lines[at + 2 : at + 5]]
+                rng.shuffle(parts)
+                own += [x for p in parts for x in p]
+            else:
+                own.append(rng.choice(pool) if rng.random() < 0.6 else prose(rng.choice((2, 6, 15))))
+        docs.append((k, "\n".join(own[:14])))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table).collect()}
+    expected = plain_line_dedup(docs, 4, 12, line_dedup.RARE)
+    assert {k: [x for x in t.split("\n") if x] for k, t in rows.items()} == expected
+    assert sum(map(len, expected.values())) < sum(len(t.split("\n")) for _, t in docs)
+
+
+def test_the_alignment_decides(spark: SparkSession) -> None:
+    """Lines that cross the alignment stay if they are short, and go as a moved block if they are long."""
+    a, b, c, d = "one line of five words", "another line of six words here", "the third of these lines is here", "and this is the fourth of them all"
+    long = [prose(9), prose(9)]
+    e, f = "eight short words stand here in a row", "twelve words stand in this line and it is one row more"
+    rows = [(1, "\n".join([a, b, c, *long, d])), (2, "\n".join([b, c, d, a])), (4, "\n".join([e, f, *long])), (5, "\n".join([*long, "new", e])), (6, "\n".join([*long, "newer", f]))]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == rows[0][1] and out[2] == a  # all but the line that stands out of order
+    assert out[5] == f"new\n{e}" and out[6] == "newer"  # eight words that cross are too few to be a moved block
+    assert line_dedup.deleted_places([(0, 6, True, 9), (1, 7, True, 9), (2, 0, True, 9), (3, 1, True, 9), (4, 2, True, 9)], 4, 12) == set(range(5))
+    assert line_dedup.deleted_places([(0, 6, True, 9), (2, 0, True, 9), (3, 1, True, 9), (4, 2, True, 9)], 4, 12) == {2, 3, 4}
+
+
 def test_line_dedup(spark: SparkSession) -> None:
+    """A line that many documents hold goes from all but the first; a shared line goes with its pair."""
     common, hot = [prose(12) for _ in range(5)], prose(6)
     docs = []
     for k in range(40):
@@ -127,7 +223,7 @@ def test_line_dedup(spark: SparkSession) -> None:
     docs.append((40, docs[3][1]))
     table = spark.createDataFrame([(k, t, 9) for k, t in docs], "doc_id long, text string, n_lines int")
     rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(table).collect()}
-    assert {k: r["text"].split("\n") if r["text"] else [] for k, r in rows.items() if k < 40} == {k: v for k, v in plain_line_dedup(docs, 4).items() if k < 40}
+    assert {k: [x for x in r["text"].split("\n") if x] for k, r in rows.items()} == plain_line_dedup(docs, 4, 12, line_dedup.RARE)
     assert rows[40]["text"] == "" and rows[40]["n_deleted"] == rows[40]["n_lines"]
 
 
@@ -142,23 +238,22 @@ def test_line_dedup_edges(spark: SparkSession) -> None:
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_short_lines_go_with_every_shared_run() -> None:
-    """A short line goes if a run of shared lines on both of its sides has enough words, as plain search over all runs says."""
+def test_runs_around_short_lines() -> None:
     rng = random.Random(4)
     for _ in range(300):
-        old, new = ([rng.choice(["a", "b", "c d", "e f", "g h i", "k l m n"]) for _ in range(rng.randint(1, 9))] for _ in range(2))
-        runs = {tuple(old[i:j]) for i in range(len(old)) for j in range(i + 1, len(old) + 1)}
-        wanted = {k for i in range(len(new)) for j in range(i + 1, len(new) + 1) if tuple(new[i:j]) in runs and len(" ".join(new[i:j]).split()) >= 4 for k in range(i, j)}
-        held = {u for _, u, _ in line_dedup.units(old, 4)}
-        assert {at for at, u, _ in line_dedup.units(new, 4) if u in held} == wanted
+        counts = [rng.randint(1, 6) for _ in range(rng.randint(1, 9))]
+        for at, n in enumerate(counts):
+            if n < 4:
+                enough = [(i, j) for i in range(at + 1) for j in range(at, len(counts)) if sum(counts[i : j + 1]) >= 4]
+                shortest = {(i, j) for i, j in enough if not any((x, y) != (i, j) and i <= x and y <= j for x, y in enough)}
+                assert set(line_dedup.runs_around(counts, at, 4)) == shortest
 
 
 def test_alignment() -> None:
     assert line_dedup.longest_rise([(0, 5), (1, 1), (2, 2), (3, 9), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
-    moved = [(k, k + 3, True, 5) for k in range(3)] + [(k, k - 3, True, 5) for k in range(3, 6)]
-    assert line_dedup.deleted_places(moved, 10) == set(range(6))
-    assert line_dedup.deleted_places([(0, 0, True, 3), (2, 5, True, 9)], 4) == {2}
-    assert line_dedup.deleted_places([(k, 4, False, 9) for k in range(5)], 4) == set(range(5))
+    assert line_dedup.align([(0, 0, True), (1, 1, False), (2, 5, True), (3, 2, False)]) == [(0, 0), (1, 1), (2, 5)]
+    assert line_dedup.deleted_places([(0, 0, True, 3), (2, 5, True, 9)], 4, 12) == {2}
+    assert line_dedup.deleted_places([(0, 0, True, 2), (1, 1, True, 2)], 4, 12) == {0, 1}
 
 
 def test_held_out(spark: SparkSession) -> None:
@@ -217,6 +312,48 @@ def test_html_keeps_what_stands_in_other_elements() -> None:
         assert main_text(f"<article><p>Words before <{name}>and within it</{name}> and after it.</p></article>").split() == "Words before and within it and after it.".split()
 
 
+ARTICLE_TEXT = "".join(f"<p>Rivers carry silt down to the plain number {k} where farmers have worked the land for many years.</p>" for k in range(5))
+ARTICLE_LINES = [f"Rivers carry silt down to the plain number {k} where farmers have worked the land for many years." for k in range(5)]
+AROUND = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{}<div class='comments'><div class='comment'><p>I liked to read this a lot.</p></div></div><footer><p>Copyright of the authors</p></footer></body></html>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div id="page" class="has-ads"><article>{}</article></div>', '<div class="wrap with-comments">{}</div>', '<article><div class="legal-text">{}</div></article>', '<section id="popular-science">{}</section>',
+    '<form id="aspnetForm">{}</form>', '<div><select><option></div>{}', '<article>{}<script>var x = "<p>no</p>"</article>', "<div><textarea></div>{}", "<div class='sidebar-layout'><div class='ad-free'><main>{}</main></div></div>",
+])
+def test_wrappers_do_not_take_the_article_away(wrapper: str) -> None:
+    for page in (wrapper.format(ARTICLE_TEXT), AROUND.format(wrapper.format(ARTICLE_TEXT))):
+        assert main_text(page).split("\n") == ARTICLE_LINES
+
+
+def test_marked_parts_go_though_they_are_large() -> None:
+    """Comments of more words than the article aren't a wrapper, and neither is a menu on a page without any other text."""
+    said = "".join(f"<div class='comment'><p>This is what reader number {k} says about all of it, and at some length too.</p></div>" for k in range(12))
+    assert main_text(f"<article>{ARTICLE_TEXT}</article><section class='comments'>{said}</section>").split("\n") == ARTICLE_LINES
+    assert main_text(f"<div class='menu'>{'<a href=x>one entry</a> ' * 60}</div>") == ""
+
+
+def test_region_equals_all_intervals() -> None:
+    rng = random.Random(9)
+    for _ in range(400):
+        scores = [rng.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rng.randint(0, 12))]
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        first, last = html_text.best_region(scores)
+        assert sum(scores[first:last]) == max([0, *sums.values()])
+
+
+def test_the_scan_decides_where_no_mark_does() -> None:
+    """Stray sentences behind long lists of links score above zero word by word; the region leaves them out."""
+    linked = "".join(f"<div><div><a href='/{k}'>x{k}</a></div></div>" for k in range(40))
+    page = f"<html><body><p>Free edition.</p>{linked}<div>{ARTICLE_TEXT}</div>{linked}<p>Thank you and come back.</p></body></html>"
+    assert main_text(page).split("\n") == ARTICLE_LINES
+    parts = html_text.scored(page)
+    assert any(score > 0 and isinstance(x, html_text.Run) and "Thank you" in x.text for score, _, x in parts)
+    scores = [p[0] for p in parts]
+    first, last = html_text.best_region(scores)
+    assert sum(scores[first:last]) == pytest.approx(max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)))
+
+
 def test_html_table(spark: SparkSession) -> None:
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, None), (3, "v", "<p>" + "long " * 50000, "x")], "page_id long, url string, html string, text string")
     rows = {r["page_id"]: r for r in extract(pages).collect()}
@@ -253,7 +390,7 @@ def test_pipeline_stages(spark: SparkSession, labelled: DataFrame) -> None:
     seen: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         for line in r["text"].split("\n"):
-            if len(line.split()) >= 8:
+            if len(line.split()) >= 12:  # a shorter line stays where it crosses the alignment
                 assert seen.setdefault(line, r["doc_id"]) == r["doc_id"]
     links, _ = classes_of([r["text"] for r in kept[3].orderBy("doc_id").limit(400).collect()])
     assert not any(links)
