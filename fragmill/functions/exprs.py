@@ -30,9 +30,11 @@ def collapse_spaces(text: Column) -> Column:
 def scan_map(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """Replaces each match of pattern by change(match): a regular-expression replacement with a callback.
 
-    The text is cut into matches and single other characters, and joined again.  pattern may look neither back nor ahead."""
-    parts = F.regexp_extract_all(text, F.lit(rf"(?s){pattern}|."), F.lit(0))
-    return F.array_join(F.transform(parts, lambda s: F.when(s.rlike(rf"^(?:{pattern})\z"), change(s)).otherwise(s)), "")
+    Matches are set off by a mark, at which the text is cut: every second part is a match.  A text without a match isn't
+    cut.  The mark, U+0001, counts as a space where the text itself has it."""
+    mark = "\x01"
+    parts = F.split(F.regexp_replace(F.translate(text, mark, " "), f"(?s){pattern}", f"{mark}$0{mark}"), mark)
+    return F.when(text.rlike(f"(?s){pattern}"), F.array_join(F.transform(parts, lambda s, k: F.when(k % 2 == 1, change(s)).otherwise(s)), "")).otherwise(text)
 
 
 def number_word(digits: Column) -> Column:

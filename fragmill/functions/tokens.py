@@ -17,10 +17,10 @@ both each few more most other some such only own same too very""".split()
 
 def content_tokens(text: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
     """Distinct tokens of a text that aren't stop words or single characters; all tokens if that leaves none."""
-    raw = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0)))
-    stops = F.array(*map(F.lit, stop_words))
-    kept = F.filter(raw, lambda t: (F.length(t) > 1) & ~F.array_contains(stops, t))
-    return F.when(F.size(kept) > 0, kept).otherwise(raw)
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    # array_except is compiled, keeps the order and leaves one of each
+    kept = F.array_except(F.regexp_extract_all(lower, F.lit("[a-z0-9']{2,}"), F.lit(0)), F.lit(list(stop_words)))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array_distinct(F.regexp_extract_all(lower, F.lit("[a-z0-9']+"), F.lit(0))))
 
 
 def spaced(tag: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def rank_facets(instances: DataFrame, queries: DataFrame, limit: int, block_rows: int = 20_000, query_rows: int = 1_000) -> DataFrame:
@@ -49,3 +51,59 @@ def rank_facets(instances: DataFrame, queries: DataFrame, limit: int, block_rows
     found = dealt.mapInArrow(run, "query_id long, entity_id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "entity_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("sim")
+
+
+def score_queries(instances: DataFrame, queries: DataFrame, popularity: DataFrame, limit: int = 100, block_rows: int = 20_000, query_rows: int = 1_000) -> DataFrame:
+    """(query_id, facet, score, rank): the facets of each query in the order of a search for its fragments.
+
+    instances has facet and vector; queries has query_id, fragment and vector, a row for each variant of a fragment; popularity
+    has facet and popularity.  A facet's score is the mean over the query's fragments of the best similarity of any variant to any of
+    its instances; facets are ordered by the score at four places, then by popularity (zero and null last), then by themselves.
+    Blocks of facets meet blocks of queries, and only a block's best facets of each query go on."""
+    known = instances.join(popularity.select("facet", F.nullif(F.col("popularity"), F.lit(0)).cast("double").alias("popularity")), "facet", "left")
+    n, m = known.count(), queries.count()
+    blocks, sets = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
+    number = F.lit(0).cast("int")
+    empty = lambda rows, name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
+    own = known.select(F.lit(False).alias("asks"), "facet", empty(queries, "query_id"), number.alias("fragment"), F.col("vector").cast("array<double>").alias("vector"), "popularity", F.pmod(F.xxhash64("facet"), F.lit(blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("j"))
+    ask = queries.select(F.lit(True).alias("asks"), empty(instances, "facet"), "query_id", F.col("fragment").cast("int").alias("fragment"), F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("double").alias("popularity"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int").alias("j"))
+    dealt = own.unionByName(ask).repartition("i", "j").sortWithinPartitions("i", "j", "asks", "facet", "query_id", "fragment")
+
+    def best(rows: list[tuple]) -> list[tuple]:
+        held, asked = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+        if not held or not asked:
+            return []
+        starts = [k for k, r in enumerate(held) if not k or r[1] != held[k - 1][1]]
+        groups = [k for k, r in enumerate(asked) if not k or r[1:3] != asked[k - 1][1:3]]
+        firsts = [g for g, k in enumerate(groups) if not g or asked[k][1] != asked[groups[g - 1]][1]]
+        sims = np.maximum.reduceat(np.array([r[3] for r in asked]) @ np.array([r[3] for r in held]).T, starts, axis=1)
+        sims = np.maximum.reduceat(sims, groups, axis=0)
+        mean = np.add.reduceat(sims, firsts, axis=0) / np.diff([*firsts, len(groups)])[:, None]
+        places = np.floor(mean * 1e4 + 0.5) / 1e4
+        popular = np.array([np.inf if held[k][4] is None else held[k][4] for k in starts])
+        out = []
+        for q, g in enumerate(firsts):
+            top = np.lexsort((np.arange(len(starts)), popular, -places[q]))[:limit]
+            out += [(asked[groups[g]][1], held[starts[t]][1], float(mean[q, t]), float(places[q, t]), held[starts[t]][4]) for t in top.tolist()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            for i, j, asks, facet, query, *row in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "asks", "facet", "query_id", "fragment", "vector", "popularity")), strict=True):
+                if (i, j) != group:
+                    yield from packed(best(rows))
+                    group, rows = (i, j), []
+                rows.append((asks, query if asks else facet, *row))
+        yield from packed(best(rows))
+
+    kinds = {"query_id": queries.schema["query_id"].dataType, "facet": instances.schema["facet"].dataType, "score": DoubleType(), "places": DoubleType(), "popularity": DoubleType()}
+    arrow = [to_arrow_type(t) for t in kinds.values()]
+
+    def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], list(kinds))
+
+    found = dealt.mapInArrow(run, StructType([StructField(name, t) for name, t in kinds.items()]))
+    w = Window.partitionBy("query_id").orderBy(F.desc("places"), F.asc_nulls_last("popularity"), "facet")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "facet", "score", "rank")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.exprs import let
 
 
 class Encoder(Protocol):
@@ -34,6 +37,37 @@ class HashingEncoder:
         return maps.select("text_hash", dense.alias("vector"))
 
 
+def mean_pool(tokens: Column, mask: Column) -> Column:
+    """The mean of the token vectors (array<array<double>>) whose mask is 1, at unit length, as a native expression."""
+    none = F.transform(F.element_at(tokens, 1), lambda x: F.lit(0.0))
+    held = F.zip_with(tokens, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m.cast("double")))
+    total = F.aggregate(held, none, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    count = F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, m: a + m.cast("double")), F.lit(1e-9))
+
+    def unit(mean: Column) -> Column:
+        norm = F.greatest(F.sqrt(F.aggregate(mean, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
+        return let(norm, lambda n: F.transform(mean, lambda x: x / n))
+
+    return let(F.transform(total, lambda x: x / count), unit)
+
+
+def token_model(tokenize: Callable[[list[str]], list[list[int]]], model: Callable[[np.ndarray, np.ndarray], np.ndarray], max_tokens: int = 256) -> Callable[[list[str]], np.ndarray]:
+    """A batch function for ArrowEncoder of a model that gives a vector for each token: texts are cut after max_tokens tokens and
+    padded with zeros, and the vectors that the mask holds are averaged and brought to unit length."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        ids = [x[:max_tokens] for x in tokenize(texts)]
+        mask = np.zeros((len(ids), max(map(len, ids), default=0) or 1), dtype=np.int64)
+        padded = np.zeros_like(mask)
+        for k, x in enumerate(ids):
+            mask[k, : len(x)], padded[k, : len(x)] = 1, x
+        weights = mask[:, :, None].astype(np.float32)
+        mean = (np.asarray(model(padded, mask)) * weights).sum(1) / np.maximum(weights.sum(1), 1e-9)
+        return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+    return encode
+
+
 class ArrowEncoder:
     """A model applied to batches of texts in tasks, the texts sorted by length so that a batch needs little padding."""
 

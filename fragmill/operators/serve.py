@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.exprs import collapse_spaces
+from ..functions.exprs import bit_set, collapse_spaces, let
 from ..functions.normalize import EMPTY, normalize
 from ..functions.segment import sources
 from . import filters as request
@@ -31,19 +31,25 @@ def image_side(layout: Column, facet_ix: Column) -> Column:
     return F.when(layout.isin(DOUBLE_SIDED) & (facet_ix > 0), "back").otherwise("front")
 
 
+def query_parts(query: Column, keywords: Iterable[str], templates: Mapping[str, str]) -> Column:
+    """array<struct<display, variants>> of queries: the fragments whose plain variant isn't empty, the first of each list of
+    variants."""
+    pieces = sources(F.regexp_replace(query, r"\s*//\s*", "\n"), keywords, templates)
+    kinds = F.lit(QUERY_TYPE_LINES)
+    parts = F.transform(pieces, lambda s: F.struct(s["display"].alias("display"), F.array_distinct(F.transform(kinds, lambda t: normalize(s["source"], F.lit(""), t))).alias("variants")))
+
+    def distinct(said: Column) -> Column:
+        lists = F.transform(said, lambda p: p["variants"])
+        return F.filter(said, lambda p, k: F.array_position(lists, p["variants"]) == k + 1)
+
+    return let(F.filter(parts, lambda p: p["variants"][0] != EMPTY), distinct)
+
+
 def query_fragments(spark: SparkSession, query: str | None, keywords: Iterable[str], templates: Mapping[str, str]) -> list[tuple[str, list[str]]]:
     """(display, variants) of each fragment of a query.  A query has no type line, so a fragment is normalized under each kind
     of self-reference, and its distinct variants are kept; a query is one short text, so this is one small row."""
-    text = F.regexp_replace(F.lit(query or ""), r"\s*//\s*", "\n")
-    parts = F.transform(
-        sources(text, keywords, templates),
-        lambda s: F.struct(s["display"].alias("display"), F.array_distinct(F.array(*(normalize(s["source"], F.lit(""), F.lit(t)) for t in QUERY_TYPE_LINES))).alias("variants")),
-    )
-    out: list[tuple[str, list[str]]] = []
-    for row in spark.range(1).select(parts.alias("parts")).first()["parts"]:
-        if row["variants"][0] != EMPTY and row["variants"] not in [v for _, v in out]:
-            out.append((row["display"], row["variants"]))
-    return out
+    found = spark.range(1).select(query_parts(F.lit(query or ""), keywords, templates).alias("parts")).first()["parts"]
+    return [(part["display"], part["variants"]) for part in found]
 
 
 class Engine:
@@ -53,8 +59,7 @@ class Engine:
         self.spark, self.instances, self.encoder = instances.sparkSession, instances, encoder
         self.keywords, self.templates, self.entities = frozenset(keywords), templates or {}, entities
         own = entities.select("entity_id", "record_id", F.col("name").alias("entity_name"), "layout", "rank", "rarity", "legalities", "border_color", "set_code", "identity", F.col("cmc").alias("cmc"))
-        masks = {"identity_mask": sum((F.when(F.col("identity").contains(c), 1 << k).otherwise(0) for k, c in enumerate(request.COLORS)), F.lit(0))}
-        masks["color_mask"] = F.when(F.col("colors").isNotNull(), sum((F.when(F.array_contains("colors", c), 1 << k).otherwise(0) for k, c in enumerate(request.COLORS)), F.lit(0)))
+        masks = {"identity_mask": bit_set(F.split(F.coalesce("identity", F.lit("")), ""), request.COLORS), "color_mask": bit_set(F.col("colors"), request.COLORS)}
         self.facets = facets.join(own, "entity_id").withColumns(masks).withColumn("image_side", image_side(F.col("layout"), F.col("facet_ix")))
 
     def _hits(self, seed: Seed | None, wanted: request.Filters, limit: int, offset: int, without: Column | None = None) -> DataFrame:

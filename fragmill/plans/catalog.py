@@ -38,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt to all cores where the scan has fewer parts than there are, before work that is heavy for each row: a small
+    file is one part of a scan.  A table of many files is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # V: fragments with vectors
 
 
@@ -248,7 +255,8 @@ def eligible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    rows = documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return rows.where(F.trim("line") != "").withColumn("text_hash", F.sha2("line", 256))
 
 
@@ -348,7 +356,7 @@ def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.normalize import plain_characters
 
-    return table(spark, sf_dir, "documents").select("doc_id", plain_characters(F.col("text")).alias("plain"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", plain_characters(F.col("text")).alias("plain"))
 
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -547,7 +555,7 @@ def fragments_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fragment builder over all part names as if they were rules texts."""
     from ..operators.fragments import fragments
 
-    facets = table(spark, sf_dir, "part").select(
+    facets = spread(table(spark, sf_dir, "part"), "p_partkey").select(
         F.col("p_partkey").alias("entity_id"), F.lit(0).alias("facet_ix"), F.col("p_brand").alias("name"), F.col("p_type").alias("type_line"),
         F.concat(F.lit("{T}: Add {G}{G}. Put +1/+1 on "), "p_name", F.lit("\nFlying, vigilance\n"), "p_type").alias("text"),
     )

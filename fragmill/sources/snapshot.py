@@ -37,15 +37,38 @@ class SnapshotStore:
             stream.close()
 
     def write_json(self, name: str, value: dict) -> None:
-        """Writes beside the file, then renames over it."""
+        """Writes beside the file, then renames over it in one step, so that a reader finds the old or the new one."""
         fs, part = self._fs(f"{self.path}/.{name}.part")
         _, target = self._fs(f"{self.path}/{name}")
         stream = fs.create(part, True)
         stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         stream.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(part, target)
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(part), fs.makeQualified(target), how)  # raises if it fails
+
+    def exists(self, name: str) -> bool:
+        """Whether there is a file or folder below the path, as models/<id>."""
+        fs, target = self._fs(f"{self.path}/{name}")
+        return fs.exists(target)
+
+    def source(self, name: str = "facets", path: str | None = None) -> tuple[DataFrame, str]:
+        """A table from a path of its own or else from the live snapshot, and a text that says which; FileNotFoundError where
+        there is neither."""
+        if path is not None:
+            fs, target = self._fs(path)
+            if not fs.exists(target):
+                raise FileNotFoundError(path)
+            return self.spark.read.parquet(path), path
+        snapshot = (self.current() or {}).get("snapshot")
+        if not snapshot:
+            raise FileNotFoundError(f"no snapshot below {self.path}")
+        if not self.exists(f"snapshots/{snapshot}/{name}"):
+            raise FileNotFoundError(f"snapshot {snapshot} has no {name}")
+        return self.table(name, snapshot), f"snapshot {snapshot}"
 
     def promote(self, model: str) -> None:
         """Makes model the one that later snapshots are built with."""
@@ -82,7 +105,9 @@ class SnapshotStore:
         else:
             vectors = encoder.encode(terms)
         for name, df in {**tables, "vectors": vectors}.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/snapshots/{snapshot}/{name}")
+            keys = [c for c in ("entity_id", "facet_ix", "fragment_ix", "text_hash") if c in df.columns]
+            sorted_rows = df.orderBy(*keys) if keys else df
+            sorted_rows.write.mode("overwrite").parquet(f"{self.path}/snapshots/{snapshot}/{name}")
         self.write_json("current.json", {"snapshot": snapshot, "model": encoder.name, "version": version})
         self.prune()
         return snapshot
@@ -108,6 +133,13 @@ class Follower:
         if not live or live == self.snapshot:
             return False
         fresh = {n: self.store.table(n, live).cache() for n in self.names}
+        try:
+            for df in fresh.values():
+                df.count()  # caching is lazy: the new tables are read before the old ones go
+        except Exception:
+            for df in fresh.values():
+                df.unpersist()
+            raise
         old, self.tables, self.snapshot = self.tables, fresh, live
         for df in old.values():
             df.unpersist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.tokens import query_lines
 
@@ -20,16 +20,22 @@ RECORD = (
 )
 
 
+def line_order() -> Column:
+    """Sorts the rows of a text source by file, and in a file by line.  Within a part of a file the numbers rise; which part gets
+    which numbers is up to Spark, so they count last."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("number"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, gzipped or not, with the fixed schema; ordinal follows file and line order.  A gzipped file is one task's to
+    """JSON lines, gzipped or not, with the fixed schema; ordinal sorts as file and line do.  A gzipped file is one task's to
     read, so what comes after it should repartition."""
-    return spark.read.schema(RECORD).json(path).withColumn("ordinal", F.monotonically_increasing_id())
+    return spark.read.schema(RECORD).json(path).withColumn("ordinal", line_order())
 
 
 def read_tags(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """tags (tag, description) and members (tag, entity, pos) of JSON lines; of a repeated label the last line counts."""
     rows = spark.read.schema("label string, description string, taggings array<struct<oracle_id: string>>").json(path)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.withColumn("_at", line_order())
     last = rows.groupBy("label").agg(F.max(F.struct("_at", "description", "taggings")).alias("r")).select(F.col("label").alias("tag"), "r.description", "r.taggings")
     members = last.select("tag", F.posexplode("taggings").alias("pos", "t")).select("tag", F.col("t.oracle_id").alias("entity"), "pos")
     return last.select("tag", "description"), members
@@ -40,7 +46,7 @@ CACHE = "hash string, text string, queries array<string>, llm string"
 
 def read_query_cache(spark: SparkSession, path: str) -> DataFrame:
     """Generated queries by text hash; the last row of a hash counts."""
-    rows = spark.read.schema(CACHE).json(path).withColumn("_at", F.monotonically_increasing_id())
+    rows = spark.read.schema(CACHE).json(path).withColumn("_at", line_order())
     w = Window.partitionBy("hash").orderBy(F.desc("_at"))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at")
 
@@ -63,6 +69,12 @@ def recover_queries(pairs: DataFrame, triplets: DataFrame, anchors: DataFrame, l
     return rows.where(F.size("queries") > 0)
 
 
+def merge_cache(own: DataFrame, other: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cache with the rows of another one for those wanted texts (text_hash) that it lacks; where both have one, its own stays."""
+    missing = other.join(own.select("hash"), "hash", "left_anti").join(wanted.select(F.col("text_hash").alias("hash")).distinct(), "hash", "left_semi")
+    return own.unionByName(missing)
+
+
 def to_generate(texts: DataFrame, cache: DataFrame, limit: int) -> DataFrame:
     """The first texts by hash that have no cached queries."""
     return texts.join(cache.select(F.col("hash").alias("text_hash")), "text_hash", "left_anti").orderBy("text_hash").limit(limit)
