@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import bucket_of
 from ..functions.tokens import content_tokens, tag_anchors
+from ..sources.scratch import written
 from ..sources.tables import query_pairs
 from . import training
 
@@ -52,7 +53,7 @@ def assemble(
     fragments = texts.select("entity", "fragment", content_tokens(F.col("text")).alias("tokens"))
     # a tag's picks stand in the order of its members: those with one fragment first
     chosen = training.attribute(fragments, own, own_tags, p).join(own, ["tag", "entity"]).join(texts, ["entity", "fragment"])
-    picks = chosen.select("tag", F.struct("entity", "fragment").alias("entity"), "text", F.struct(F.col("margin").isNotNull().alias("late"), "pos", "fragment").alias("pos"))
+    picks = written(chosen.select("tag", F.struct("entity", "fragment").alias("entity"), "text", F.struct(F.col("margin").isNotNull().alias("late"), "pos", "fragment").alias("pos")), "picks")
     pairs = training.self_pairs(texts).select(F.lit("self").alias("kind"), "anchor", "positive")
     none = F.lit(None).cast("string")
     triplets = pairs.limit(0).select(none.alias("tag"), "anchor", "positive", none.alias("negative"))
@@ -62,7 +63,7 @@ def assemble(
     if "tag_descriptions" in augment:
         anchors = own_tags.select("tag", F.explode(tag_anchors(F.col("tag"), F.col("description"))).alias("anchor"))
         pool = training.hard_negatives(picks).join(picks.select("entity", "text").distinct(), "entity").select("tag", "text")
-        rows = training.triplets(picks, pool, anchors, "pos", f"{salt} anchors")
+        rows = written(training.triplets(picks, pool, anchors, "pos", f"{salt} anchors"), "triplets")
         triplets = rows.where(F.col("negative").isNotNull())
         pairs = pairs.unionAll(rows.where(F.col("negative").isNull()).select(F.lit("anchor"), "anchor", "positive"))
     if "llm_queries" in augment and cache is not None:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.tokens import content_tokens, spaced
+from ..sources.scratch import written
 from .sequences import adjacent_pairs, hash_order
 
 
@@ -55,9 +56,10 @@ def attribute(fragments: DataFrame, members: DataFrame, tags: DataFrame | None =
 
     A member with one fragment needs no evidence (margin null).  One with several gets the fragment whose mean lift leads by
     min_margin, if the tag has min_members members.  A tag that resolves too few of its members is dropped whole."""
-    own = members.select("tag", "entity").distinct().join(fragments, "entity")
+    fragments, members = written(fragments, "fragments"), written(members.select("tag", "entity").distinct(), "members")  # tokens are made once
+    own = members.join(fragments, "entity")
     sizes = fragments.groupBy("entity").agg(F.count("*").alias("k"))
-    facets = members.select("tag", "entity").distinct().join(sizes, "entity")
+    facets = members.join(sizes, "entity")
     per_tag = facets.groupBy("tag").agg(F.count("*").alias("n"), F.count(F.when(F.col("k") > 1, 1)).alias("multis"))
     lift = token_lift(fragments, members, tags, p)
     exploded = own.select("tag", "entity", "fragment", F.explode_outer("tokens").alias("token"))
@@ -87,6 +89,7 @@ def co_tags(members: DataFrame, sample: int = 200, min_overlap: int = 3, most: i
 
 def hard_negatives(members: DataFrame, cap: int = 2000, **options: int) -> DataFrame:
     """(tag, entity, pool_pos): members of associated tags that aren't members of the tag, the strongest association first."""
+    members = written(members.select("tag", "entity", "pos"), "members")
     near = co_tags(members, **options)
     pool = near.join(members.select(F.col("tag").alias("other"), "entity", "pos"), "other").join(members.select("tag", "entity"), ["tag", "entity"], "left_anti")
     first = pool.groupBy("tag", "entity").agg(F.min(F.struct("place", "pos")).alias("at"))
