@@ -17,7 +17,7 @@ CASES = [
     ("{T}: Add {G}.", "Grove", "Basic Land — Forest", "tap this land: Add one green mana."),
     ("{T}: Add {C}.", "Thing", "", "tap this card: Add one colorless mana."),
     ("{2}{G}{G}, {T}: Draw a card.", "Thing", "Artifact", "pay two generic mana and two green mana and tap this artifact: Draw a card."),
-    ("{Q}: Draw a card", "Thing", "Creature — Bird", "untap this creature: Draw a card."),
+    ("{Q}: Look at the top of it", "Crane", "Creature — Heron", "untap this creature: Look at the top of it."),
     ("Thing deals 3 damage to Thing.", "Thing", "Instant", "this spell deals three damage to this spell."),
     ("Ann, Lost Heir fights. Ann wins.", "Ann, Lost Heir", "Legendary Creature — Human", "this creature fights. this creature wins."),
     ("Put a +1/+1 counter on it.", "", "", "Put a plus one strength and plus one toughness counter on it."),
