@@ -334,7 +334,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -
     return common + 1e-9 >= threshold * union
 
 
-def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, brute_force: int = 1024) -> DataFrame:
+def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, brute_force: int = 1024, block_sets: int = 256) -> DataFrame:
     """(doc_id, th, n_links, class_id, kept) of every document: th is the hash of its text, n_links the number of other documents whose n-grams are similar
     enough, class_id the smallest doc_id reachable by links, and kept says whether the document is the first of its class."""
     docs = docs.select("doc_id", "text")
@@ -350,7 +350,7 @@ def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     discard(*tables)
     members = classes.drop("tokens").join(clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")), "set")
     texts = docs.where(F.col("text").isNotNull()).select(*document_keys(), "text")
-    links = settle(exact_links(texts, members, n, threshold), "links")
+    links = settle(exact_links(texts, members, n, threshold, block_sets), "links")
     discard(clusters)
     roots = components(links.where(F.col("b").isNotNull()).select("a", "b"))
     counts = links.where(F.col("links").isNotNull()).groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))

@@ -64,36 +64,44 @@ class ByteCnn:
         self.dense = rng.normal(0, 0.3, (len(WIDTHS) * FILTERS, len(labels))).astype(np.float32)
         self.bias = np.zeros(len(labels), dtype=np.float32)
 
+    def weights(self) -> list[np.ndarray]:
+        return [self.embedding, *self.banks, self.dense, self.bias]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean cross entropy of windows x with labels y, and its gradients by the weights."""
+        pooled, where = [], []
+        for w, bank in zip(WIDTHS, self.banks, strict=True):
+            n = WINDOW - w + 1
+            out = sum((self.embedding @ bank[j])[x[:, j : j + n]] for j in range(w))
+            where.append(out.argmax(1))
+            pooled.append(np.take_along_axis(out, where[-1][:, None, :], 1)[:, 0])
+        h = np.concatenate(pooled, 1)
+        active = np.maximum(h, 0)
+        p = _softmax(active @ self.dense + self.bias)
+        loss = float(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-30)).mean())
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        g_h = (p @ self.dense.T) * (h > 0)
+        grads = [np.zeros_like(self.embedding), *(np.zeros_like(b) for b in self.banks), active.T @ p, p.sum(0)]
+        for i, (w, bank) in enumerate(zip(WIDTHS, self.banks, strict=True)):
+            g = g_h[:, i * FILTERS : (i + 1) * FILTERS]
+            for j in range(w):
+                byte = np.take_along_axis(x, where[i] + j, 1)
+                table = np.zeros((256, FILTERS), dtype=g.dtype)
+                np.add.at(table, (byte, np.arange(FILTERS)[None, :]), g)
+                grads[0] += table @ bank[j].T
+                grads[1 + i][j] = self.embedding.T @ table
+        return loss, grads
+
     def fit(self, windows: np.ndarray, target: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 7) -> ByteCnn:
         """Adam on the cross entropy.  Only the windows' maxima carry gradients back to the filters and embeddings."""
         rng = np.random.default_rng(seed)
-        weights = [self.embedding, *self.banks, self.dense, self.bias]
+        weights = self.weights()
         first, second, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
         for epoch in range(epochs):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), batch):
-                x, y = windows[order[at : at + batch]], target[order[at : at + batch]]
-                pooled, where = [], []
-                for w, bank in zip(WIDTHS, self.banks, strict=True):
-                    n = WINDOW - w + 1
-                    out = sum((self.embedding @ bank[j])[x[:, j : j + n]] for j in range(w))
-                    where.append(out.argmax(1))
-                    pooled.append(np.take_along_axis(out, where[-1][:, None, :], 1)[:, 0])
-                h = np.concatenate(pooled, 1)
-                active = np.maximum(h, 0)
-                p = _softmax(active @ self.dense + self.bias)
-                p[np.arange(len(y)), y] -= 1
-                p /= len(y)
-                g_h = (p @ self.dense.T) * (h > 0)
-                grads = [np.zeros_like(self.embedding), *(np.zeros_like(b) for b in self.banks), active.T @ p, p.sum(0)]
-                for i, (w, bank) in enumerate(zip(WIDTHS, self.banks, strict=True)):
-                    g = g_h[:, i * FILTERS : (i + 1) * FILTERS]
-                    for j in range(w):
-                        byte = np.take_along_axis(x, where[i] + j, 1)
-                        table = np.zeros((256, FILTERS), dtype=np.float32)
-                        np.add.at(table, (byte, np.arange(FILTERS)[None, :]), g)
-                        grads[0] += table @ bank[j].T
-                        grads[1 + i][j] = self.embedding.T @ table
+                grads = self.gradients(windows[order[at : at + batch]], target[order[at : at + batch]])[1]
                 t += 1
                 step = rate * (1 - epoch / epochs)
                 for w, g, m, v in zip(weights, grads, first, second, strict=True):

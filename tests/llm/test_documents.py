@@ -62,7 +62,7 @@ def texts() -> list[str | None]:
 
 def test_similarity_join(spark: SparkSession, texts: list[str | None]) -> None:
     docs = spark.createDataFrame([(k, t, 1, "z") for k, t in enumerate(texts)], "doc_id long, text string, n_links int, class_id string")
-    rows = {r["doc_id"]: r for r in chosen_path.similarity_join(docs, brute_force=8).collect()}
+    rows = {r["doc_id"]: r for r in chosen_path.similarity_join(docs, brute_force=8, block_sets=8).collect()}
     links, root = classes_of(texts)
     assert [rows[k]["n_links"] for k in range(len(texts))] == links
     assert [rows[k]["class_id"] for k in range(len(texts))] == root
@@ -280,6 +280,39 @@ def test_language(spark: SparkSession, labelled: DataFrame) -> None:
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_gradients_equal_differences() -> None:
+    net, rng = language_id.ByteCnn(["a", "b", "c"]), np.random.default_rng(2)
+    net.embedding, net.dense, net.bias = (w.astype(np.float64) for w in (net.embedding, net.dense, net.bias))
+    net.banks = [b.astype(np.float64) for b in net.banks]
+    x, y = rng.integers(0, 256, (4, language_id.WINDOW)), np.array([0, 1, 2, 1])
+    grads = net.gradients(x, y)[1]
+    for weight, grad in zip(net.weights(), grads, strict=True):
+        for at in rng.permutation(np.flatnonzero(np.abs(grad) > 1e-4))[:5]:
+            before = weight.flat[at]
+            losses = []
+            for step in (1e-6, -1e-6):
+                weight.flat[at] = before + step
+                losses.append(net.gradients(x, y)[0])
+            weight.flat[at] = before
+            assert (losses[0] - losses[1]) / 2e-6 == pytest.approx(grad.flat[at], rel=1e-3, abs=1e-7)
+
+
+def test_whole_texts_equal_plain_prediction(spark: SparkSession) -> None:
+    """Every window of a text takes part, by its bytes; sums over bytes instead of tables."""
+    net = language_id.ByteCnn(["a", "b", "c"])
+    texts = ["short words", "é" * 300 + " and more", prose(300)]
+    rows = language_id.predict(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), net).collect()
+    for r in rows:
+        data, total = texts[r["doc_id"]].encode(), np.zeros(3)
+        for at in range(0, len(data), language_id.WINDOW):
+            part = data[at : at + language_id.WINDOW]
+            window = net.embedding[np.frombuffer(part.ljust(language_id.WINDOW, b"\0"), dtype=np.uint8)]
+            pooled = [max(sum(window[i + j] @ bank[j][:, f] for j in range(w)) for i in range(language_id.WINDOW - w + 1)) for w, bank in zip(language_id.WIDTHS, net.banks, strict=True) for f in range(language_id.FILTERS)]
+            e = np.exp(np.maximum(pooled, 0) @ net.dense + net.bias)
+            total += len(part) * e / e.sum()
+        assert r["lang_pred"] == net.labels[int(total.argmax())] and r["score"] == pytest.approx(total.max() / len(data), abs=1e-4)
+
+
 def test_tables_equal_the_filters() -> None:
     """A window's response by tables equals the sum over its bytes."""
     net = language_id.ByteCnn(["a", "b"])
@@ -396,3 +429,30 @@ def test_pipeline_stages(spark: SparkSession, labelled: DataFrame) -> None:
     assert not any(links)
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept[3], sf_dir)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept[3].collect()}
+
+
+def test_pipeline_stages_on_odd_documents(spark: SparkSession) -> None:
+    """Nulls, empty and very long texts, repeated rows, ties and clashing names pass every stage; what a stage keeps is as it
+    was but for the deleted lines."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = real.where("lang = 'en' AND n_chars > 400").orderBy("doc_id").first()["text"]
+    long = "\n".join(" ".join(some.split()[k % 50 : k % 50 + 8] + [f"w{k}"]) for k in range(12_000))
+    rows = [(None, None, None, None, None), (900_001, "", "en", "s", 0), (900_002, " \n ", None, None, 3), (900_003, "12 34", "en", "s", 5), (900_004, long, None, "s", len(long)), (900_005, some + " it was", "en", None, 9), (900_005, some + " it was", "en", None, 9), (None, some + " she said to the other", None, None, None)]
+    clash = {c: F.lit(c) for c in ("lang_pred", "score", "n_lines", "n_deleted", "set", "tokens", "cluster", "doc", "th", "key", "row", "piece", "length", "rank", "salt", "token", "first")}
+    docs = real.unionByName(spark.createDataFrame(rows, SCHEMA)).withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "").cache()
+        assert kept.columns == [c for c in docs.columns], name
+        ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+        assert 900_001 not in ids and 900_003 not in ids and 900_004 in ids, name
+        assert ids.count(900_005) == (1 if name == "near_duplicates" else 2), name
+        docs = kept
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    held: dict = {}
+    for r in pieces:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    for own in held.values():
+        assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0

@@ -75,6 +75,8 @@ def test_near_duplicates(spark: SparkSession, leaf_vectors: int) -> None:
         base = rng.normal(size=16)
         vectors += [base + rng.normal(size=16) * 0.05 * (j + 1) for j in range(1 + k % 6)]
     vectors += [vectors[0]] * 30 + [vectors[1] * 4.0]
+    # more than a leaf of vectors that no projection tells apart, so that a leaf is compared in several blocks
+    vectors += [vectors[0] + rng.normal(size=16) * 1e-4 for _ in range(70)]
     vectors = [[float(np.float32(x)) for x in v] for v in vectors] + [None, [], [0.0] * 16, [1.0, None], [float("nan")] * 16, [1.0, 2.0], [2.0, 4.0]]
     table = spark.createDataFrame([(k, v, 0, 0) for k, v in enumerate(vectors)], SCHEMA)
     rows = {r["vec_id"]: r for r in near_duplicates(table, leaf_vectors=leaf_vectors).collect()}
