@@ -2,6 +2,11 @@
 
 Every stage is a function of (spark, docs, sf_dir) over all that its predecessor kept; run() writes each stage's result as
 Parquet in the shared folder and reads it back as the next one's documents.
+
+Edge cases: null texts and texts without letters go at the first stage; a stage given them all the same keeps null and empty
+texts but for `lines`, which drops documents of which nothing is left; rows equal in doc_id and text are one document to
+`lines` and `near_duplicates`, of which the latter keeps one; very long texts are whole; of ties the smaller doc_id stays, a
+null one comes last; empty tables stay empty; other columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
