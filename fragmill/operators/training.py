@@ -90,10 +90,11 @@ def co_tags(members: DataFrame, sample: int = 200, min_overlap: int = 3, most: i
 def hard_negatives(members: DataFrame, cap: int = 2000, **options: int) -> DataFrame:
     """(tag, entity, pool_pos): members of associated tags that aren't members of the tag, the strongest association first."""
     members = written(members.select("tag", "entity", "pos"), "members")
-    near = co_tags(members, **options)
+    near = written(co_tags(members, **options), "co-tags")  # a few rows for each tag: Spark sees how large they are
     pool = near.join(members.select(F.col("tag").alias("other"), "entity", "pos"), "other").join(members.select("tag", "entity"), ["tag", "entity"], "left_anti")
     first = pool.groupBy("tag", "entity").agg(F.min(F.struct("place", "pos")).alias("at"))
-    place = F.row_number().over(Window.partitionBy("tag").orderBy("at", "entity"))
+    # by the parts of the struct, which sort faster than it
+    place = F.row_number().over(Window.partitionBy("tag").orderBy("at.place", "at.pos", "entity"))
     return first.withColumn("pool_pos", place).where(F.col("pool_pos") <= cap).select("tag", "entity", "pool_pos")
 
 
