@@ -31,13 +31,17 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table that is removed when the application ends: computed once, and not again if an executor is lost."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the application ends."""
     base = f"{shared_folder(spark)}/fragmill-tables-{spark.sparkContext.applicationId}"
     if base not in _bases:
         _bases.add(base)
         atexit.register(remove, spark, base)
-    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table that is removed when the application ends: computed once, and not again if an executor is lost."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
