@@ -539,7 +539,7 @@ def sitemap_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.agg(F.array_join(entries, "\n").alias("sitemap"), F.count("*").alias("n"))
 
 
-# without SQL: tested against exact strings and plain versions
+# the encoder has no SQL here: hashing_encoder_lines has, and a test
 
 
 @query(None)
@@ -550,7 +550,11 @@ def hashing_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return HashingEncoder(64).encode(terms)
 
 
-@query(None)
+@query(
+    """WITH f AS (SELECT p_partkey, generate_subscripts([1, 2, 3, 4], 1) - 1 AS ix, unnest([('{T}: Add {G}{G}. Put +1/+1 on ' || p_name, 'tap this card: Add two green mana. Put plus one strength and plus one toughness on ' || p_name || '.', false),
+('Flying', 'Flying.', true), ('vigilance', 'vigilance.', true), (p_type, p_type || '.', false)]) AS r FROM part)
+SELECT p_partkey AS entity_id, 0 AS facet_ix, ix::INTEGER AS fragment_ix, r[1] AS text, r[2] AS normalized, sha256(r[2]) AS text_hash, r[3] AS is_keyword FROM f"""
+)
 def fragments_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fragment builder over all part names as if they were rules texts."""
     from ..operators.fragments import fragments
