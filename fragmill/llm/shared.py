@@ -1,55 +1,14 @@
-"""Session helpers of the training-data operators: the shared folder for tables that cut lineage, and Arrow slicing."""
+"""Helpers of the training-data operators: tables in the shared folder that cut lineage, sortable keys, and Arrow slicing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; in a plain local session without one, a temporary folder.
-
-    On a cluster the setting is required, because executors do not see each other's local folders.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="fragmill-")
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    base = f"{shared_folder(spark)}/fragmill-{spark.sparkContext.applicationId}"
-    if base not in _bases:
-        _bases.add(base)
-        atexit.register(_remove, spark, base)
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-_bases: set[str] = set()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder through Spark's file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        remove(spark, path)
+from ..sources.scratch import new_path, remove
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
