@@ -163,5 +163,86 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_ngram_join, op4_exact_top_k, op5_url_filters, op6_bpe, op7_line_dedup, op8_html_text, op9_embedding_dedup, op10_language_id)}
-ORACLES = {"op3_ngram_join": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_url_filters": OP5_SQL, "op9_embedding_dedup": OP9_SQL}
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_clustering import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, seed=3, scale=1024, size=64)
+
+
+def _op12_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """The rounds one after the other: every round's centroids are a table of (cluster, place, value)."""
+    near = "SELECT x.row, arg_min(s.cluster, (s.distance, s.cluster)) AS cluster, min(s.distance) AS distance FROM (SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS distance FROM v JOIN c{r} c USING (place) GROUP BY ALL) s JOIN ids x USING (row) GROUP BY x.row"
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS xs
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+)""",
+        "ids AS MATERIALIZED (SELECT row, vec_id FROM kept)",
+        "v AS MATERIALIZED (SELECT row, unnest(range(64)) AS place, unnest(xs) AS x FROM kept)",
+        f"starts AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || vec_id), xs) - 1 AS cluster FROM kept QUALIFY cluster < {clusters})",
+        "c0 AS MATERIALIZED (SELECT cluster, place, x FROM starts JOIN v USING (row))",
+    ]
+    for r in range(rounds):
+        parts.append(f"n{r} AS MATERIALIZED ({near.format(r=r)})")
+        parts.append(
+            f"c{r + 1} AS MATERIALIZED (SELECT cluster, place, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN"
+            f" (SELECT cluster, place, (sum(v.x) - (((sum(v.x) % count(*)) + count(*)) % count(*))) // count(*) AS x FROM n{r} JOIN v USING (row) GROUP BY ALL) m USING (cluster, place))"
+        )
+    parts.append(f"last AS MATERIALIZED ({near.format(r=rounds)})")
+    parts.append(f"names AS (SELECT cluster, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY place)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM last JOIN ids USING (row) JOIN names USING (cluster)
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
+OP13_SQL = r"""
+WITH crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS entries
+  FROM (SELECT unnest(range(256)) AS i)
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), dw AS MATERIALIZED (SELECT row, unnest(words) AS word FROM d),
+bw AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+), spelled AS (
+  SELECT word, hex(encode(word)) AS digits FROM (SELECT word FROM dw UNION SELECT word FROM bw)
+), hashed AS MATERIALIZED (
+  SELECT word, xor(4294967295, list_reduce(
+    list_transform(range(1, len(digits), 2), lambda p: 16 * (strpos('0123456789ABCDEF', digits[p]) - 1) + strpos('0123456789ABCDEF', digits[p + 1]) - 1),
+    lambda c, b: xor(c // 256, entries[xor(c % 256, b) + 1]), 4294967295)) % 10000 AS bucket
+  FROM spelled, crc_table
+), s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (word) GROUP BY bucket),
+g AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+                                 / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), f AS (
+  SELECT row, count(*) AS n, sum(gain)::BIGINT AS total FROM dw JOIN hashed USING (word) JOIN g USING (bucket) GROUP BY row
+), w AS (
+  SELECT row, doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - (((total % n) + n) % n)) // n END AS weight,
+         list_reduce(list_transform(range(1, 9), lambda p: strpos('0123456789abcdef', sha256('2024:' || doc_id)[p]) - 1), lambda a, b: 16 * a + b) AS h
+  FROM d LEFT JOIN f USING (row)
+), z AS (
+  SELECT row, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w
+), r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id, row) AS place FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+       CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM r) THEN place END AS rank
+FROM z LEFT JOIN r USING (row)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_ngram_join, op4_exact_top_k, op5_url_filters, op6_bpe, op7_line_dedup, op8_html_text, op9_embedding_dedup, op10_language_id, op12_centroid_clustering, op13_importance_resampling)}
+ORACLES = {"op3_ngram_join": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_url_filters": OP5_SQL, "op9_embedding_dedup": OP9_SQL, "op12_centroid_clustering": _op12_sql(), "op13_importance_resampling": OP13_SQL}
