@@ -163,6 +163,12 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 """
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"), length=50)
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kd_clustering import cluster
 
@@ -244,5 +250,5 @@ FROM z LEFT JOIN r USING (row)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_ngram_join, op4_exact_top_k, op5_url_filters, op6_bpe, op7_line_dedup, op8_html_text, op9_embedding_dedup, op10_language_id, op12_centroid_clustering, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_ngram_join, op4_exact_top_k, op5_url_filters, op6_bpe, op7_line_dedup, op8_html_text, op9_embedding_dedup, op10_language_id, op11_substring_dedup, op12_centroid_clustering, op13_importance_resampling)}
 ORACLES = {"op3_ngram_join": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_url_filters": OP5_SQL, "op9_embedding_dedup": OP9_SQL, "op12_centroid_clustering": _op12_sql(), "op13_importance_resampling": OP13_SQL}
