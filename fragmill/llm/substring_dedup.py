@@ -142,6 +142,13 @@ def _by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(keys[rows[0]]), rows
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table.column(column).to_pylist() if x), dtype=kind)
 
@@ -217,7 +224,7 @@ def _met_twice(table: pa.Table) -> pa.Table:
     codes = codes[n > 1]
     out = []
     for bucket, block, own in zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), lists, strict=True):
-        own = np.unique(own[np.isin(own, codes)])
+        own = np.unique(own[_among(own, codes)])
         if len(own):
             out.append((bucket, block, own.tobytes()))
     return _rows(CODES, out)
@@ -230,7 +237,7 @@ def _send_pieces(length: int, buckets: int):
         block = Block(docs, length)
         lists = zip(met.column("bucket").to_pylist(), met.column("codes").to_pylist(), strict=True)
         wanted = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, dtype=np.uint32) for b, x in lists])
-        own = np.flatnonzero(np.isin(_key(block.anchor, buckets), wanted))
+        own = np.flatnonzero(_among(_key(block.anchor, buckets), np.sort(wanted)))
         own = own[np.lexsort((block.doc[own], block.piece[own], block.anchor[own]))]
         anchor, piece, doc = block.anchor[own], block.piece[own], block.doc[own]
         first = _first_of(anchor, piece)
