@@ -1,7 +1,7 @@
 """Set similarity of facets to a small seed of fragment vectors: IDF-weighted Chamfer means, rejection, display and top-k.
 
-The seed is a few vectors (a request's, or one facet's), so it enters the plan as literals: every instance gets its
-similarities in one projection, and one aggregation per facet gives the whole score, without a join or a second shuffle."""
+The seed is a few vectors (a request's, or one facet's), so it enters the plan as literals: every instance, or every distinct
+vector, gets its similarities in one projection, and one aggregation per facet gives the whole score."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.exprs import dot
 
@@ -42,10 +42,12 @@ def best_similarity(vector: Column, group: Sequence[Sequence[float]]) -> Column:
     return sims[0] if len(sims) == 1 else F.greatest(*sims)
 
 
-def seed_of_facet(instances: DataFrame, facet: Column, include: Sequence[int] = (), exclude: Sequence[int] = ()) -> Seed | None:
-    """The seed for a facet's own fragments; instances has fragment_ix, vector and idf.  Excluded fragments are rejected, and
-    exclude wins over include.  None if nothing is left to search for."""
-    rows = instances.where(facet).select("fragment_ix", "idf", "vector").orderBy("fragment_ix").limit(MAX_SEED + 1).collect()
+def seed_of_facet(instances: DataFrame, facet: Column, include: Sequence[int] = (), exclude: Sequence[int] = (), vectors: DataFrame | None = None) -> Seed | None:
+    """The seed for a facet's own fragments; instances has fragment_ix, idf and either vector or the text_hash of vectors.
+    Excluded fragments are rejected, and exclude wins over include.  None if nothing is left to search for."""
+    own = instances.where(facet)
+    own = own if vectors is None else own.join(vectors, "text_hash")
+    rows = own.select("fragment_ix", "idf", "vector").orderBy("fragment_ix").limit(MAX_SEED + 1).collect()
     n = len(rows)
     if n > MAX_SEED:
         raise ValueError(f"a seed holds at most {MAX_SEED} vectors, the facet has more fragments")
@@ -56,15 +58,42 @@ def seed_of_facet(instances: DataFrame, facet: Column, include: Sequence[int] =
     return Seed([[rows[i]["vector"]] for i in wanted], [rows[i]["idf"] for i in wanted], [rows[i]["vector"] for i in rejected], len(wanted) == n)
 
 
+def _similar(seed: Seed, vector: Column) -> list[Column]:
+    """One similarity a wanted fragment, and that to the rejected vectors."""
+    return [best_similarity(vector, g).alias(f"_s{k}") for k, g in enumerate(seed.groups)] + ([best_similarity(vector, seed.rejected).alias("_rejected")] if seed.rejected else [])
+
+
+def similarities(vectors: DataFrame, seed: Seed, by: str = "text_hash", counted: Observation | None = None) -> DataFrame:
+    """The similarities of every distinct vector (by, vector) to the seed; counted gets their number as vectors."""
+    rows = vectors.select(by, "vector")
+    rows = rows.observe(counted, F.count(F.lit(1)).alias("vectors")) if counted else rows
+    return rows.select(by, *_similar(seed, F.col("vector")))
+
+
 def score(instances: DataFrame, seed: Seed, keys: Sequence[str], ignore: float = 0.70, drop: float = 0.90, margin: float = 0.05) -> DataFrame:
-    """keys, score and display of every facet that isn't rejected.
+    """keys, score and display of every facet that isn't rejected; instances carry their vectors."""
+    rows = instances.select(*keys, "fragment_ix", "idf", "text", *_similar(seed, F.col("vector")))
+    return score_facets(rows, seed, keys, ignore, drop, margin)
+
+
+def score_distinct(instances: DataFrame, vectors: DataFrame, seed: Seed, keys: Sequence[str], by: str = "text_hash", alive: DataFrame | None = None, counted: Observation | None = None, **bounds: float) -> DataFrame:
+    """The same in two steps, where instances share vectors: each distinct vector is compared once, and what is joined to its
+    instances are a few numbers instead of the vector.
+
+    Tables that are bucketed by the same key join without a shuffle; alive (keys) leaves out facets after that, on the keys by
+    which they are then aggregated, so that the narrow rows are dealt out once."""
+    rows = instances.select(by, *keys, "fragment_ix", "idf", "text").join(similarities(vectors, seed, by, counted), by)
+    rows = rows if alive is None else rows.join(alive.select(*keys), list(keys), "left_semi")
+    return score_facets(rows, seed, keys, **bounds)
+
+
+def score_facets(rows: DataFrame, seed: Seed, keys: Sequence[str], ignore: float = 0.70, drop: float = 0.90, margin: float = 0.05) -> DataFrame:
+    """One aggregation a facet over instances with their similarities.
 
     forward is the mean over the seed of its best match on the facet, backward the IDF-weighted mean over the facet's
     fragments of their best match in the seed.  A facet's similarity to a rejected vector scales its score down from ignore
     on and drops it from drop on.  display is the most distinctive fragment among those within margin of the best one."""
     names = [f"_s{k}" for k in range(len(seed.groups))]
-    rows = instances.select(*keys, "fragment_ix", "idf", "text", *(best_similarity(F.col("vector"), g).alias(n) for g, n in zip(seed.groups, names, strict=True)),
-                            *([best_similarity(F.col("vector"), seed.rejected).alias("_rejected")] if seed.rejected else []))
     best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
     rows = rows.withColumn("_best", best)
     aggregates = [F.max(n).alias(n) for n in names]

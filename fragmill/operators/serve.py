@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,10 +12,13 @@ from ..functions.normalize import EMPTY, normalize
 from ..functions.segment import sources
 from . import filters as request
 from .encode import Encoder
-from .names import search_names
-from .score import Seed, score, seed_of_facet, top_hits
+from .names import NameIndex, search_names
+from .score import Seed, score, score_distinct, seed_of_facet, top_hits
 from .sequences import sample
 
+if TYPE_CHECKING:
+    from ..sources.snapshot import SnapshotStore
+
 #: Fixed values.
 CATEGORY_CODES = {"c": "creature", "i": "instant", "s": "sorcery", "e": "enchantment", "a": "artifact", "p": "planeswalker", "l": "land"}
 FORMAT_CODES = {"s": "standard", "p": "pioneer", "m": "modern", "l": "legacy", "v": "vintage", "c": "commander", "u": "pauper"}
@@ -53,22 +57,39 @@ def query_fragments(spark: SparkSession, query: str | None, keywords: Iterable[s
 
 
 class Engine:
-    """Serves one snapshot.  instances has KEYS, fragment_ix, text, idf and vector; facets and entities are the built tables."""
-
-    def __init__(self, entities: DataFrame, facets: DataFrame, instances: DataFrame, encoder: Encoder, keywords: Iterable[str] = (), templates: Mapping[str, str] | None = None):
-        self.spark, self.instances, self.encoder = instances.sparkSession, instances, encoder
+    """Serves one snapshot.  facets and entities are the built tables; instances has KEYS, fragment_ix, text, idf and either a
+    vector, or text_hash where vectors (text_hash, vector) holds each distinct one once, which is then compared once.
+    name_index is optional; without it names are found by a scan."""
+
+    def __init__(
+        self, entities: DataFrame, facets: DataFrame, instances: DataFrame, encoder: Encoder, keywords: Iterable[str] = (), templates: Mapping[str, str] | None = None,
+        vectors: DataFrame | None = None, name_index: NameIndex | None = None,
+    ):
+        self.spark, self.instances, self.encoder, self.vectors, self.name_index = instances.sparkSession, instances, encoder, vectors, name_index
         self.keywords, self.templates, self.entities = frozenset(keywords), templates or {}, entities
         own = entities.select("entity_id", "record_id", F.col("name").alias("entity_name"), "layout", "rank", "rarity", "legalities", "border_color", "set_code", "identity", F.col("cmc").alias("cmc"))
         masks = {"identity_mask": bit_set(F.split(F.coalesce("identity", F.lit("")), ""), request.COLORS), "color_mask": bit_set(F.col("colors"), request.COLORS)}
         self.facets = facets.join(own, "entity_id").withColumns(masks).withColumn("image_side", image_side(F.col("layout"), F.col("facet_ix")))
 
+    @classmethod
+    def of_snapshot(cls, store: SnapshotStore, encoder: Encoder, keywords: Iterable[str] = (), templates: Mapping[str, str] | None = None, snapshot: str | None = None) -> Engine:
+        """Serves the tables entities, facets, fragments (with idf) and vectors of a snapshot, the live one by default, and its name
+        index where it has one."""
+        names = ("entities", "facets", "fragments", "vectors")
+        entities, facets, instances, vectors = (store.table(n, snapshot) for n in names)
+        index = NameIndex(store.table("name_grams", snapshot), store.table("name_counts", snapshot), KEYS) if store.has("name_grams", snapshot) else None
+        return cls(entities, facets, instances, encoder, keywords, templates, vectors, index)
+
     def _hits(self, seed: Seed | None, wanted: request.Filters, limit: int, offset: int, without: Column | None = None) -> DataFrame:
         alive = self.facets.where(wanted.predicate())
         alive = alive if without is None else alive.where(~without)
         if seed is None:
             return self.facets.limit(0).withColumns({"similarity": F.lit(0.0), "matched": F.lit("")}).select(*HIT_COLUMNS)
         # the filter is put below the scoring; idf was computed over the whole corpus
-        scored = score(self.instances.join(alive.select(*KEYS), KEYS, "left_semi"), seed, KEYS)
+        if self.vectors is not None:
+            scored = score_distinct(self.instances, self.vectors, seed, KEYS, alive=alive)
+        else:
+            scored = score(self.instances.join(alive.select(*KEYS), KEYS, "left_semi"), seed, KEYS)
         hits = top_hits(scored.join(alive, KEYS), KEYS, limit, offset)
         return hits.select(*(c for c in HIT_COLUMNS if c not in ("similarity", "matched")), F.round("score", 6).alias("similarity"), F.col("display").alias("matched")).select(*HIT_COLUMNS)
 
@@ -86,11 +107,12 @@ class Engine:
         """Facets whose fragments are like the given facet's; unknown facets have none."""
         request.check_request(None, entity_id, limit, offset)
         own = (F.col("entity_id") == entity_id) & (F.col("facet_ix") == facet_ix)
-        seed = seed_of_facet(self.instances, own, tuple(include), tuple(exclude))
+        seed = seed_of_facet(self.instances, own, tuple(include), tuple(exclude), self.vectors)
         return self._hits(seed, wanted or request.Filters(), limit, offset, own)
 
     def names(self, query: str, limit: int = 10, offset: int = 0) -> DataFrame:
-        found = search_names(self.facets, query, limit, offset, ties=("facet_ix", "entity_id"))
+        among = self.facets if self.name_index is None else self.name_index.candidates(self.facets, query)
+        found = search_names(among, query, limit, offset, ties=("facet_ix", "entity_id"))
         return found.select("name", "entity_name", F.lit(1.0).alias("similarity"), "rank", "entity_id", "record_id", "facet_ix", "image_side")
 
     def entity(self, entity_id: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Snapshots: tables below a dated folder, and a small pointer that is written last, so that a failure leaves the live snapshot
-as it is."""
+as it is.
+
+Tables with a key are written in buckets of its hash, sorted in each, with Bloom filters: tables of the same key join without a
+shuffle, and a look-up reads one bucket and in it the parts that can hold the key."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 from datetime import UTC, datetime
@@ -13,13 +17,17 @@ from ..operators.encode import Encoder
 from ..operators.index import all_vectors, new_terms
 
 KEEP = 5
+#: The first of these that a table has is what it is looked up or joined by; the others order its rows.
+KEYS = ("gram", "text_hash", "entity_id", "facet_ix", "fragment_ix")
+LAYOUT = "layout.json"
 
 
 class SnapshotStore:
-    """Snapshots below a path of any file system that Spark reaches."""
+    """Snapshots below a path of any file system that Spark reaches.  Keyed tables have as many buckets as given, which should
+    make a bucket of the largest table some hundred megabytes; row_group is the size of a part that a look-up reads or skips."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8, row_group: int = 8 << 20):
+        self.spark, self.path, self.buckets, self.row_group = spark, path.rstrip("/"), buckets, row_group
 
     def _fs(self, path: str):  # noqa: ANN202
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -38,7 +46,8 @@ class SnapshotStore:
 
     def write_json(self, name: str, value: dict) -> None:
         """Writes beside the file, then renames over it in one step, so that a reader finds the old or the new one."""
-        fs, part = self._fs(f"{self.path}/.{name}.part")
+        folder, _, file = name.rpartition("/")
+        fs, part = self._fs(f"{self.path}/{folder}/.{file}.part" if folder else f"{self.path}/.{file}.part")
         _, target = self._fs(f"{self.path}/{name}")
         stream = fs.create(part, True)
         stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
@@ -80,12 +89,41 @@ class SnapshotStore:
     def current(self) -> dict | None:
         return self.read_json("current.json")
 
-    def table(self, name: str, snapshot: str | None = None) -> DataFrame:
-        """A table of a snapshot, the live one by default."""
+    def _live(self, snapshot: str | None) -> str:
         snapshot = snapshot or (self.current() or {}).get("snapshot")
         if not snapshot:
             raise FileNotFoundError(f"no snapshot below {self.path}")
-        return self.spark.read.parquet(f"{self.path}/snapshots/{snapshot}/{name}")
+        return snapshot
+
+    def has(self, name: str, snapshot: str | None = None) -> bool:
+        """Whether a snapshot, the live one by default, has a table."""
+        return self.exists(f"snapshots/{self._live(snapshot)}/{name}")
+
+    def table(self, name: str, snapshot: str | None = None) -> DataFrame:
+        """A table of a snapshot, the live one by default; one in buckets is read as such."""
+        snapshot = self._live(snapshot)
+        path = f"{self.path}/snapshots/{snapshot}/{name}"
+        layout = (self.read_json(f"snapshots/{snapshot}/{LAYOUT}") or {}).get(name)
+        if not layout:
+            return self.spark.read.parquet(path)
+        # the session's catalogue is told of the files and their buckets; it doesn't own them
+        known = _catalogued(path)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {known} ({layout['schema']}) USING parquet CLUSTERED BY ({layout['by']}) SORTED BY ({layout['sort']}) INTO {layout['buckets']} BUCKETS LOCATION '{path}'")
+        return self.spark.table(known)
+
+    def write_table(self, df: DataFrame, name: str, snapshot: str) -> dict | None:
+        """Writes a table and says how it lies, or None where it has no key."""
+        path, keys = f"{self.path}/snapshots/{snapshot}/{name}", [k for k in KEYS if k in df.columns]
+        if not keys:
+            df.write.mode("overwrite").parquet(path)
+            return None
+        # one file a bucket: the shuffle deals rows as the buckets do
+        rows, known = df.repartition(self.buckets, keys[0]), _catalogued(path)
+        self.spark.sql(f"DROP TABLE IF EXISTS {known}")
+        sink = rows.write.mode("overwrite").bucketBy(self.buckets, keys[0]).sortBy(*keys).option("path", path).option("parquet.block.size", self.row_group)
+        sink.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").option(f"parquet.bloom.filter.expected.ndv#{keys[0]}", "100000").saveAsTable(known)
+        self.spark.sql(f"DROP TABLE {known}")
+        return {"by": keys[0], "sort": ", ".join(keys), "buckets": self.buckets, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)}
 
     def snapshots(self) -> list[str]:
         fs, folder = self._fs(f"{self.path}/snapshots")
@@ -104,10 +142,8 @@ class SnapshotStore:
             vectors = all_vectors(terms, known, encoder.encode(new_terms(terms, known)))
         else:
             vectors = encoder.encode(terms)
-        for name, df in {**tables, "vectors": vectors}.items():
-            keys = [c for c in ("entity_id", "facet_ix", "fragment_ix", "text_hash") if c in df.columns]
-            sorted_rows = df.orderBy(*keys) if keys else df
-            sorted_rows.write.mode("overwrite").parquet(f"{self.path}/snapshots/{snapshot}/{name}")
+        layout = {name: self.write_table(df, name, snapshot) for name, df in {**tables, "vectors": vectors}.items()}
+        self.write_json(f"snapshots/{snapshot}/{LAYOUT}", layout)
         self.write_json("current.json", {"snapshot": snapshot, "model": encoder.name, "version": version})
         self.prune()
         return snapshot
@@ -117,10 +153,17 @@ class SnapshotStore:
         live = (self.current() or {}).get("snapshot")
         for name in self.snapshots()[:-keep]:
             if name != live:
+                for table in self.read_json(f"snapshots/{name}/{LAYOUT}") or {}:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {_catalogued(f'{self.path}/snapshots/{name}/{table}')}")
                 fs, target = self._fs(f"{self.path}/snapshots/{name}")
                 fs.delete(target, True)
 
 
+def _catalogued(path: str) -> str:
+    """The name of a path's table in the session's catalogue."""
+    return "fragmill_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+
+
 class Follower:
     """Serves the live snapshot's tables and moves to a newer one when asked to look."""
 
