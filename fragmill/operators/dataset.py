@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+import uuid
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.exprs import bucket_of
 from ..functions.tokens import content_tokens, tag_anchors
@@ -13,6 +15,9 @@ from ..sources.scratch import written
 from ..sources.tables import query_pairs
 from . import training
 
+if TYPE_CHECKING:
+    from ..sources.snapshot import SnapshotStore
+
 AUGMENTATIONS = ("tag_pairs", "tag_descriptions", "llm_queries")
 HELD_OUT = 15
 
@@ -30,15 +35,31 @@ def paired(facets: DataFrame, keys: list[str], left: str, right: str) -> DataFra
 
 @dataclass
 class TrainingSet:
-    """pairs (kind, anchor, positive) with repetitions, triplets (tag, anchor, positive, negative) and one row of stats."""
+    """pairs (kind, anchor, positive) with repetitions, triplets (tag, anchor, positive, negative), and one row of what they were
+    made of."""
 
     pairs: DataFrame
     triplets: DataFrame
-    stats: DataFrame
+    sources: DataFrame
+
+    def _counts(self) -> tuple[list[Column], list[Column]]:
+        return [F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("kind") == "llm", 1)).alias("llm_pairs")], [F.count(F.lit(1)).alias("triplets")]
 
-    def write(self, path: str) -> None:
-        for name in ("pairs", "triplets", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    @property
+    def stats(self) -> DataFrame:
+        """One row of counts, by aggregations of their own; a set that is written has them from its write."""
+        pairs, triplets = self._counts()
+        return self.sources.crossJoin(F.broadcast(self.pairs.agg(*pairs))).crossJoin(F.broadcast(self.triplets.agg(*triplets)))  # one row each
+
+    def write(self, path: str) -> dict[str, int]:
+        """Writes pairs, triplets and stats; the rows are counted as they are written, so that no plan runs twice for it."""
+        found = {}
+        for name, counts in zip(("pairs", "triplets"), self._counts(), strict=True):
+            seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+            getattr(self, name).observe(seen, *counts).write.mode("overwrite").parquet(f"{path}/{name}")
+            found |= seen.get
+        self.sources.withColumns({n: F.lit(v).cast("bigint") for n, v in found.items()}).write.mode("overwrite").parquet(f"{path}/stats")
+        return found
 
 
 def assemble(
@@ -70,22 +91,29 @@ def assemble(
         found = query_pairs(texts.select("text_hash", "text").distinct(), cache)
         pairs = pairs.unionAll(found.select(F.lit("llm"), F.col("query"), "text"))
     counts = [
-        texts.agg(F.count("*").alias("fragments"), F.countDistinct("text").alias("texts")), own_tags.agg(F.count("*").alias("train_tags")), picks.agg(F.countDistinct("tag").alias("attributed_tags")),
-        pairs.agg(F.count("*").alias("pairs"), F.count(F.when(F.col("kind") == "llm", 1)).alias("llm_pairs")), triplets.agg(F.count("*").alias("triplets")),
+        texts.agg(F.count("*").alias("fragments"), F.countDistinct("text").alias("texts")), own_tags.agg(F.count("*").alias("train_tags")),
+        picks.agg(F.countDistinct("tag").alias("attributed_tags")),
     ]
-    stats = counts[0]
+    sources = counts[0]
     for one in counts[1:]:
-        stats = stats.crossJoin(F.broadcast(one))  # one row each
-    return TrainingSet(pairs, triplets, stats)
+        sources = sources.crossJoin(F.broadcast(one))  # one row each
+    return TrainingSet(pairs, triplets, sources)
+
 
+def run_stages(stages: list[tuple[str, Callable[[], object]]], store: SnapshotStore | None = None, run: str = "run") -> list[str]:
+    """Runs (name, function) stages in order and stops at the first that fails, whose error names it; gives the names that are done.
 
-def run_stages(stages: list[tuple[str, object]]) -> list[str]:
-    """Runs (name, function) stages in order and stops at the first that fails, whose error names it; gives the names that ran."""
-    done: list[str] = []
-    for name, stage in stages:
+    With a store, runs/<run>.json says after every stage what is done, and a run of that name goes on behind it."""
+    at = f"runs/{run}.json"
+    done: list[str] = list((store.read_json(at) or {}).get("done", ())) if store else []
+    if done != [name for name, _ in stages][: len(done)]:
+        raise ValueError(f"run {run!r} has done {', '.join(done)}, which aren't the first of these stages")
+    for name, stage in stages[len(done) :]:
         try:
             stage()
         except Exception as e:
             raise RuntimeError(f"stage {name!r} failed after {', '.join(done) or 'none'}") from e
         done.append(name)
+        if store:
+            store.write_json(at, {"done": done})
     return done

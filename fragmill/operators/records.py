@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.exprs import strip
 
@@ -39,31 +43,49 @@ def eligible(records: DataFrame) -> DataFrame:
     return records.where((F.coalesce(F.col("oracle_id"), F.lit("")) != "") & ~skipped())
 
 
-def _better(now: Column, new: Column) -> Column:
-    """Whether record new replaces record now: paper, then the earlier date, then the lower number."""
-
-    def key(r: Column) -> tuple[Column, Column, Column]:
-        return F.coalesce(F.array_contains(r["games"], "paper"), F.lit(False)), F.coalesce(F.nullif(r["released_at"], F.lit("")), F.lit(NO_DATE)), F.coalesce(F.nullif(r["collector_number"], F.lit("")), F.lit(NO_NUMBER))
-
-    def number(text: Column) -> Column:
-        return F.regexp_replace(text, r"(?<=\d)_(?=\d)", "").try_cast("bigint")
-
-    (paper0, date0, number0), (paper1, date1, number1) = key(now), key(new)
-    lower = F.when(number(number0).isNotNull() & number(number1).isNotNull(), number(number1) < number(number0)).otherwise(number1 < number0)
-    return F.when(paper0 != paper1, paper1).when(date0 != date1, date1 < date0).otherwise(lower)
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The winner of each run of rows of an entity: a later record replaces the present one if its number is lower, as numbers if
+    both are, else as texts.  One row of the entity at hand is held, across batches too."""
+    best: pa.RecordBatch | None = None
+    key = number = text = None
+    for batch in batches:
+        winners: list[int] = []
+        held = -1  # the place of the best record in this batch, if it is here
+        for place, (k, n, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("oracle_id", "_n", "_number")), strict=True)):
+            if best is None and held < 0 or k != key:
+                if held >= 0:
+                    winners.append(held)
+                elif best is not None:
+                    yield best.select(["oracle_id", "_order"])
+                best = None
+                key, number, text, held = k, n, t, place
+            elif n < number if n is not None and number is not None else t < text:
+                number, text, held, best = n, t, place, None
+        if winners:
+            yield batch.take(pa.array(winners)).select(["oracle_id", "_order"])
+        if held >= 0:
+            best = batch.take(pa.array([held]))  # a copy, so that the batch can go
+    if best is not None:
+        yield best.select(["oracle_id", "_order"])
 
 
 def best_records(records: DataFrame, order: str = "ordinal") -> DataFrame:
-    """The best record of each oracle_id, by a fold in the order of the input.
-
-    The comparison of collector numbers is no total order where numbers and other texts mix, so a plain minimum would be
-    wrong; the fold of a group is over its own records only."""
-    fields = [c for c in records.columns if c != order]
-    earlier = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)
-    groups = records.groupBy("oracle_id").agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("r"))), earlier).alias("all"))
-    ordered = F.transform("all", lambda x: x["r"])
-    fold = F.aggregate(F.slice(ordered, F.lit(2), F.size(ordered)), F.element_at(ordered, 1), lambda now, new: F.when(_better(now, new), new).otherwise(now))
-    return groups.select(fold.alias("best")).select("best.*")
+    """The best record of each oracle_id, by a fold in the order of the input: paper, then the earlier date, then the lower number.
+
+    Numbers are compared as numbers where both are, else as texts, which is no total order, so a plain minimum would be wrong.
+    Paper and date are one, so a combined minimum leaves only the records that agree in both; those go in order through a
+    fold that holds one of them, whatever an entity has.  Only keys are shuffled for it; order has to be unique and the same in
+    every scan."""
+    paper, date = F.coalesce(F.array_contains("games", "paper"), F.lit(False)), F.coalesce(F.nullif("released_at", F.lit("")), F.lit(NO_DATE))
+    number = F.coalesce(F.nullif("collector_number", F.lit("")), F.lit(NO_NUMBER))
+    whole = F.regexp_replace(number, r"(?<=\d)_(?=\d)", "").try_cast("bigint")
+    keyed = records.select("oracle_id", F.col(order).alias("_order"), F.struct((~paper).alias("late"), date.alias("date")).alias("_class"), number.alias("_number"), whole.alias("_n"))
+    first = keyed.groupBy("oracle_id").agg(F.min("_class").alias("_class"))
+    rows = keyed.join(first, ["oracle_id", "_class"]).select("oracle_id", "_order", "_number", "_n")
+    kind = StructType([StructField("oracle_id", rows.schema["oracle_id"].dataType), StructField("_order", rows.schema["_order"].dataType)])
+    winners = rows.repartition("oracle_id").sortWithinPartitions("oracle_id", "_order").mapInArrow(_fold, kind)
+    best = records.join(winners.select("oracle_id", F.col("_order").alias(order)), ["oracle_id", order], "left_semi")
+    return best.drop(order)
 
 
 def type_categories(type_line: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -72,12 +72,15 @@ class Engine:
         self.facets = facets.join(own, "entity_id").withColumns(masks).withColumn("image_side", image_side(F.col("layout"), F.col("facet_ix")))
 
     @classmethod
-    def of_snapshot(cls, store: SnapshotStore, encoder: Encoder, keywords: Iterable[str] = (), templates: Mapping[str, str] | None = None, snapshot: str | None = None) -> Engine:
+    def of_snapshot(cls, store: SnapshotStore, encoder: Encoder, keywords: Iterable[str] = (), templates: Mapping[str, str] | None = None, snapshot: str | None = None, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> Engine:
         """Serves the tables entities, facets, fragments (with idf) and vectors of a snapshot, the live one by default, and its name
-        index where it has one."""
-        names = ("entities", "facets", "fragments", "vectors")
-        entities, facets, instances, vectors = (store.table(n, snapshot) for n in names)
-        index = NameIndex(store.table("name_grams", snapshot), store.table("name_counts", snapshot), KEYS) if store.has("name_grams", snapshot) else None
+        index where it has one; kept is applied to each table, as to cache it."""
+
+        def table(name: str) -> DataFrame:
+            return kept(store.table(name, snapshot))
+
+        entities, facets, instances, vectors = map(table, ("entities", "facets", "fragments", "vectors"))
+        index = NameIndex(table("name_grams"), table("name_counts"), KEYS) if store.has("name_grams", snapshot) else None
         return cls(entities, facets, instances, encoder, keywords, templates, vectors, index)
 
     def _hits(self, seed: Seed | None, wanted: request.Filters, limit: int, offset: int, without: Column | None = None) -> DataFrame:

@@ -10,8 +10,11 @@ from ..operators.dataset import assemble
 from ..operators.encode import HashingEncoder
 from ..operators.serve import ABILITY_WORD, image_side
 from ..sources.scratch import new_path
+from ..sources.lines import numbered, read_lines
 from ..sources.snapshot import SnapshotStore
 from ..sources.tables import read_query_cache, read_records, read_tags, recover_queries, write_query_cache
+from ..streaming.batch_log import BatchLog
+from ..streaming.refresh import VECTORS, read_vectors, stream_new_vectors
 from .catalog import query, table
 from .texts import raw_records
 
@@ -113,3 +116,25 @@ def ability_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words before a dash at the beginning of a line, as they are harvested for samples."""
     text = F.concat(F.lit("2 x — no\n"), F.when(F.col("p_size") % 2 == 0, F.concat("p_type", F.lit(" — draw"))).otherwise(F.concat("p_type", F.lit(" draw"))))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.regexp_extract_all(text, F.lit(ABILITY_WORD), F.lit(1)), "|").alias("said"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS number, p_partkey || ' ' || p_name AS value FROM part")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one file that is read in many parts, with their numbers in it."""
+    path = new_path(spark, "lines")
+    said = F.concat(F.col("p_partkey").cast("string"), F.lit(" "), "p_name")
+    table(spark, sf_dir, "part").repartition(1).sortWithinPartitions("p_partkey").select(said.alias("value")).write.text(path)
+    return numbered(read_lines(spark, path, split=10_000)).select("number", "value")
+
+
+@query("SELECT DISTINCT sha256(p_name) AS text_hash, 1 AS n FROM part")
+def stream_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that come in two deliveries, the second with all of the first again, through the stream: one vector each, also after
+    the batches were put together."""
+    base, encoder = new_path(spark, "stream"), HashingEncoder(16)
+    names = table(spark, sf_dir, "part").select(F.sha2("p_name", 256).alias("text_hash"), F.col("p_name").alias("normalized"), "p_partkey")
+    for deliver in (names.where("p_partkey % 3 = 0"), names):
+        deliver.drop("p_partkey").write.mode("append").parquet(f"{base}/in")
+        stream_new_vectors(spark, f"{base}/in", f"{base}/out", f"{base}/state", encoder)
+    BatchLog(spark, f"{base}/out", VECTORS).compact(model=encoder.name)
+    return read_vectors(spark, f"{base}/out", encoder).groupBy("text_hash").agg(F.count("*").cast("int").alias("n"))

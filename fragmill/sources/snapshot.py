@@ -125,9 +125,17 @@ class SnapshotStore:
         self.spark.sql(f"DROP TABLE {known}")
         return {"by": keys[0], "sort": ", ".join(keys), "buckets": self.buckets, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)}
 
+    def names(self, folder: str) -> list[str]:
+        """What a folder below the path holds, sorted; nothing if it isn't there."""
+        fs, target = self._fs(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+    def delete(self, name: str) -> None:
+        fs, target = self._fs(f"{self.path}/{name}")
+        fs.delete(target, True)
+
     def snapshots(self) -> list[str]:
-        fs, folder = self._fs(f"{self.path}/snapshots")
-        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        return self.names("snapshots")
 
     def publish(self, tables: Mapping[str, DataFrame], terms: DataFrame, encoder: Encoder, version: str, now: datetime | None = None) -> str | None:
         """Writes tables and vectors as a new snapshot and flips the pointer.  None if model and version are the live ones.
@@ -155,8 +163,7 @@ class SnapshotStore:
             if name != live:
                 for table in self.read_json(f"snapshots/{name}/{LAYOUT}") or {}:
                     self.spark.sql(f"DROP TABLE IF EXISTS {_catalogued(f'{self.path}/snapshots/{name}/{table}')}")
-                fs, target = self._fs(f"{self.path}/snapshots/{name}")
-                fs.delete(target, True)
+                self.delete(f"snapshots/{name}")
 
 
 def _catalogued(path: str) -> str:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.tokens import query_lines
+from .lines import read_json_lines
 
 FACE = "name string, mana_cost string, type_line string, oracle_text string, power string, toughness string, loyalty string, defense string, colors array<string>, color_indicator array<string>, image_uris map<string,string>, artist string, flavor_text string, cmc double"
 
@@ -20,22 +21,14 @@ RECORD = (
 )
 
 
-def line_order() -> Column:
-    """Sorts the rows of a text source by file, and in a file by line.  Within a part of a file the numbers rise; which part gets
-    which numbers is up to Spark, so they count last."""
-    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("number"))
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, gzipped or not, with the fixed schema; ordinal sorts as file and line do.  A gzipped file is one task's to
-    read, so what comes after it should repartition."""
-    return spark.read.schema(RECORD).json(path).withColumn("ordinal", line_order())
+    """JSON lines, gzipped or not, with the fixed schema; ordinal sorts as file and line do and is the same in every scan."""
+    return read_json_lines(spark, path, RECORD)
 
 
 def read_tags(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """tags (tag, description) and members (tag, entity, pos) of JSON lines; of a repeated label the last line counts."""
-    rows = spark.read.schema("label string, description string, taggings array<struct<oracle_id: string>>").json(path)
-    rows = rows.withColumn("_at", line_order())
+    rows = read_json_lines(spark, path, "label string, description string, taggings array<struct<oracle_id: string>>", "_at")
     last = rows.groupBy("label").agg(F.max(F.struct("_at", "description", "taggings")).alias("r")).select(F.col("label").alias("tag"), "r.description", "r.taggings")
     members = last.select("tag", F.posexplode("taggings").alias("pos", "t")).select("tag", F.col("t.oracle_id").alias("entity"), "pos")
     return last.select("tag", "description"), members
@@ -46,7 +39,7 @@ CACHE = "hash string, text string, queries array<string>, llm string"
 
 def read_query_cache(spark: SparkSession, path: str) -> DataFrame:
     """Generated queries by text hash; the last row of a hash counts."""
-    rows = spark.read.schema(CACHE).json(path).withColumn("_at", line_order())
+    rows = read_json_lines(spark, path, CACHE, "_at")
     w = Window.partitionBy("hash").orderBy(F.desc("_at"))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at")
 

@@ -16,7 +16,7 @@ from fragmill.operators.fragments import fragments, terms
 from fragmill.operators.index import new_terms, with_idf, with_vectors
 from fragmill.sources.snapshot import Follower, SnapshotStore
 from fragmill.sources.tables import query_pairs, read_query_cache, read_records, read_tags, to_generate, write_query_cache
-from fragmill.streaming.refresh import stream_new_vectors
+from fragmill.streaming.refresh import read_vectors, stream_new_vectors
 
 KEYWORDS = {"flying", "haste"}
 FACETS = [
@@ -213,7 +213,7 @@ def test_stream(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     assert stream_new_vectors(spark, source, vectors, state, HashingEncoder(8)) == 2
     spark.createDataFrame([("b", "gain"), ("c", "tap")], "text_hash string, normalized string").write.mode("append").parquet(source)
     assert stream_new_vectors(spark, source, vectors, state, HashingEncoder(8)) == 1
-    assert spark.read.parquet(vectors).count() == 3
+    assert read_vectors(spark, vectors, HashingEncoder(8)).count() == 3
 
 
 def test_tags_and_cache(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
