@@ -1,20 +1,23 @@
 """Main text of HTML pages as the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of tags and runs of words.  A word scores the log-odds of being article text that its surroundings
-have on labelled pages: the enclosing elements, and what their class, id and role say (menu, advert, form, comments ...) as
-features beside each other.  A tag scores a negative constant by its kind, from the same pages, and so does as a whole, like
-a tag, a run that stands in a marked part and whose words score negative.  One linear scan finds the contiguous region
-with the largest sum; the marked runs inside it are left out, and text in links is kept.
+have on labelled pages: the enclosing elements, what their class, id and role say (menu, advert, form, comments ...), and
+whether its block holds sentences or mostly links, as features beside each other.  A name that only contains a word of
+these (popular-music, follow-up, with-sidebar), or one that articles use themselves, is a soft mark, a feature that what the
+text itself looks like outweighs.  A tag scores a negative constant by its kind, from the same pages; so does, once and
+whatever it holds, a marked part whose words score negative.  One linear scan finds the contiguous region with the largest sum;
+what is marked and scores negative inside it is left out, and text in links is kept.
 
-A mark on an element that holds nearly all of the page's text that no other mark covers says nothing of that text: it is a
-wrapper (a page-wide form, a layout named after its sidebar), and that is a feature of its own.
+A plain mark on an element that holds most of the page's text, and more than all that no other mark covers, says nothing of that
+text: it is a wrapper, and that is a feature of its own.
 
 The text is that of the remaining blocks: character references decoded, white space inside a block turned into one space,
 trimmed, and the blocks that aren't empty joined in page order by one line end.
 
 Edge cases: null html counts as empty and gives an empty text; so does a page on which nothing scores above zero; unclosed
 and misnested elements end with the nearest enclosing element that is closed, also scripts, styles, text areas and frames;
-a page cut off in the middle of a tag ends there; scripts, styles and comments are never text; repeated rows give equal rows.
+a page cut off in the middle of a tag ends there; scripts, styles and comments are never text, and `<!-->` is a comment;
+formulas and drawings stand in their line; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import functools
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,18 @@ from .html_labels import labelled_pages
 from .shared import by_bytes
 
 #: One markup item: a comment, a declaration, or a tag with its attributes.
-MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
+MARKUP = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 MARK_ATTRIBUTES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 CONTENT_MARKS = re.compile(r"<!--(/?)content-->")
 
+SENTENCE = re.compile(r"[.!?…。！？](?:[\s\"'»”’)\]]|$)")
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+DRAWN = frozenset("math svg".split())  # all inside them is inline
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("p div ul ol li table article section header footer nav aside form h1 h2 h3 h4 h5 h6 blockquote pre main dl figure hr".split())
 #: Words in class, id or role that mark a part of a page.
@@ -58,14 +64,18 @@ MARKS = {
     "form": "form login signup search searchbox captcha",
 }
 MARK_OF = {word: mark for mark, words in MARKS.items() for word in words.split()}
+#: Words of these that parts of articles are named by as well.
+SOFT_WORDS = frozenset("popular trending dialog alert discussion hero tabs promotion skip like follow".split())
+#: Words that say nothing beside a mark: site-footer, ad-slot; so do those of content beside comments and adverts: comment-body.
+PLAIN_WORDS = frozenset("site page post article main global primary secondary mobile desktop slot box bar block wrap wrapper container section list item items link links area panel unit group holder top bottom left right inner outer center fixed small large wide row col column".split())
 CONTENT_WORDS = frozenset("content article post entry main story body text page".split())
-ELEMENT_MARK = {"nav": "menu", "menu": "menu", "footer": "footer", "aside": "sidebar", "form": "form", "button": "form", "head": "head", "title": "head", "dialog": "notice"}
-#: Elements whose name alone marks them; a mark on them is never that of a wrapper.
-PARTS = frozenset(ELEMENT_MARK) - {"form"}
-WORD_FEATURES = ("bias", *MARKS, "head", "hidden", "wrapper", "link", "p", "heading", "li", "cell", "article", "beside")
+ELEMENT_MARK = {"nav": "menu", "menu": "menu", "footer": "footer", "aside": "sidebar", "button": "form", "label": "form", "legend": "form", "select": "form", "head": "head", "title": "head", "dialog": "notice"}
+WORD_FEATURES = ("bias", *MARKS, "head", "hidden", "soft", "form element", "wrapper", "link", "p", "heading", "li", "cell", "article", "beside", "sentences", "links")
 TAG_KINDS = ("inline", "link", "p", "heading", "li", "part", "other", "marked")
-#: A wrapper holds at least so many words outside links, and so many times the words that no mark covers.
-WRAPPER_WORDS, WRAPPER_SHARE = 25, 4
+#: Marks that shift a score but don't make a part one that can be left out by its element alone.
+SHIFTS = frozenset(["soft", "form element", "wrapper"])
+#: Marks that no wrapper has by its name.
+NEVER_AROUND = frozenset(["advert", "comments", "notice", "hidden", "head"])
 
 
 def marks_of(name: str, attributes: str, in_article: bool) -> frozenset:
@@ -73,15 +83,23 @@ def marks_of(name: str, attributes: str, in_article: bool) -> frozenset:
     marks = {ELEMENT_MARK[name]} if name in ELEMENT_MARK else set()
     if name == "header" and not in_article:
         marks.add("header")
+    if name == "form":
+        marks.add("form element")
     if name in ("html", "body", "main") or not attributes:
         return frozenset(marks)
     words: set[str] = set()
+    named: set[str] = set()
     for key, value in MARK_ATTRIBUTES.findall(attributes):
         if key.lower() == "hidden" or key.lower() == "aria-hidden" and value.strip("\"'").lower() == "true":
             marks.add("hidden")
-        elif value:
-            words.update(w.lower() for w in NAME_PARTS.findall(value))
-    named = {MARK_OF[w] for w in words if w in MARK_OF}
+            continue
+        for token in value.strip("\"'").split():
+            parts = [w.lower() for w in NAME_PARTS.findall(token)]
+            words.update(parts)
+            found = {MARK_OF[w] for w in parts if w in MARK_OF}
+            beside = PLAIN_WORDS | CONTENT_WORDS if found & {"comments", "advert"} else PLAIN_WORDS
+            plain = all(w in beside or w in MARK_OF and w not in SOFT_WORDS for w in parts)
+            named |= found if plain else {"soft"} if found else set()
     if name == "article":
         named &= {"comments", "advert"}
     elif words & CONTENT_WORDS:
@@ -99,23 +117,24 @@ class Element:
     marks: frozenset
     names: frozenset
     words: int = 0  # outside links, and not in a marked element inside
-    holds_main: bool = False
-    seen: bool = field(default=False, repr=False)
+    all_words: int = 0  # outside links
 
 
 @dataclass
 class Run:
-    """A run of words, or of white space, and the element that it stands in."""
+    """A run of words, or of white space, the element that it stands in, and what its block is like."""
 
     text: str
     inside: Element
     n_words: int
+    block: frozenset = frozenset()
 
 
 @dataclass
 class Tag:
     kind: str
     breaks: bool
+    inside: Element
 
 
 def parse(page: str) -> list[Run | Tag]:
@@ -152,9 +171,10 @@ def parse(page: str) -> list[Run | Tag]:
                 at = own.end() if own else outer.end() if outer else n
             continue
         kind = "link" if name == "a" else "inline" if name in INLINE else "p" if name in ("p", "br") else "heading" if name in HEADINGS else "li" if name in ("li", "ul", "ol") else "part" if name in ELEMENT_MARK else "other"
-        out.append(Tag(kind, name not in INLINE))
+        inline = name in INLINE or name in DRAWN or bool(stack[-1].names & DRAWN)
+        out.append(Tag("inline" if inline and kind == "other" else kind, not inline, stack[-1]))
         if ending:
-            close(frozenset([name]), frozenset() if name not in INLINE and name != "p" else CLOSES_P - {"p"})
+            close(frozenset([name]), frozenset() if not inline and name != "p" else CLOSES_P - {"p"})
         elif name not in VOID and not attributes.endswith("/"):
             if name in CLOSES_P:
                 close(frozenset(["p"]), CLOSES_P - {"p"})
@@ -167,9 +187,26 @@ def parse(page: str) -> list[Run | Tag]:
             elements.append(stack[-1])
     text(at, n)
     spread_marks(elements, [x for x in out if isinstance(x, Run)])
+    tell_blocks(out)
     return out
 
 
+def tell_blocks(items: list[Run | Tag]) -> None:
+    """Says of every run whether its block, which ends at a tag that breaks, holds a sentence or many words, and whether mostly links."""
+    block: list[Run] = []
+    for item in [*items, Tag("other", True, Element("", None, frozenset(), frozenset()))]:
+        if isinstance(item, Run):
+            block.append(item)
+        elif item.breaks and block:
+            total = sum(r.n_words for r in block)
+            linked = sum(r.n_words for r in block if "a" in r.inside.names)
+            sentences = total >= 12 or SENTENCE.search(" ".join("".join(r.text for r in block).split()))
+            said = frozenset((["sentences"] if sentences else []) + (["links"] if 2 * linked > total else []))
+            for r in block:
+                r.block = said
+            block = []
+
+
 def spread_marks(elements: list[Element], runs: list[Run]) -> None:
     """Takes the marks off wrappers, then gives every element the marks of its ancestors."""
 
@@ -182,36 +219,44 @@ def spread_marks(elements: list[Element], runs: list[Run]) -> None:
     for run in runs:
         holder = marked(run.inside)
         if run.n_words and "a" not in run.inside.names:
+            run.inside.all_words += run.n_words
             if holder is None:
                 free += run.n_words
             else:
                 holder.words += run.n_words
-    for e in reversed(elements):  # children come before their parents
-        if e.marks and e.name not in PARTS and e.words >= WRAPPER_WORDS and e.words >= (1 if e.holds_main else WRAPPER_SHARE) * free:
-            e.marks = frozenset(["wrapper"])
+    for e in reversed(elements[1:]):  # children come before their parents
+        e.parent.all_words += e.all_words
+    whole = elements[0].all_words
+    for e in reversed(elements):
+        if e.marks and e.name not in ELEMENT_MARK and not e.marks & NEVER_AROUND and e.words > free and 2 * e.all_words > whole:
+            e.marks = e.marks & SHIFTS | {"wrapper"}
             outer = marked(e.parent)
             if outer is None:
                 free += e.words
             else:
                 outer.words += e.words
-        if e.parent is not None and (e.holds_main or e.name in ("main", "h1")):
-            e.parent.holds_main = True
     for e in elements[1:]:
         e.marks |= e.parent.marks
 
 
 @functools.lru_cache(maxsize=4096)
-def features(marks: frozenset, names: frozenset, has_article: bool) -> tuple[int, ...]:
+def features(marks: frozenset, names: frozenset, block: frozenset, has_article: bool) -> tuple[int, ...]:
     """Indexes of the features that hold for a word."""
-    held = {"bias", *marks}
+    held = {"bias", *marks, *block}
     if has_article and not names & {"article", "main"}:
         held.add("beside")
     held |= {f for f, group in (("link", {"a"}), ("p", {"p", "blockquote", "pre"}), ("heading", HEADINGS), ("li", {"li", "dt", "dd"}), ("cell", {"td", "th"}), ("article", {"article", "main"})) if names & group}
     return tuple(k for k, f in enumerate(WORD_FEATURES) if f in held)
 
 
-def is_marked(marks: frozenset) -> bool:
-    return bool(marks - {"wrapper"})
+def part_of(e: Element | None) -> Element | None:
+    """The outermost marked element around, itself included: the part that it belongs to."""
+    part = None
+    while e is not None:
+        if e.marks - {"wrapper"}:
+            part = e
+        e = e.parent
+    return part
 
 
 @functools.lru_cache(maxsize=1)
@@ -226,8 +271,9 @@ def weights() -> tuple[np.ndarray, dict[str, float]]:
             if isinstance(item, Run):
                 inside = "content-mark" in item.inside.names
                 if item.n_words:
-                    rows.setdefault(features(item.inside.marks, item.inside.names - {"content-mark"}, has_article), np.zeros(2))[int(inside)] += item.n_words
-                    if is_marked(item.inside.marks):
+                    held = features(item.inside.marks, item.inside.names - {"content-mark"}, item.block, has_article)
+                    rows.setdefault(held, np.zeros(2))[int(inside)] += item.n_words
+                    if part_of(item.inside) is not None:
                         tags["marked"][int(inside)] += 1
             else:
                 tags[item.kind][int(inside)] += 1
@@ -256,16 +302,22 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def scored(page: str) -> list[tuple[float, bool, Run | Tag]]:
-    """(score, is left out, run or tag) of a page."""
+    """(score, is left out, run or tag) of a page; a part of which something is left out costs once, and its tags nothing."""
     word_weights, tag_scores = weights()
-    has_article, out = bool(ARTICLE.search(page)), []
+    has_article, out, paid = bool(ARTICLE.search(page)), [], set()
     for item in parse(page):
+        part = part_of(item.inside)
         if isinstance(item, Tag):
-            out.append((tag_scores[item.kind], False, item))
+            out.append((0.0 if part is not None else tag_scores[item.kind], False, item))
             continue
-        score = float(word_weights[list(features(item.inside.marks, item.inside.names, has_article))].sum())
-        left_out = score < 0 and is_marked(item.inside.marks)
-        out.append((tag_scores["marked"] if left_out and item.n_words else score * item.n_words, left_out, item))
+        score = float(word_weights[list(features(item.inside.marks, item.inside.names, item.block, has_article))].sum())
+        left_out = score < 0 and part is not None
+        if left_out and item.n_words:
+            cost = 0.0 if id(part) in paid else tag_scores["marked"]
+            paid.add(id(part))
+        else:
+            cost = score * item.n_words
+        out.append((cost, left_out, item))
     return out
 
 

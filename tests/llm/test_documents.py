@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from fragmill.llm import block_pairs, chosen_path, html_text, language_id, line_dedup, url_trie
+from fragmill.llm.html_labels import labelled_pages
 from fragmill.llm.html_text import extract, main_text
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -366,6 +368,40 @@ def test_marked_parts_go_though_they_are_large() -> None:
     assert main_text(f"<div class='menu'>{'<a href=x>one entry</a> ' * 60}</div>") == ""
 
 
+@pytest.mark.parametrize("name", ["popular-music", "share-prices", "follow-up", "alert-systems", "promotion-history", "legal-text", "dialog"])
+def test_a_name_that_contains_a_mark_takes_nothing_away(name: str) -> None:
+    assert main_text(f"<article>Alpha beta<div class='{name}'>Gamma delta</div>Epsilon zeta</article>") == "Alpha beta\nGamma delta\nEpsilon zeta"
+    for plain in ("ad-slot", "comment-body", "site-footer", "cookie-notice"):
+        assert main_text(f"<article><p>Alpha beta.</p><div class='{plain}'>Gamma delta</div><p>Epsilon zeta.</p></article>") == "Alpha beta.\nEpsilon zeta."
+
+
+def test_short_pages_are_whole() -> None:
+    said = "The bridge is closed until Monday morning."
+    for page in ("{}", "<form id='f'>{}</form>", "<div class='with-sidebar'>{}</div>", "<!-->{}", "<!--->{}", "<body><form><p>{}</p><input><button>Go</button></form></body>", "<article><p>{}</p></article>"):
+        assert main_text(page.format(said)) == said
+    assert main_text("<article><h1>Two words</h1><p>One</p><p>Two here</p></article>") == "Two words\nOne\nTwo here"
+    assert main_text("<nav><a href='/'>Home</a></nav><form>Search <input></form><div class='ad'>Buy now. It is cheap.</div><article></article><footer>Copyright</footer>") == ""
+
+
+def test_formulas_stand_in_their_line_and_a_left_out_part_costs_once() -> None:
+    assert main_text("<p>Let <math><mrow><mi>x</mi></mrow></math> be <svg><g><text>y</text></g></svg> a number.</p>") == "Let x be y a number."
+    links = "".join(f"<li><a href='/{k}'>Link number {k}</a></li>" for k in range(60))
+    assert main_text(f"<article><p>First part of it.</p><nav><ul>{links}</ul></nav><p>Second part.</p></article>") == "First part of it.\nSecond part."
+
+
+def test_the_scan_is_better_than_no_scan_on_pages_it_was_not_fitted_on() -> None:
+    """By the words that are right: against all words that score above zero, and against all that aren't left out."""
+    totals = [0.0, 0.0, 0.0]
+    for page in labelled_pages(300, seed=77):
+        wanted = Counter(w for part in re.findall(r"<!--content-->(.*?)<!--/content-->", page, re.S) for w in re.sub(r"<[^>]*>", " ", part).split())
+        clean = html_text.CONTENT_MARKS.sub("", page)
+        runs = [(score, left_out, x.text) for score, left_out, x in html_text.scored(clean) if isinstance(x, html_text.Run)]
+        for k, words in enumerate((main_text(clean), " ".join(t for s, _, t in runs if s > 0), " ".join(t for _, out, t in runs if not out))):
+            found = Counter(words.split())
+            totals[k] += 2 * (found & wanted).total() / (found.total() + wanted.total())
+    assert totals[0] > max(totals[1:]) and totals[0] / 300 > 0.94
+
+
 def test_region_equals_all_intervals() -> None:
     rng = random.Random(9)
     for _ in range(400):
