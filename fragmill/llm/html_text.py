@@ -284,7 +284,7 @@ def weights() -> tuple[np.ndarray, dict[str, float]]:
     for _ in range(4000):
         p = 1 / (1 + np.exp(-x @ w))
         w -= 0.5 * (x.T @ (n * (p - y)) / n.sum() + 0.002 * w)
-    return w, {kind: -0.05 - 0.3 * float(out / (out + own)) for kind, (out, own) in tags.items()}
+    return w, {kind: -0.01 - 0.05 * float(out / (out + own)) for kind, (out, own) in tags.items()}
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
