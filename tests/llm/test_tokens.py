@@ -208,6 +208,30 @@ def test_local_search_empties_bins_of_real_lengths(real_lengths: np.ndarray) ->
     assert sum(b[0] for b in found) <= 0.97 * sum(b[0] for b in first)
 
 
+@pytest.mark.parametrize("kind", ["uniform", "log-normal"])
+def test_the_search_takes_as_many_steps_for_any_corpus(kind: str) -> None:
+    """Of 20,000 and 20 billion pieces of the same proportions, with counts that no number divides."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(250, 520, 20_000) if kind == "uniform" else np.clip(rng.lognormal(5.5, 1.0, 20_000).astype(int), 1, 1024)
+    counts = np.bincount(lengths, minlength=1025)
+    steps, shares = [], []
+    for times in (1, 1000, 1_000_000):
+        many = counts * times + rng.integers(0, times, 1025) * (counts > 0)
+        first, taken = packing.best_fit(many, 1024), []
+        found = packing.scaled_search(first, 1024, packing.lower_bound(many, 1024), taken)
+        held = np.zeros(1025, dtype=np.int64)
+        for n, b, free in found:
+            assert n > 0 and sum(x * y for x, y in b.items()) + free == 1024
+            for x, y in b.items():
+                held[x] += n * y
+        assert held.tolist() == many.tolist()
+        before, after = (sum(b[0] for b in bins) for bins in (first, found))
+        assert packing.lower_bound(many, 1024) <= after <= before
+        steps.append(sum(taken))
+        shares.append(after / before)
+    assert max(steps[1:]) <= 2 * steps[0] + 2_000 and max(shares) <= min(shares) + 0.01
+
+
 def test_the_plan_does_not_grow_with_the_corpus(real_lengths: np.ndarray) -> None:
     counts = np.bincount(real_lengths % 1024, minlength=1025)
     counts[0] = 0
