@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by hooking every node to its smallest neighbour and contracting, round by round."""
+"""Connected components of an edge table, by hooking every node to its smallest neighbour, jumping to the roots and contracting."""
 
 from __future__ import annotations
 
@@ -7,18 +7,31 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import discard, settle
 
 
+def to_roots(label: DataFrame) -> DataFrame:
+    """(node, root) with every node's last label of a chain, from a settled table of nodes and their labels.
+
+    Each pass replaces a label by the label's own, so a chain of n nodes takes the logarithm of n passes; a star takes one."""
+    while True:
+        step = label.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = label.select("node", "root").join(step, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+        before, label = label, settle(jumped, "labels")
+        discard(before)
+        if label.where("moved").isEmpty():
+            return label
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in edges (a, b), where root is the smallest node reachable.
 
-    A round gives each node its smallest neighbour as label and keeps the edges between different labels; clusters that are
-    stars end after one round, others after a number of rounds logarithmic in their size.  Every round is a written table,
-    the tables that it was made of are deleted, and nothing but one row that says whether edges are left comes to the driver.
-    """
+    A round gives each node the smallest of itself and its neighbours as label, follows labels to their ends, and keeps the edges
+    between different ends.  However a chain is numbered it is gone after few rounds: one in ascending order after one, as
+    labels are followed in logarithmically many passes.  Every round is a written table, the tables that it was made of are
+    deleted, and nothing but one row that says whether something is left comes to the driver."""
     edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mapping = None
     while True:
         near = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
-        label = settle(near.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "labels")
+        label = to_roots(settle(near.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "labels"))
         before, mapping = mapping, label
         if before is not None:
             step = label.select(F.col("node").alias("root"), F.col("root").alias("next"))
@@ -30,4 +43,4 @@ def components(edges: DataFrame) -> DataFrame:
         edges = between
         if edges.isEmpty():
             discard(edges)
-            return mapping
+            return mapping.select("node", "root")
