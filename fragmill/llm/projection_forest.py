@@ -59,6 +59,17 @@ def unit_vectors(table: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, key binary, vector binary")
 
 
+#: Spill as a multiple of the spread that the difference of two vectors at the threshold has on a random direction.  A pair is parted
+#: by a split only if its difference there is over twice the spill, and the cut between: at 0.76 five trees meet over 0.99 of the
+#: pairs at the threshold, at about three copies of a vector in each, whatever the number of components.
+SPILL = 0.76
+
+
+def spill_of(threshold: float, components: int, spill: float = SPILL) -> float:
+    """The distance from a cut within which unit vectors of so many components go to both sides."""
+    return spill * float(np.sqrt((2 - 2 * threshold) / max(components, 1)))
+
+
 class Tree:
     """One tree's top: directions and thresholds by node in heap order; a node without a threshold is a leaf."""
 
@@ -89,7 +100,7 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (rows, nodes)
 
 
-def route(classes: DataFrame, trees: int, depth: int, sample_vectors: int, spill: float) -> DataFrame:
+def route(classes: DataFrame, trees: int, depth: int, sample_vectors: int, threshold: float, spill: float = SPILL) -> DataFrame:
     """(node, key, vector) of every leaf of the top trees, from (key, vector)."""
     spark = classes.sparkSession
     sample = [np.frombuffer(r["vector"]) for r in classes.orderBy(F.xxhash64("key"), "key").limit(sample_vectors).select("vector").collect()]
@@ -105,7 +116,7 @@ def route(classes: DataFrame, trees: int, depth: int, sample_vectors: int, spill
             rows, nodes = [np.flatnonzero(~fits)], [np.array([-len(v) for v in found], dtype=np.int64)[~fits]]
             vectors, place = np.array([v for v in found if len(v) == size]).reshape(int(fits.sum()), size), np.flatnonzero(fits)
             for k, tree in enumerate(forest.value):
-                r, leaf = tree.leaves(vectors, spill)
+                r, leaf = tree.leaves(vectors, spill_of(threshold, size, spill))
                 rows.append(place[r])
                 nodes.append(leaf + (k << 40))
             at = pa.array(np.concatenate(rows))
@@ -114,7 +125,7 @@ def route(classes: DataFrame, trees: int, depth: int, sample_vectors: int, spill
     return classes.mapInArrow(run, "node long, key binary, vector binary")
 
 
-def split_on(members: DataFrame, leaf_vectors: int, spill: float, tables: list[DataFrame], max_levels: int = 40) -> DataFrame:
+def split_on(members: DataFrame, leaf_vectors: int, threshold: float, tables: list[DataFrame], max_levels: int = 40, spill: float = SPILL) -> DataFrame:
     """Splits nodes of (node, key, vector) with more than leaf_vectors rows until none is left that shrinks; adds blocks, the
     number of blocks that a node is compared in.  The written tables that the result reads are added to tables."""
     out, previous = None, []
@@ -144,7 +155,8 @@ def split_on(members: DataFrame, leaf_vectors: int, spill: float, tables: list[D
         rows = settle(rows, f"forest-at-{level}")
         # the two sides of the median, as exact counts: a node of which a side would keep nearly all rows is compared as it is
         cut = settle(rows.groupBy("node").agg(F.percentile_approx("at", 0.5, 1000).alias("cut")), f"forest-cuts-{level}")
-        sides = rows.join(cut, "node").withColumns({"left": F.col("at") <= F.col("cut") + spill, "right": F.col("at") > F.col("cut") - spill})
+        width = F.lit(spill_of(threshold, 1, spill)) / F.sqrt(F.octet_length("vector") / 8)
+        sides = rows.join(cut, "node").withColumns({"left": F.col("at") <= F.col("cut") + width, "right": F.col("at") > F.col("cut") - width})
         sides = settle(sides, f"forest-sides-{level}")
         previous = [rows, cut]
         stuck = sides.groupBy("node").agg((F.greatest(F.sum(F.col("left").cast("int")), F.sum(F.col("right").cast("int"))) > 0.8 * F.first("n")).alias("stuck"))
@@ -202,7 +214,7 @@ def block_links(dealt: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    table: DataFrame, threshold: float = 0.95, trees: int = 5, leaf_vectors: int = 1024, sample_vectors: int = 8192, max_depth: int = 8, spill: float = 0.03, most_blocks: int = 64
+    table: DataFrame, threshold: float = 0.95, trees: int = 5, leaf_vectors: int = 1024, sample_vectors: int = 8192, max_depth: int = 8, spill: float = SPILL, most_blocks: int = 64
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
@@ -215,7 +227,7 @@ def near_duplicates(
     n = classes.count()
     depth = min(max_depth, max(0, int(np.ceil(np.log2(max(n, 1) / (leaf_vectors / 4))))))
     tables: list[DataFrame] = []
-    leaves = split_on(route(classes.select("key", "vector"), trees, depth, sample_vectors, spill), leaf_vectors, spill, tables)
+    leaves = split_on(route(classes.select("key", "vector"), trees, depth, sample_vectors, threshold, spill), leaf_vectors, threshold, tables, spill=spill)
     edges = settle(block_links(in_blocks(leaves.withColumn("m", F.lit(1).cast("long")), "node"), threshold).where(F.col("b").isNotNull()).select("a", "b"), "vector-forest")
     discard(*tables)
     roots = components(edges)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import SparkSession, functions as F
 
-from fragmill.llm.projection_forest import near_duplicates
+from fragmill.llm.projection_forest import Tree, near_duplicates, spill_of
 from fragmill.llm.threshold_topk import Block, exact_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank int"
@@ -90,3 +90,24 @@ def test_near_duplicates(spark: SparkSession, leaf_vectors: int) -> None:
 def test_null_and_repeated_ids(spark: SparkSession) -> None:
     rows = near_duplicates(spark.createDataFrame([(None, [1.0, 0.0], 0, 0), (4, [1.0, 0.0], 0, 0), (4, [0.0, 1.0], 0, 0), (None, None, 0, 0)], SCHEMA)).collect()
     assert sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in rows) == [(-1, 0, -1, True), (-1, 1, 4, False), (4, 0, 4, True), (4, 1, 4, True)]
+
+
+@pytest.mark.parametrize("components", [64, 256, 768])
+def test_recall_and_copies_do_not_depend_on_the_components(components: int) -> None:
+    """5,000 pairs just above the threshold: in five trees they meet in some leaf, at few copies of a vector."""
+    rng = np.random.default_rng(components)
+    left, off = rng.normal(size=(2, 5000, components))
+    left /= np.linalg.norm(left, axis=1, keepdims=True)
+    off -= (off * left).sum(1, keepdims=True) * left
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = rng.uniform(0.95, 0.96, (5000, 1))
+    vectors = np.concatenate([left, cosine * left + np.sqrt(1 - cosine**2) * off])
+    met, copies = np.zeros(5000, dtype=bool), 0
+    for seed in range(5):
+        rows, leaves = Tree(vectors[rng.permutation(10_000)[:8192]], 6, seed).leaves(vectors, spill_of(0.95, components))
+        copies += len(rows)
+        keys = np.unique(rows * 1024 + leaves)
+        first, second = keys[keys < 5000 * 1024], keys[keys >= 5000 * 1024] - 5000 * 1024
+        met[np.intersect1d(first, second) // 1024] = True
+    assert met.mean() >= 0.99 and copies / (5 * 10_000) <= 4
+    assert spill_of(0.95, 64) == pytest.approx(0.03, abs=1e-4)
