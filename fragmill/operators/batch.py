@@ -53,6 +53,12 @@ def rank_facets(instances: DataFrame, queries: DataFrame, limit: int, block_rows
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("sim")
 
 
+def score_models(instances: DataFrame, queries: DataFrame, popularity: DataFrame, limit: int = 100, block_rows: int = 20_000, query_rows: int = 1_000) -> DataFrame:
+    """score_queries for several models in one plan: instances, queries and the result have a column model beside the others, and a
+    query meets the vectors of its model only.  Queries are dealt to the same sets whatever the model."""
+    return _scored(instances, queries, popularity, limit, block_rows, query_rows)
+
+
 def score_queries(instances: DataFrame, queries: DataFrame, popularity: DataFrame, limit: int = 100, block_rows: int = 20_000, query_rows: int = 1_000) -> DataFrame:
     """(query_id, facet, score, rank): the facets of each query in the order of a search for its fragments.
 
@@ -60,14 +66,19 @@ def score_queries(instances: DataFrame, queries: DataFrame, popularity: DataFram
     has facet and popularity.  A facet's score is the mean over the query's fragments of the best similarity of any variant to any of
     its instances; facets are ordered by the score at four places, then by popularity (zero and null last), then by themselves.
     Blocks of facets meet blocks of queries, and only a block's best facets of each query go on."""
+    one = F.lit("").alias("model")
+    return _scored(instances.select("*", one), queries.select("*", one), popularity, limit, block_rows, query_rows).drop("model")
+
+
+def _scored(instances: DataFrame, queries: DataFrame, popularity: DataFrame, limit: int, block_rows: int, query_rows: int) -> DataFrame:
     known = instances.join(popularity.select("facet", F.nullif(F.col("popularity"), F.lit(0)).cast("double").alias("popularity")), "facet", "left")
     n, m = known.count(), queries.count()
     blocks, sets = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
     number = F.lit(0).cast("int")
     empty = lambda rows, name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
-    own = known.select(F.lit(False).alias("asks"), "facet", empty(queries, "query_id"), number.alias("fragment"), F.col("vector").cast("array<double>").alias("vector"), "popularity", F.pmod(F.xxhash64("facet"), F.lit(blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("j"))
-    ask = queries.select(F.lit(True).alias("asks"), empty(instances, "facet"), "query_id", F.col("fragment").cast("int").alias("fragment"), F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("double").alias("popularity"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int").alias("j"))
-    dealt = own.unionByName(ask).repartition("i", "j").sortWithinPartitions("i", "j", "asks", "facet", "query_id", "fragment")
+    own = known.select("model", F.lit(False).alias("asks"), "facet", empty(queries, "query_id"), number.alias("fragment"), F.col("vector").cast("array<double>").alias("vector"), "popularity", F.pmod(F.xxhash64("facet"), F.lit(blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("j"))
+    ask = queries.select("model", F.lit(True).alias("asks"), empty(instances, "facet"), "query_id", F.col("fragment").cast("int").alias("fragment"), F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("double").alias("popularity"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int").alias("j"))
+    dealt = own.unionByName(ask).repartition("model", "i", "j").sortWithinPartitions("model", "i", "j", "asks", "facet", "query_id", "fragment")
 
     def best(rows: list[tuple]) -> list[tuple]:
         held, asked = [r for r in rows if not r[0]], [r for r in rows if r[0]]
@@ -90,20 +101,21 @@ def score_queries(instances: DataFrame, queries: DataFrame, popularity: DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in batches:
-            for i, j, asks, facet, query, *row in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "asks", "facet", "query_id", "fragment", "vector", "popularity")), strict=True):
-                if (i, j) != group:
-                    yield from packed(best(rows))
-                    group, rows = (i, j), []
+            for model, i, j, asks, facet, query, *row in zip(*(batch.column(c).to_pylist() for c in ("model", "i", "j", "asks", "facet", "query_id", "fragment", "vector", "popularity")), strict=True):
+                if (model, i, j) != group:
+                    yield from packed(group, best(rows))
+                    group, rows = (model, i, j), []
                 rows.append((asks, query if asks else facet, *row))
-        yield from packed(best(rows))
+        yield from packed(group, best(rows))
 
-    kinds = {"query_id": queries.schema["query_id"].dataType, "facet": instances.schema["facet"].dataType, "score": DoubleType(), "places": DoubleType(), "popularity": DoubleType()}
+    kinds = {"model": queries.schema["model"].dataType, "query_id": queries.schema["query_id"].dataType, "facet": instances.schema["facet"].dataType, "score": DoubleType(), "places": DoubleType(), "popularity": DoubleType()}
     arrow = [to_arrow_type(t) for t in kinds.values()]
 
-    def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def packed(group: tuple | None, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], list(kinds))
+            columns = [[group[0]] * len(rows), *zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], list(kinds))
 
     found = dealt.mapInArrow(run, StructType([StructField(name, t) for name, t in kinds.items()]))
-    w = Window.partitionBy("query_id").orderBy(F.desc("places"), F.asc_nulls_last("popularity"), "facet")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "facet", "score", "rank")
+    w = Window.partitionBy("model", "query_id").orderBy(F.desc("places"), F.asc_nulls_last("popularity"), "facet")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("model", "query_id", "facet", "score", "rank")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Mapping
 from datetime import UTC, datetime
 
@@ -52,6 +53,10 @@ class SnapshotStore:
         stream = fs.create(part, True)
         stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         stream.close()
+        self._rename(part, target)
+
+    def _rename(self, part, target) -> None:  # noqa: ANN001
+        fs = part.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
         how = gateway.new_array(kind, 1)
@@ -59,6 +64,19 @@ class SnapshotStore:
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(fs.makeQualified(part), fs.makeQualified(target), how)  # raises if it fails
 
+    def put_file(self, source: str | os.PathLike, name: str) -> None:
+        """Copies a local file to its place below the path: beside it first, then renamed."""
+        folder, _, file = name.rpartition("/")
+        fs, part = self._fs(f"{self.path}/{folder}/.{file}.part")
+        _, target = self._fs(f"{self.path}/{name}")
+        fs.copyFromLocalFile(False, True, self._fs(f"file://{os.path.abspath(source)}")[1], part)
+        self._rename(part, target)
+
+    def get_file(self, name: str, to: str | os.PathLike) -> None:
+        """Copies a file below the path to a local one."""
+        fs, target = self._fs(f"{self.path}/{name}")
+        fs.copyToLocalFile(False, target, self._fs(f"file://{os.path.abspath(to)}")[1], True)
+
     def exists(self, name: str) -> bool:
         """Whether there is a file or folder below the path, as models/<id>."""
         fs, target = self._fs(f"{self.path}/{name}")
