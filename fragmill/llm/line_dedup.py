@@ -1,26 +1,30 @@
 """Line dedup by pairwise alignment of documents that share rare lines.
 
 A document is the sequence of its lines that aren't blank, without the white space around them; the k-th time that a line
-occurs in a document is a token of its own, so a token stands at one place of a document.  Every document is aligned with
+occurs in a document is a token of its own, so a token stands at one place of a document.  What brings documents together:
 
-* each earlier document that shares a rare token with it, one that at most RARE documents hold, and
-* for every more frequent token, the first document that holds it, so that what thousands of documents share is found
-  without pairing them all with each other.
+* a line of at least min_words words;
+* around a line with fewer words, which says little alone, each shortest run of lines that has min_words words;
+* every run of 2, 4, 8, ... successive shared lines with min_words words, where a shared line is one that several documents
+  hold.  However frequent its lines are, a run is as rare as the documents that hold it: what two documents alone have in
+  common in a row leads from one to the other, though each line of it stands in thousands.
 
-A line of fewer than min_words words says little alone, so it brings no documents together by itself; the shortest runs of
-lines around it that have min_words words do, by the same two rules.
+Every document is aligned with the first document that holds one of these, for each of them.  So the number of pairs is at
+most that of lines and runs, whatever number of documents share them, and one rule holds for rare and for frequent lines.  A
+shared line that crosses the alignments with all these documents stays, though one with yet another document might hold it.
 
 A pair is aligned by patience diff over all tokens that both documents hold: lines that occur once in both are the anchors,
 their longest common increasing sequence is kept, and the others fill the gaps between anchors.  A common block is a run of
-aligned lines that follow each other in both documents.  From the later document go the blocks of at least min_words words,
-and, of the lines that cross the alignment, the moved blocks: runs that follow each other in both documents and have at
-least moved_words words.  What crosses the alignment in smaller pieces stays, and so does a block that is too short.
-Where a deleted line of at least min_words words occurs again in the later document, it goes too.
+aligned lines that follow each other in both documents, and blocks of at least min_words words go from the later document.
+What crosses the alignment is aligned again, whole runs that follow each other in both documents at a time, without what was
+aligned before, until nothing is left; a block of these later alignments, a moved one, goes if it has at least moved_words
+words.  As each run gets its turn, no alignment need be computed for this: moved blocks are all the crossing runs of that
+length.  In the same way what is left of the later document meets the earlier one again: where a run of deleted lines occurs once
+more, it is a moved block too.  Smaller pieces stay, and so does a block that is too short.
 
 Earlier means a smaller doc_id, then a smaller hash of the text; a null doc_id comes last.  Edge cases: a null text stays
-null; rows equal in doc_id and text are one document and are treated alike, but count each for the frequency of a token; a
-document whose lines are all deleted keeps an empty text; repeated lines within one document stay where no earlier document
-has them; an empty table gives no rows; other columns are returned as they are, but for input columns named like an output
+null; rows equal in doc_id and text are one document and are treated alike; a whose lines are all deleted keeps an empty text; repeated lines within one document stay where no earlier document has as
+many; an empty table gives no rows; other columns are returned as they are, but for input columns named like an output
 column, which are replaced.
 """
 
@@ -38,12 +42,10 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from .shared import by_bytes, discard, settle
 
 LAST = 2**63 - 1
-#: Most documents that hold a rare token: each of them is aligned with every earlier one.
-RARE = 5
-#: What a row of lines_of is: a line that brings documents together, one that is too short for it, a run of lines.
+#: What a row is: a line that brings documents together, one that is too short for it, a run of lines.
 LINE, SHORT, RUN = 0, 1, 2
 ROWS = "doc long, th long, at int, token binary, words int, kind byte, alone boolean"
-MATCHES = ["doc", "th", "doc0", "th0", "at", "at0", "unique", "words", "kind"]
+MATCHES = ["doc", "th", "doc0", "th0", "at", "at0", "unique", "words"]
 
 
 def document_keys() -> list[Column]:
@@ -168,46 +170,82 @@ def deleted_places(matches: list[tuple[int, int, bool, int]], min_words: int, mo
     return out
 
 
-def find_matches(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
+def ladder(tokens: list[bytes], words: list[int], min_words: int) -> Iterator[bytes]:
+    """Hashes of the runs of 2, 4, 8, ... successive tokens that have min_words words; two shorter runs give one."""
+    length, sums = 1, words
+    while len(tokens) > length:
+        tokens = [hashlib.blake2b(a + b, digest_size=16, salt=length.to_bytes(8, "big")).digest() for a, b in zip(tokens, tokens[length:], strict=False)]
+        sums = [a + b for a, b in zip(sums, sums[length:], strict=False)]
+        length *= 2
+        yield from (t for t, n in zip(tokens, sums, strict=True) if n >= min_words)
+
+
+def with_runs(shared: DataFrame, min_words: int) -> DataFrame:
+    """ROWS and size: shared ROWS without repetitions and the runs of successive shared lines, with the number of such lines of the
+    document."""
+    ordered = shared.select("doc", "th", "at", "token", "words", "kind", "alone").repartition("doc", "th").sortWithinPartitions("doc", "th", "at", "kind", "token")
+    names = ["doc", "th", "at", "token", "words", "kind", "alone", "size"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int8(), pa.bool_(), pa.int32())
+
+    def document(doc: int, th: int, rows: list[tuple]) -> Iterator[tuple]:
+        own = [r for r in rows if r[3] != RUN]
+        for row in rows:
+            yield (doc, th, *row, len(own))
+        for token in set(ladder([r[1] for r in own], [r[2] for r in own], min_words)):
+            yield doc, th, -1, token, 0, RUN, False, len(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, done = None, [], []
+        for batch in batches:
+            for doc, th, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, th) != now:
+                    if rows:
+                        done += document(*now, rows)
+                    now, rows = (doc, th), []
+                if not rows or rows[-1] != tuple(row):  # a repeated row brings each token again
+                    rows.append(tuple(row))
+            if len(done) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
+                done = []
+        if rows:
+            done += document(*now, rows)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
+
+    return ordered.mapInArrow(run, ROWS + ", size int")
+
+
+def find_matches(rows: DataFrame, min_words: int, tables: list[DataFrame]) -> DataFrame:
     """MATCHES of every pair of documents that is to be aligned, from ROWS."""
-    stats = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "at", "alone")).alias("first")).where("n > 1")
     # a token that very many documents hold makes a large join key; the adaptive skew join splits it
-    shared = settle(rows.join(settle(stats, "line-tokens"), "token"), "shared-lines")
-
-    # rare tokens: at most RARE holders meet in a group
-    holders = shared.where(F.col("n") <= RARE).groupBy("token").agg(
-        F.first("words").alias("words"), F.first("kind").alias("kind"), F.array_distinct(F.collect_list(F.struct("doc", "th", "at", "alone"))).alias("held")
-    )
-    later = holders.select("*", F.explode("held").alias("own"))
-    both = later.select("*", F.explode(F.filter("held", lambda h: (h["doc"] < F.col("own.doc")) | ((h["doc"] == F.col("own.doc")) & (h["th"] < F.col("own.th"))))).alias("other"))
-    rare = both.select(
-        F.col("own.doc").alias("doc"), F.col("own.th").alias("th"), F.col("other.doc").alias("doc0"), F.col("other.th").alias("th0"), F.col("own.at").alias("at"),
-        F.col("other.at").alias("at0"), (F.col("own.alone") & F.col("other.alone")).alias("unique"), "words", "kind",
-    )
-    # frequent tokens: the first holder only
-    other_than_first = lambda doc, th: (F.col(doc) != F.col("first.doc")) | (F.col(th) != F.col("first.th"))
-    frequent = shared.where((F.col("n") > RARE) & other_than_first("doc", "th"))
-    hot = frequent.select(
-        "doc", "th", F.col("first.doc").alias("doc0"), F.col("first.th").alias("th0"), "at", F.col("first.at").alias("at0"), (F.col("alone") & F.col("first.alone")).alias("unique"), "words", "kind"
-    )
-    known = settle(rare.unionByName(hot), "line-matches")
-
-    # the frequent lines of these pairs whose first holder is another document
-    pairs = known.where(F.col("kind") != SHORT).select("doc", "th", "doc0", "th0").distinct()
-    own = frequent.where(F.col("kind") != RUN).select("doc", "th", "token", "at", "alone", "words", "kind", "first")
-    wanted = pairs.join(own, ["doc", "th"]).where(other_than_first("doc0", "th0"))
-    held = shared.where((F.col("n") > RARE) & (F.col("kind") != RUN)).select(F.col("doc").alias("doc0"), F.col("th").alias("th0"), "token", F.col("at").alias("at0"), F.col("alone").alias("alone0"))
-    more = wanted.join(held, ["doc0", "th0", "token"]).withColumn("unique", F.col("alone") & F.col("alone0"))
-    tables += [shared, known]
-    return known.unionByName(more.select(*MATCHES))
+    several = settle(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "line-tokens")
+    held = settle(with_runs(rows.join(several, "token"), min_words), "shared-lines")
+    meeting = held.where(F.col("kind") != SHORT)
+    first = meeting.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "size")).alias("first")).where("n > 1")
+    first = settle(first.select("token", F.col("first.doc").alias("doc0"), F.col("first.th").alias("th0"), F.col("first.size").alias("size0")), "first-holders")
+    other = (F.col("doc") != F.col("doc0")) | (F.col("th") != F.col("th0"))
+    pairs = meeting.select("token", "doc", "th", "size").join(first, "token").where(other).select("doc", "th", "size", "doc0", "th0", "size0").distinct()
+
+    # the lines of the document that has fewer are looked up in the other one, so a pair makes no more rows than the smaller has
+    lines = held.where(F.col("kind") != RUN).select("doc", "th", "token", "at", "alone", "words")
+    least = F.col("size0") < F.col("size")
+    asked = pairs.select("doc", "th", "doc0", "th0", least.alias("swapped"))
+    near = lambda a, b, c: F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a)).alias(c)
+    asked = asked.select("swapped", near("doc", "doc0", "a"), near("th", "th0", "ta"), near("doc0", "doc", "b"), near("th0", "th", "tb"))
+    one = lines.select(F.col("doc").alias("a"), F.col("th").alias("ta"), "token", F.col("at").alias("pa"), F.col("alone").alias("la"), "words")
+    two = lines.select(F.col("doc").alias("b"), F.col("th").alias("tb"), "token", F.col("at").alias("pb"), F.col("alone").alias("lb"))
+    both = asked.join(one, ["a", "ta"]).join(two, ["b", "tb", "token"])
+    tables += [several, held, first]
+    named = [near("a", "b", "doc"), near("ta", "tb", "th"), near("b", "a", "doc0"), near("tb", "ta", "th0"), near("pa", "pb", "at"), near("pb", "pa", "at0")]
+    return both.select(*named, (F.col("la") & F.col("lb")).alias("unique"), "words").select(*MATCHES)
 
 
 def find_deletions(rows: DataFrame, min_words: int, moved_words: int, tables: list[DataFrame]) -> DataFrame:
     """(doc, th, places): the lines to delete from each later document."""
-    ordered = find_matches(rows, tables).select(*MATCHES).repartition("doc", "th").sortWithinPartitions("doc", "th", "doc0", "th0", "at", "at0")
+    ordered = find_matches(rows, min_words, tables).repartition("doc", "th").sortWithinPartitions("doc", "th", "doc0", "th0", "at", "at0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pair, matches, meets, places = None, None, [], False, set()
+        now, pair, matches, places = None, None, [], set()
         done: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -216,21 +254,19 @@ def find_deletions(rows: DataFrame, min_words: int, moved_words: int, tables: li
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ths, pa.int64()), pa.array([sorted(s) for s in sets], pa.list_(pa.int32()))], ["doc", "th", "places"])
 
         for batch in batches:
-            for doc, th, doc0, th0, at, at0, unique, words, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, th, doc0, th0, at, at0, unique, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (doc, th, doc0, th0) != pair:
-                    if meets and matches:
+                    if matches:
                         places |= deleted_places(matches, min_words, moved_words)
-                    pair, matches, meets = (doc, th, doc0, th0), [], False
+                    pair, matches = (doc, th, doc0, th0), []
                     if (doc, th) != now:
                         if places:
                             done.append((*now, places))
                         now, places = (doc, th), set()
-                meets |= kind != SHORT
-                if kind != RUN and (not matches or matches[-1][0] != at):  # a repeated row brings each match again
-                    matches.append((at, at0, unique, words))
+                matches.append((at, at0, unique, words))
             if len(done) > 1000:
                 yield flush()
-        if meets and matches:
+        if matches:
             places |= deleted_places(matches, min_words, moved_words)
         if places:
             done.append((*now, places))
@@ -240,13 +276,21 @@ def find_deletions(rows: DataFrame, min_words: int, moved_words: int, tables: li
     return ordered.mapInArrow(run, "doc long, th long, places array<int>")
 
 
-def without(text: str, places: set[int], min_words: int) -> tuple[str, int, int]:
+def repeated_places(lines: list[str], places: set[int], moved_words: int) -> set[int]:
+    """Places of the runs of lines that follow each other like deleted ones and have moved_words words."""
+    first: dict[str, int] = {}
+    for at in sorted(places):
+        first.setdefault(lines[at], at)
+    again = [(at, first[line]) for at, line in enumerate(lines) if at not in places and line in first]
+    return {at for block in blocks(again) if sum(len(lines[at].split()) for at in block) >= moved_words for at in block}
+
+
+def without(text: str, places: set[int], moved_words: int) -> tuple[str, int, int]:
     """The text without the lines at these places and their repetitions, the number of lines, and of deleted ones."""
     lines = kept_lines(text)
-    gone = {lines[at] for at in places if len(lines[at].split()) >= min_words}
-    drop = places | {at for at, line in enumerate(lines) if line in gone}
-    if not drop:
+    if not places:
         return text, len(lines), 0
+    drop = places | repeated_places(lines, places, moved_words)
     out, at = [], 0
     for line in text.split("\n"):
         if line.strip():
@@ -271,7 +315,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 4, moved_words: int = 12) -> D
         for batch in by_bytes(batches, "text"):
             texts, counts, gone = [], [], []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist(), strict=True):
-                left = (None, 0, 0) if text is None else without(text, set(places or ()), min_words)
+                left = (None, 0, 0) if text is None else without(text, set(places or ()), moved_words)
                 for out, x in zip((texts, counts, gone), left, strict=True):
                     out.append(x)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]

@@ -134,32 +134,48 @@ def test_groups_of_near_copies_are_joined_whole(spark: SparkSession) -> None:
     assert groups == {frozenset(f"c{k:03}".encode() for k in range(60))}
 
 
-def plain_line_dedup(docs: list[tuple[int, str]], min_words: int, moved_words: int, rare: int) -> dict[int, list[str]]:
-    """Every two documents aligned with difflib-free plain code, where a shared token of either rule brings them together."""
+def plain_line_dedup(docs: list[tuple[int, str]], min_words: int, moved_words: int, all_pairs: bool = False) -> dict[int, list[str]]:
+    """Documents aligned with plain code: all that overlap, or each with the first holder of every line and run of it; what crosses an
+    alignment is aligned again, run by run."""
     split = {doc: [x.strip() for x in text.split("\n") if x.strip()] for doc, text in docs}
     lines = {doc: [(x, own[:k].count(x)) for k, x in enumerate(own)] for doc, own in split.items()}
+    held_by = Counter(t for own in lines.values() for t in own)
     size = lambda xs: sum(len(x.split()) for x in xs)
 
-    def finders(own: list[str]) -> set:
-        found = {(x, own[:k].count(x)) for k, x in enumerate(own) if size([x]) >= min_words}
+    def finders(doc: int) -> set:
+        own = split[doc]
+        found = {t for t in lines[doc] if size([t[0]]) >= min_words}
         for i in range(len(own)):
             for j in range(i + 2, len(own) + 1):
                 run = own[i:j]
                 # the shortest runs with enough words around one of their short lines
                 if size(run) >= min_words and any(size([x]) < min_words and (k == 0 or size(run[1:]) < min_words) and (k == len(run) - 1 or size(run[:-1]) < min_words) for k, x in enumerate(run)):
                     found.add(tuple(run))
+        shared = [t for t in lines[doc] if held_by[t] > 1]
+        for n in (2, 4, 8, 16):
+            found |= {("run", *run) for run in zip(*(shared[i:] for i in range(n)), strict=False) if size(x for x, _ in run) >= min_words}
         return found
 
-    tokens = {doc: finders(own) for doc, own in split.items()}
+    tokens = {doc: finders(doc) for doc in split}
     holders: dict = {}
     for doc in sorted(tokens):
         for t in tokens[doc]:
             holders.setdefault(t, []).append(doc)
+
+    def runs(pairs: set) -> list[list[tuple[int, int]]]:
+        out = []
+        for a, b in sorted(pairs):
+            if (a - 1, b - 1) not in pairs:
+                n = next(n for n in range(1, len(pairs) + 1) if (a + n, b + n) not in pairs)
+                out.append([(a + i, b + i) for i in range(n)])
+        return out
+
     out = {}
     for later in sorted(split):
         gone: set[int] = set()
+        words = lambda places: size(split[later][a] for a in places)  # noqa: B023, E731
         for earlier in sorted(split):
-            if earlier >= later or not any(t in tokens[earlier] and (len(holders[t]) <= rare or holders[t][0] == earlier) for t in tokens[later]):
+            if earlier >= later or not any(t in tokens[earlier] and (all_pairs or holders[t][0] == earlier) for t in tokens[later]):
                 continue
             place = {t: k for k, t in enumerate(lines[earlier])}
             matches = [(k, place[t]) for k, t in enumerate(lines[later]) if t in place]
@@ -168,14 +184,16 @@ def plain_line_dedup(docs: list[tuple[int, str]], min_words: int, moved_words: i
             bounds = [(-1, -1), *aligned, (10**9, 10**9)]
             for (a0, b0), (a1, b1) in zip(bounds, bounds[1:], strict=False):
                 aligned += line_dedup.longest_rise([(a, b) for a, b in matches if (a, b) not in once and a0 < a < a1 and b0 < b < b1])
-            for pairs, least in ((set(aligned), min_words), (set(matches) - set(aligned), moved_words)):
-                for a, b in pairs:
-                    if (a - 1, b - 1) not in pairs:
-                        n = next(n for n in range(1, len(pairs) + 1) if (a + n, b + n) not in pairs)
-                        if size(split[later][a : a + n]) >= least:
-                            gone |= set(range(a, a + n))
-        again = {split[later][a] for a in gone if size([split[later][a]]) >= min_words}
-        out[later] = [x for k, x in enumerate(split[later]) if k not in gone and x not in again]
+            gone |= {a for run in runs(set(aligned)) if words(a for a, _ in run) >= min_words for a, _ in run}
+            left = runs(set(matches) - set(aligned))
+            while left:  # aligned again, whole runs at a time
+                starts = set(line_dedup.longest_rise([run[0] for run in left]))
+                gone |= {a for run in left if run[0] in starts and words(a for a, _ in run) >= moved_words for a, _ in run}
+                left = [run for run in left if run[0] not in starts]
+        own = split[later]
+        again = runs({(k, min(a for a in gone if own[a] == x)) for k, x in enumerate(own) if k not in gone and x in {own[a] for a in gone}})
+        gone |= {a for run in again if words(a for a, _ in run) >= moved_words for a, _ in run}
+        out[later] = [x for k, x in enumerate(own) if k not in gone]
     return out
 
 
@@ -197,9 +215,44 @@ def test_line_dedup_equals_plain_pairs(spark: SparkSession) -> None:
         docs.append((k, "\n".join(own[:14])))
     table = spark.createDataFrame(docs, "doc_id long, text string")
     rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table).collect()}
-    expected = plain_line_dedup(docs, 4, 12, line_dedup.RARE)
+    expected = plain_line_dedup(docs, 4, 12)
     assert {k: [x for x in t.split("\n") if x] for k, t in rows.items()} == expected
     assert sum(map(len, expected.values())) < sum(len(t.split("\n")) for _, t in docs)
+    # what the alignment of all overlapping documents takes away: all of it where a line alone is a moved block
+    for doc, left in plain_line_dedup(docs, 4, 12, all_pairs=True).items():
+        assert not Counter(left) - Counter(expected[doc])
+        assert [x for x in left if len(x.split()) >= 12] == [x for x in expected[doc] if len(x.split()) >= 12]
+
+
+def test_lines_of_many_holders_equal_all_pairs(spark: SparkSession) -> None:
+    """Lines, couples and passages that six and more documents hold, each document with others of them, in their order."""
+    rng = random.Random(8)
+    passages = [[prose(rng.choice((2, 5, 7))) for _ in range(rng.randint(1, 6))] for _ in range(12)]
+    docs = []
+    for k in range(120):
+        own: list[str] = []
+        for p in sorted(rng.sample(range(12), rng.randint(1, 4))):
+            own += [prose(8), *passages[p]]
+        docs.append((k, "\n".join(own)))
+    held = Counter(x for _, t in docs for x in t.split("\n"))
+    assert sum(n > 5 for n in held.values()) > 30
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k: [x for x in t.split("\n") if x] for k, t in rows.items()} == plain_line_dedup(docs, 4, 12, all_pairs=True)
+
+
+def test_two_documents_meet_by_a_run_of_frequent_lines(spark: SparkSession) -> None:
+    """Short sentences that cross the alignment with their first holder, but not that with the document that has them in a row."""
+    a, b = "five words are in here", "and some more stand there"
+    docs = [(1, f"{b}\nfirst of all\n{a}"), *((k, f"own text {k}\n{b}") for k in range(2, 9)), (9, f"{a}\n{b}\nnine"), *((k, f"{a}\nwhat is new in {k}\n{b}") for k in range(10, 13))]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {rows[k] for k in range(10, 13)} == {f"what is new in {k}" for k in range(10, 13)}
+
+
+def test_runs_of_doubled_length() -> None:
+    tokens = [bytes([k]) for k in range(9)]
+    runs = [list(line_dedup.ladder(tokens[:n], [2] * n, 4)) for n in range(10)]
+    assert [len(x) for x in runs] == [0, 0, 1, 2, 4, 6, 8, 10, 13, 16] and len(set(runs[9])) == 16
+    assert list(line_dedup.ladder(tokens[:4], [1] * 4, 4)) == runs[4][3:]  # only the whole has four words
 
 
 def test_the_alignment_decides(spark: SparkSession) -> None:
@@ -225,7 +278,7 @@ def test_line_dedup(spark: SparkSession) -> None:
     docs.append((40, docs[3][1]))
     table = spark.createDataFrame([(k, t, 9) for k, t in docs], "doc_id long, text string, n_lines int")
     rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(table).collect()}
-    assert {k: [x for x in r["text"].split("\n") if x] for k, r in rows.items()} == plain_line_dedup(docs, 4, 12, line_dedup.RARE)
+    assert {k: [x for x in r["text"].split("\n") if x] for k, r in rows.items()} == plain_line_dedup(docs, 4, 12)
     assert rows[40]["text"] == "" and rows[40]["n_deleted"] == rows[40]["n_lines"]
 
 
