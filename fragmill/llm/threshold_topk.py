@@ -1,6 +1,7 @@
 """Exact top-k by inner product with Fagin's threshold algorithm over sorted per-dimension lists.
 
-Candidates are dealt to blocks by hash.  A block keeps its rows in one sorted list per dimension; for a query it reads all
+Candidates are dealt to blocks by hash; there are as many as keep a block within a number of bytes, whatever the vectors'
+length.  A block keeps its rows in one sorted list per dimension; for a query it reads all
 lists in step from the end that the query's sign favours, scores every row it meets by random access, and stops when the sum
 of the contributions of the values last read can't beat the k-th score found (an equal one could still win by its smaller
 id, so the scan goes on while the bound is equal).  The depth doubles from one step to the next, and the bound is computed
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .vectors import takes_part
 
 RESULT = "query_id long, vec_id long, score long"
+#: What a block holds of a component: the whole number, the same as a double, a place in a sorted list; and of a row besides.
+COMPONENT_BYTES, ROW_BYTES = 8 + 8 + 4, 200
 
 
 def quantized(vector: Column, scale: int) -> Column:
@@ -84,15 +87,16 @@ class Block:
             read, depth = depth, min(n, 2 * depth)
 
 
-def exact_top_k(table: DataFrame, query: Column, k: int = 5, scale: int = 256, block_rows: int = 131_072, least_blocks: int = 64, query_rows: int = 32_768) -> DataFrame:
+def exact_top_k(table: DataFrame, query: Column, k: int = 5, scale: int = 256, block_bytes: int = 200_000_000, least_blocks: int = 64, query_rows: int = 32_768) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest scores of each row for which query holds, among all other rows."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), query.alias("is_query"), quantized(F.col("embedding"), scale).cast("array<long>").alias("x"))
     rows = rows.where(F.col("x").isNotNull())
-    n, n_queries = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
-    # At least least_blocks blocks, so that all cores work; more as soon as a block would hold more than block_rows rows.  A task
+    held = F.sum(F.size("x").cast("long") * COMPONENT_BYTES + ROW_BYTES)
+    n, n_queries, n_bytes = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1)), F.coalesce(held, F.lit(0))).first()
+    # At least least_blocks blocks, so that all cores work; more as soon as a block would hold more than block_bytes.  A task
     # is a block and a group of at most about query_rows queries: large blocks keep the copies of the queries few, and groups
     # keep tasks short, at one copy of the candidates each.
-    blocks, groups = max(-(-n // block_rows), min(least_blocks, -(-n // 64)), 1), max(1, -(-n_queries // query_rows))
+    blocks, groups = max(-(-n_bytes // block_bytes), min(least_blocks, -(-n // 64)), 1), max(1, -(-n_queries // query_rows))
     deal = lambda count: F.pmod(F.xxhash64("vec_id", "x"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     candidates = rows.select(F.lit(False).alias("is_query"), "vec_id", "x", deal(blocks).alias("block"), every(groups).alias("part"))

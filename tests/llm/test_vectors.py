@@ -48,6 +48,8 @@ def test_top_k(spark: SparkSession) -> None:
         expected = sorted((-int(q[j] @ q[query]), ids[j]) for j in range(151) if ids[j] != query)[:5]
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == query) == [(k + 1, i, -s) for k, (s, i) in enumerate(expected)]
     assert {r["query_id"] for r in out} == {0, 50, 100}
+    few_bytes = exact_top_k(table, F.col("vec_id") % 50 == 0, k=5, block_bytes=3_000, least_blocks=1).collect()  # about nine rows a block
+    assert sorted(few_bytes) == sorted(out)
     assert exact_top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert exact_top_k(table.where("vec_id in (0, 3, 4)"), F.col("vec_id") % 50 == 0).count() == 2
 
