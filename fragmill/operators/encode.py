@@ -69,7 +69,8 @@ def token_model(tokenize: Callable[[list[str]], list[list[int]]], model: Callabl
 
 
 class ArrowEncoder:
-    """A model applied to batches of texts in tasks, the texts sorted by length so that a batch needs little padding."""
+    """A model applied to batches of texts in tasks, the texts sorted by length so that a batch needs little padding; texts of one
+    length are dealt to several tasks by their hash."""
 
     def __init__(self, name: str, load: Callable[[], Callable[[list[str]], list]], batch: int = 64):
         self.name, self.load, self.batch = name, load, batch
@@ -85,5 +86,5 @@ class ArrowEncoder:
                     vectors = pa.array([list(map(float, v)) for v in model(part.column("normalized").to_pylist())], pa.list_(pa.float32()))
                     yield pa.RecordBatch.from_arrays([part.column("text_hash"), vectors], ["text_hash", "vector"])
 
-        ordered = terms.select("text_hash", "normalized").repartitionByRange(F.length("normalized")).sortWithinPartitions(F.length("normalized"))
+        ordered = terms.select("text_hash", "normalized").repartitionByRange(F.length("normalized"), F.xxhash64("text_hash")).sortWithinPartitions(F.length("normalized"))
         return ordered.mapInArrow(run, "text_hash string, vector array<float>")

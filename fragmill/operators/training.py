@@ -37,6 +37,10 @@ def global_df(fragments: DataFrame) -> DataFrame:
 def token_lift(fragments: DataFrame, members: DataFrame, tags: DataFrame | None = None, p: Attribution = Attribution()) -> DataFrame:
     """(tag, token, lift): how much more frequent a token is among a tag's members than in all fragments.  The words of a
     tag's own name and description have at least anchor_lift."""
+    return _lift(written(fragments.select("entity", "tokens"), "fragment-tokens"), members, tags, p)  # three parts of the plan read them
+
+
+def _lift(fragments: DataFrame, members: DataFrame, tags: DataFrame | None, p: Attribution) -> DataFrame:
     counts = global_df(fragments).where(F.col("gdf") >= p.min_global_df)
     total = fragments.agg(F.count("*").alias("total"))
     local = members.select("tag", "entity").distinct().join(fragments, "entity")
@@ -61,7 +65,7 @@ def attribute(fragments: DataFrame, members: DataFrame, tags: DataFrame | None =
     sizes = fragments.groupBy("entity").agg(F.count("*").alias("k"))
     facets = members.join(sizes, "entity")
     per_tag = facets.groupBy("tag").agg(F.count("*").alias("n"), F.count(F.when(F.col("k") > 1, 1)).alias("multis"))
-    lift = token_lift(fragments, members, tags, p)
+    lift = _lift(fragments, members, tags, p)
     exploded = own.select("tag", "entity", "fragment", F.explode_outer("tokens").alias("token"))
     scored = exploded.join(lift, ["tag", "token"], "left").groupBy("tag", "entity", "fragment").agg(F.avg(F.coalesce("lift", F.lit(p.unknown_lift))).alias("score"))
     w = Window.partitionBy("tag", "entity").orderBy(F.desc("score"), "fragment")
@@ -88,10 +92,15 @@ def co_tags(members: DataFrame, sample: int = 200, min_overlap: int = 3, most: i
 
 
 def hard_negatives(members: DataFrame, cap: int = 2000, **options: int) -> DataFrame:
-    """(tag, entity, pool_pos): members of associated tags that aren't members of the tag, the strongest association first."""
-    members = written(members.select("tag", "entity", "pos"), "members")
+    """(tag, entity, pool_pos): members of associated tags that aren't members of the tag, the strongest association first.
+
+    Of each associated tag only the first cap candidates are shuffled on: behind them none can be among the tag's first cap, as
+    those before it have the same tag and an earlier place or a smaller id.  A member listed twice counts at its first place."""
+    members = written(members.groupBy("tag", "entity").agg(F.min("pos").alias("pos")), "members")
     near = written(co_tags(members, **options), "co-tags")  # a few rows for each tag: Spark sees how large they are
     pool = near.join(members.select(F.col("tag").alias("other"), "entity", "pos"), "other").join(members.select("tag", "entity"), ["tag", "entity"], "left_anti")
+    nearest = Window.partitionBy("tag", "other").orderBy("pos", "entity")
+    pool = pool.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= cap)
     first = pool.groupBy("tag", "entity").agg(F.min(F.struct("place", "pos")).alias("at"))
     # by the parts of the struct, which sort faster than it
     place = F.row_number().over(Window.partitionBy("tag").orderBy("at.place", "at.pos", "entity"))

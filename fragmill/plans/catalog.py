@@ -176,14 +176,17 @@ def page_has_more(spark: SparkSession, sf_dir: str) -> DataFrame:
 # filters
 
 
-@query("SELECT p_partkey FROM part WHERE len(list_intersect(string_split(p_type, ' '), ['BRASS', 'STEEL'])) > 0")
+@query("SELECT p_partkey FROM part WHERE len(list_intersect(string_split(p_name || ' ' || p_type, ' '), ['LARGE', 'ring', 'blue'])) > 0")
 def filter_category_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(filters.any_category(F.split("p_type", " "), ["BRASS", "STEEL"])).select("p_partkey")
+    words = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
+    return table(spark, sf_dir, "part").where(filters.any_category(words, ["LARGE", "ring", "blue"])).select("p_partkey")
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size <= 20")
+@query("SELECT p_partkey, p_size, CASE WHEN p_size % 3 > 0 THEN p_size END AS size FROM part WHERE p_size >= 10 AND p_size <= 20 AND p_size % 3 > 0")
 def filter_range_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(filters.in_range(F.col("p_size"), 10, 20)).select("p_partkey", "p_size")
+    """A third of the sizes are null, within the range and out of it."""
+    rows = table(spark, sf_dir, "part").withColumn("size", F.when(F.col("p_size") % 3 > 0, F.col("p_size")))
+    return rows.where(filters.in_range(F.col("size"), 10, 20)).select("p_partkey", "p_size", "size")
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE coalesce(p_brand, '') IN ('Brand#11', 'Brand#23', 'Brand#5')")
@@ -539,17 +542,6 @@ def sitemap_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.agg(F.array_join(entries, "\n").alias("sitemap"), F.count("*").alias("n"))
 
 
-# the encoder has no SQL here: hashing_encoder_lines has, and a test
-
-
-@query(None)
-def hashing_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.encode import HashingEncoder
-
-    terms = table(spark, sf_dir, "part").select(F.sha2("p_name", 256).alias("text_hash"), F.col("p_name").alias("normalized")).dropDuplicates(["text_hash"])
-    return HashingEncoder(64).encode(terms)
-
-
 @query(
     """WITH f AS (SELECT p_partkey, generate_subscripts([1, 2, 3, 4], 1) - 1 AS ix, unnest([('{T}: Add {G}{G}. Put +1/+1 on ' || p_name, 'tap this card: Add two green mana. Put plus one strength and plus one toughness on ' || p_name || '.', false),
 ('Flying', 'Flying.', true), ('vigilance', 'vigilance.', true), (p_type, p_type || '.', false)]) AS r FROM part)

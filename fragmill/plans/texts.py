@@ -379,22 +379,33 @@ def array_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT]), lambda d, z: xor(d >> 1, 3988292384::UBIGINT * (d & 1)))), 4294967295::UBIGINT)"
 
 
-@query(
-    T
-    + f""", u AS (SELECT text_hash, any_value(line) AS line FROM l GROUP BY text_hash),
-w AS (SELECT text_hash, unnest(regexp_extract_all(lower(line), '[a-z]+')) AS w FROM u),
-k AS MATERIALIZED (SELECT w, {CRC.format("w")} % 512 AS slot FROM (SELECT DISTINCT w FROM w)),
+def bag_sql(dimension: int) -> str:
+    """Filled places and weighted sum of the bag-of-words vectors of u (text_hash, line)."""
+    return f"""w AS (SELECT text_hash, unnest(regexp_extract_all(lower(line), '[a-z]+')) AS w FROM u),
+k AS MATERIALIZED (SELECT w, {CRC.format("w")} % {dimension} AS slot FROM (SELECT DISTINCT w FROM w)),
 c AS (SELECT text_hash, slot, count(*) AS n FROM w JOIN k USING (w) GROUP BY text_hash, slot),
 v AS (SELECT text_hash, count(*) AS filled, sqrt(sum(n * n)) AS norm FROM c GROUP BY text_hash),
 s AS (SELECT text_hash, sum((slot + 1) * (n / norm)::FLOAT::DOUBLE) AS s FROM c JOIN v USING (text_hash) GROUP BY text_hash)
 SELECT u.text_hash, coalesce(filled, 0)::BIGINT AS filled, round(coalesce(s, 0), 2) AS weighted FROM u LEFT JOIN v USING (text_hash) LEFT JOIN s USING (text_hash)"""
-)
-def hashing_encoder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bag-of-words vectors of all distinct lines in the default dimension, as the number of filled places and a weighted sum."""
-    terms = frag.terms(lines(spark, sf_dir).select("text_hash", F.col("line").alias("normalized")))
+
+
+def bags(encoded: DataFrame) -> DataFrame:
     places = F.transform("vector", lambda x, k: (k + 1) * x.cast("double"))
     filled = F.size(F.filter("vector", lambda x: x > 0)).cast("bigint")
-    return HashingEncoder().encode(terms).select("text_hash", filled.alias("filled"), F.round(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), 2).alias("weighted"))
+    return encoded.select("text_hash", filled.alias("filled"), F.round(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), 2).alias("weighted"))
+
+
+@query(T + ", u AS (SELECT text_hash, any_value(line) AS line FROM l GROUP BY text_hash), " + bag_sql(512))
+def hashing_encoder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bag-of-words vectors of all distinct lines in the default dimension, as the number of filled places and a weighted sum."""
+    return bags(HashingEncoder().encode(frag.terms(lines(spark, sf_dir).select("text_hash", F.col("line").alias("normalized")))))
+
+
+@query("WITH u AS (SELECT DISTINCT sha256(p_name) AS text_hash, p_name AS line FROM part), " + bag_sql(64))
+def hashing_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for part names in 64 dimensions."""
+    names = table(spark, sf_dir, "part").select(F.sha2("p_name", 256).alias("text_hash"), F.col("p_name").alias("normalized"))
+    return bags(HashingEncoder(64).encode(frag.terms(names)))
 
 
 @query(

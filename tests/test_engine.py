@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -134,6 +135,16 @@ def test_attribution_and_negatives(spark: SparkSession) -> None:
     assert pool == ["i5", "i6", "i7", "i8"]
 
 
+def test_a_small_pool_is_the_start_of_the_whole_pool(spark: SparkSession) -> None:
+    rng = np.random.default_rng(5)
+    rows = [(f"t{t}", f"e{e}", int(p)) for t in range(8) for p, e in enumerate(rng.permutation(60)[: 20 + t])]
+    rows += [("t1", e, p + 100) for _, e, p in rows[:15]] + rows[:30]  # members listed twice
+    members = spark.createDataFrame(rows, "tag string, entity string, pos int")
+    whole = {(r["tag"], r["pool_pos"]): r["entity"] for r in training.hard_negatives(members).collect()}
+    few = {(r["tag"], r["pool_pos"]): r["entity"] for r in training.hard_negatives(members, cap=7).collect()}
+    assert few == {k: v for k, v in whole.items() if k[1] <= 7} and len(few) == 56 and len(whole) > 100
+
+
 def test_pairs_and_triplets(spark: SparkSession) -> None:
     picks = spark.createDataFrame([("t", f"e{k}", f"text {k % 7}", k) for k in range(20)], "tag string, entity string, text string, n int")
     pairs = training.tag_pairs(picks, "n", "salt").collect()
