@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .shared import by_bytes
+from .token_memo import forget
 
 WINDOW, WIDTHS, FILTERS, DIMENSION = 256, (2, 3, 4), 12, 16
 UNKNOWN = "und"
@@ -122,11 +123,11 @@ class ByteCnn:
         return np.ascontiguousarray(ahead), np.ascontiguousarray(beyond)
 
     def probabilities(self, windows: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Label probabilities of each window, 256 windows at a time."""
+        """Label probabilities of each window, 64 windows at a time."""
         ahead, beyond = tables
         out = np.empty((len(windows), len(self.labels)), dtype=np.float32)
-        for at in range(0, len(windows), 256):
-            x = windows[at : at + 256].astype(np.intp)
+        for at in range(0, len(windows), 64):
+            x = windows[at : at + 64].astype(np.intp)
             pairs = x[:, :-1] * 256 + x[:, 1:]
             n = WINDOW - 3
             response = ahead[pairs[:, :n]]
@@ -136,7 +137,7 @@ class ByteCnn:
             pooled[:, :FILTERS] = np.maximum(pooled[:, :FILTERS], ahead[pairs[:, n:]][:, :, :FILTERS].max(1))
             last = ahead[pairs[:, n]][:, FILTERS : 2 * FILTERS] + beyond[x[:, -1] * 256][:, :FILTERS]
             pooled[:, FILTERS : 2 * FILTERS] = np.maximum(pooled[:, FILTERS : 2 * FILTERS], last)
-            out[at : at + 256] = _softmax(np.maximum(pooled, 0) @ self.dense + self.bias)
+            out[at : at + 64] = _softmax(np.maximum(pooled, 0) @ self.dense + self.bias)
         return out
 
 
@@ -167,16 +168,19 @@ def train(samples: dict[str, list[str]], seed: int = 7) -> ByteCnn | None:
 
 def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     """docs with lang_pred and score."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = StructType([*(docs.schema[c] for c in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).otherwise("") if model else F.lit("")
+    flag = "_letters"  # beside the text, which is sent to the workers only once
+    while flag in kept:
+        flag += "_"
     weights = docs.sparkSession.sparkContext.broadcast(model)  # some 60 KB, set by the network's shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a worker that has encoded before would hold what it remembers beside the windows
         net = weights.value
         tables = net.tables() if net else None
-        for batch in by_bytes(batches, "_text"):
-            texts = [t.encode() for t in batch.column("_text").to_pylist()]
+        for batch in by_bytes(batches, "text"):
+            texts = [t.encode() if letters else b"" for t, letters in zip(batch.column("text").to_pylist(), batch.column(flag).to_pylist(), strict=True)]
             labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if net:
                 windows, owner, real = cut_windows(texts)
@@ -190,7 +194,7 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
             columns = [*(batch.column(c) for c in kept), pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
 
-    return docs.select(*kept, text.alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col("text").rlike(r"\p{L}").alias(flag)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, max_docs_per_label: int = 1000) -> DataFrame:

@@ -205,3 +205,9 @@ def word_library(path: str) -> ChunkEncoder:
         return out
 
     return ChunkEncoder(cut_words, str, word_pieces, many, whole)
+
+
+def forget() -> None:
+    """Frees the encoders and what they remember, which a reused worker would hold while it does other work."""
+    byte_level_library.cache_clear()
+    word_library.cache_clear()
