@@ -23,6 +23,19 @@ def metrics(ranked: DataFrame, gold: DataFrame, query: str = "query_id", entity:
     """query, mrr, p_at_10, recall_at_100 from rankings (query, entity, rank) and gold pairs (query, entity)."""
     sizes = gold.groupBy(query).agg(F.count("*").alias("n_gold"))
     hits = ranked.join(gold.select(query, entity, F.lit(True).alias("_hit")), [query, entity], "left")
+    return _figures(sizes, hits, query)
+
+
+def metrics_by_group(ranked: DataFrame, asked: DataFrame, members: DataFrame, query: str = "query_id", entity: str = "entity_id", group: str = "group") -> DataFrame:
+    """metrics where queries share their gold: asked (query, group) says whose, and members (group, entity) what it is.  The pairs of
+    queries and gold entities, which are as many as the square of a group, are never made."""
+    members = members.select(group, entity).distinct()
+    sizes = asked.join(members.groupBy(group).agg(F.count("*").alias("n_gold")), group).select(query, "n_gold")
+    hits = ranked.join(asked.select(query, group), query, "left").join(members.withColumn("_hit", F.lit(True)), [group, entity], "left")
+    return _figures(sizes, hits, query)
+
+
+def _figures(sizes: DataFrame, hits: DataFrame, query: str) -> DataFrame:
     found = hits.groupBy(query).agg(
         F.min(F.when(F.col("_hit"), F.col("rank"))).alias("first"),
         F.count(F.when(F.col("_hit") & (F.col("rank") <= 10), 1)).alias("in_10"),
