@@ -20,21 +20,26 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Bag of words: counts of crc32(token) modulo the dimension, of unit length; native expressions only."""
+    """Bag of words: counts of crc32(token) modulo the dimension, of unit length; native expressions only, of terms that are distinct."""
 
     def __init__(self, dimension: int = 512):
         self.name, self.dimension = f"hashing-{dimension}", dimension
 
     def encode(self, terms: DataFrame) -> DataFrame:
-        tokens = F.regexp_extract_all(F.lower("normalized"), F.lit("[a-z]+"), F.lit(0))
-        slots = terms.select("text_hash", F.explode_outer(F.transform(tokens, lambda t: F.crc32(t.cast("binary")) % self.dimension)).alias("slot"))
-        counts = slots.groupBy("text_hash", "slot").agg(F.count("slot").alias("n"))
-        maps = counts.groupBy("text_hash").agg(
-            F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")
-        )
-        norm = F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
-        dense = F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda k: (F.coalesce(F.try_element_at("m", k.cast("bigint")), F.lit(0)) / norm).cast("float"))
-        return maps.select("text_hash", dense.alias("vector"))
+        """Each row by itself, without a shuffle: a text's slots are sorted, and the length of a run is the count of its slot."""
+        tokens = F.coalesce(F.regexp_extract_all(F.lower("normalized"), F.lit("[a-z]+"), F.lit(0)), F.array().cast("array<string>"))
+        slots = F.array_sort(F.transform(tokens, lambda t: F.crc32(t.cast("binary")) % self.dimension))
+
+        def counts(s: Column) -> Column:
+            ends = F.filter(F.transform(s, lambda x, k: F.when((k + 1 == F.size(s)) | (F.get(s, k + 1) != x), k)), lambda k: k.isNotNull())
+            return let(ends, lambda e: F.map_from_arrays(F.transform(e, lambda k: F.get(s, k)), F.transform(e, lambda k, j: (k - F.when(j > 0, F.get(e, j - 1)).otherwise(-1)).cast("bigint"))))
+
+        def dense(m: Column) -> Column:
+            total = F.sqrt(F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda a, n: a + n * n))
+            norm = F.when(total > 0, total).otherwise(1.0)
+            return let(norm, lambda z: F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda k: (F.coalesce(F.try_element_at(m, k.cast("bigint")), F.lit(0)) / z).cast("float")))
+
+        return terms.select("text_hash", let(let(slots, counts), dense).alias("vector"))
 
 
 def mean_pool(tokens: Column, mask: Column) -> Column:
