@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def with_idf(instances: DataFrame, term: str = "term") -> DataFrame:
-    """instances with df and idf = ln(1 + N / df) of their term, over all instances, placeholders included."""
-    return instances.join(idf(instances, term), term)
+    """instances with df and idf = ln(1 + N / df) of their term, over all instances, placeholders included.
+
+    A merge join, as Spark may else take instances for small by their compressed size and send them all through the driver."""
+    return instances.join(idf(instances, term).hint("merge"), term)
 
 
 def idf(instances: DataFrame, term: str = "term") -> DataFrame:

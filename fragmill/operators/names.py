@@ -70,4 +70,4 @@ class NameIndex:
         rows = self.postings.where(F.col("gram").isin(chosen))
         if len(chosen) > 1:
             rows = rows.groupBy(*self.keys).agg(F.count("*").alias("_n")).where(F.col("_n") == len(chosen))
-        return names.join(rows.select(*self.keys), list(self.keys), "left_semi")
+        return names.join(rows.select(*self.keys).hint("merge"), list(self.keys), "left_semi")

@@ -82,8 +82,8 @@ def score_distinct(instances: DataFrame, vectors: DataFrame, seed: Seed, keys: S
 
     Tables that are bucketed by the same key join without a shuffle; alive (keys) leaves out facets after that, on the keys by
     which they are then aggregated, so that the narrow rows are dealt out once."""
-    rows = instances.select(by, *keys, "fragment_ix", "idf", "text").join(similarities(vectors, seed, by, counted), by)
-    rows = rows if alive is None else rows.join(alive.select(*keys), list(keys), "left_semi")
+    rows = instances.select(by, *keys, "fragment_ix", "idf", "text").join(similarities(vectors, seed, by, counted).hint("merge"), by)
+    rows = rows if alive is None else rows.join(alive.select(*keys).hint("merge"), list(keys), "left_semi")
     return score_facets(rows, seed, keys, **bounds)
 
 

@@ -69,7 +69,8 @@ class Engine:
         self.keywords, self.templates, self.entities = frozenset(keywords), templates or {}, entities
         own = entities.select("entity_id", "record_id", F.col("name").alias("entity_name"), "layout", "rank", "rarity", "legalities", "border_color", "set_code", "identity", F.col("cmc").alias("cmc"))
         masks = {"identity_mask": bit_set(F.split(F.coalesce("identity", F.lit("")), ""), request.COLORS), "color_mask": bit_set(F.col("colors"), request.COLORS)}
-        self.facets = facets.join(own, "entity_id").withColumns(masks).withColumn("image_side", image_side(F.col("layout"), F.col("facet_ix")))
+        # tables of the corpus meet by merge joins: a compressed size can look small enough to be sent through the driver
+        self.facets = facets.join(own.hint("merge"), "entity_id").withColumns(masks).withColumn("image_side", image_side(F.col("layout"), F.col("facet_ix")))
 
     @classmethod
     def of_snapshot(cls, store: SnapshotStore, encoder: Encoder, keywords: Iterable[str] = (), templates: Mapping[str, str] | None = None, snapshot: str | None = None, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> Engine:
@@ -93,7 +94,7 @@ class Engine:
             scored = score_distinct(self.instances, self.vectors, seed, KEYS, alive=alive)
         else:
             scored = score(self.instances.join(alive.select(*KEYS), KEYS, "left_semi"), seed, KEYS)
-        hits = top_hits(scored.join(alive, KEYS), KEYS, limit, offset)
+        hits = top_hits(scored.join(alive.hint("merge"), KEYS), KEYS, limit, offset)
         return hits.select(*(c for c in HIT_COLUMNS if c not in ("similarity", "matched")), F.round("score", 6).alias("similarity"), F.col("display").alias("matched")).select(*HIT_COLUMNS)
 
     def search(self, query: str, wanted: request.Filters | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
