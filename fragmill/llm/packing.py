@@ -4,8 +4,8 @@ Documents longer than a sequence are cut into pieces of the full length, the fir
 share a sequence is decided on the histogram of piece lengths, which has no more entries than a sequence has tokens whatever
 the corpus: equal bins are held as one pattern with a count.  A best-fit-decreasing start is improved by local search, which
 moves a piece, exchanges one for one or two for one from an underfull bin into a fuller one, always raising the sum of
-squared fills, until bins empty; it stops at a proven lower bound or when no such step is left.  Of a large corpus it searches the
-histogram's proportions, so its steps are bounded as well.  Spark then ranks the
+squared fills, until bins empty; it stops at a proven lower bound or when no such step is left.  It goes from the patterns of most
+bins down to single bins, so its steps hardly grow with the corpus and every bin is searched.  Spark then ranks the
 pieces of each length, in salted groups so that a length that many pieces share isn't one group, and a piece's rank says
 which sequence and offset it gets.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -117,71 +118,43 @@ def _bits(held: dict, free: int) -> tuple[int, int, int]:
     return one, two, swap
 
 
-#: So many underfull bins are searched at once, and so large a share of all may stay as best fit put it: fixed, so that a search takes
-#: as long for any corpus.
-SEARCHED, REST = 6_000, 0.01
-
-
-def scaled_search(bins: list[list], capacity: int, target: int, taken: list[int] | None = None, searched: int = SEARCHED) -> list[list]:
-    """local_search with a bounded number of steps for any number of bins.
-
-    Counts are divided so that about the searched number of underfull bins stands for all: what is found for one is done by all
-    that it stands for.  The remainders of that division, which shrink each time, are searched in the same way until at
-    most a hundredth of the bins is left.  Small counts are searched as they are, down to the target."""
-    done: list[list] = []
-    left, whole = bins, sum(n for n, _, _ in bins)
-    while True:
-        underfull = sum(n for n, _, free in left if free)
-        scale = underfull // searched
-        if scale <= 1:
-            done += local_search(left, capacity, max(0, target - sum(n for n, _, _ in done)), taken)
-        elif underfull > REST * whole or not done:
-            found = local_search([[n // scale, held, free] for n, held, free in left if n >= scale], capacity, 0, taken)
-            done += [[n * scale, held, free] for n, held, free in found]
-            left = [[n % scale, held, free] for n, held, free in left if n % scale]
-            continue
-        else:
-            done += left
-        break
-    counts: dict[tuple, int] = {}
-    for n, held, free in done:
-        key = (free, tuple(sorted(held.items())))
-        counts[key] = counts.get(key, 0) + n
-    return [[n, dict(held), free] for (free, held), n in sorted(counts.items(), key=lambda x: (-x[0][0], x[0][1]))]
-
-
 def local_search(bins: list[list], capacity: int, target: int, taken: list[int] | None = None) -> list[list]:
     """Improves bins by moves and exchanges between underfull bins until target bins are left or no step raises the sum of
     squared fills.
 
-    Equal bins are one pattern, and a step is taken by as many bins as both patterns have; unequal counts still make steps grow
-    with them, so many bins go through scaled_search.  Two patterns between which there is no step are looked at once.  taken
-    gets the number of steps."""
-    steps = 0
+    Equal bins are one pattern, and a step is taken by as many bins as both patterns have, so it uses up one of them.  The search
+    goes down in levels: first between patterns of at least so many bins as the largest power of two among the counts, then of
+    half as many, down to single bins.  So no large pattern is used up by many small ones, and the steps follow the number of
+    patterns and, slowly, the digits of the counts.  Two patterns between which there is no step are looked at once.  taken gets
+    the number of steps."""
     counts: dict[tuple, int] = {}
-    order: list[tuple] = []  # underfull patterns (-free, contents), the emptiest first
-    born: list[tuple] = []
-    seen: dict[tuple, int] = {}  # how much of born was looked at in vain
+    order: list[tuple] = []  # underfull patterns (-free, contents) of the level, the emptiest first
+    born: dict[tuple, int] = {}  # the same, by when they came to be of the level
+    seen: dict[tuple, int] = {}  # until when those born were looked at in vain
     bits: dict[tuple, tuple[int, int, int]] = {}
+    unit, births, steps = 1 << max((n for n, _, free in bins if free), default=1).bit_length() - 1, 0, 0
 
     def add(key: tuple, n: int) -> None:
-        if key not in counts:
-            counts[key] = 0
-            if key[0]:
-                insort(order, key)
-                born.append(key)
-                bits.setdefault(key, _bits(dict(key[1]), -key[0]))
-        counts[key] += n
+        nonlocal births
+        counts[key] = counts.get(key, 0) + n
+        if key[0] and key not in born and counts[key] >= unit:
+            births += 1
+            born[key] = births
+            insort(order, key)
+            if key not in bits:
+                bits[key] = _bits(dict(key[1]), -key[0])
+        elif key in born and counts[key] < unit:
+            del born[key]
+            order.pop(bisect_left(order, key))
         if not counts[key]:
             del counts[key]
-            if key[0]:
-                order.pop(bisect_left(order, key))
 
     def partner(key: tuple) -> tuple | None:
         """The emptiest pattern, no emptier than key, that takes a step with it."""
         one, two, _ = bits[key]
         if key in seen:
-            others = sorted(k for k in set(born[seen[key] :]) if k in counts and k[0] >= key[0])
+            new = takewhile(lambda k: born[k] > seen[key], reversed(born))
+            others = sorted(k for k in new if k[0] >= key[0])
         else:
             others = order[bisect_left(order, (key[0],)) :]
         for k in others:
@@ -189,19 +162,19 @@ def local_search(bins: list[list], capacity: int, target: int, taken: list[int]
             if (one & ((2 << -k[0]) - 2) or two & bits[k][2]) and (k != key or counts[k] > 1):
                 return k
         if counts[key] > 1 or not (one & ((2 << -key[0]) - 2) or two & bits[key][2]):
-            seen[key] = len(born)
+            seen[key] = births
         return None
 
     for n, held, free in bins:
         add((-free, tuple(sorted(held.items()))), n)
-    n_bins, improved = sum(counts.values()), True
-    while improved and n_bins > target:
+    n_bins = sum(counts.values())
+    while unit and n_bins > target:
         improved = False
-        for first in list(order):
+        for first in reversed(order.copy()):
             work = [first]
             while work and n_bins > target:
                 key = work[-1]
-                if key not in counts or not (other := partner(key)):
+                if key not in born or not (other := partner(key)):
                     work.pop()
                     continue
                 give, get = _step([1, dict(key[1]), -key[0]], dict(other[1]), -other[0], capacity)
@@ -217,11 +190,19 @@ def local_search(bins: list[list], capacity: int, target: int, taken: list[int]
                 else:
                     n_bins -= n
                 improved = True
+        if not improved:
+            unit //= 2
+            for key in [k for k, n in counts.items() if n >= unit]:
+                add(key, 0)
     if taken is not None:
         taken.append(steps)
     return [[n, dict(held), -free] for (free, held), n in sorted(counts.items())]
 
 
+#: The search is the same for corpora of every size.
+scaled_search = local_search
+
+
 def _changed(held: dict, out: tuple, into: tuple) -> dict:
     new = dict(held)
     for x in out:
@@ -253,7 +234,7 @@ def plan_runs(counts: np.ndarray, capacity: int) -> np.ndarray:
     """Rows (length, first rank, first sequence, pieces in a sequence, offset): the pieces of a length, by rank, fill the
     sequences from the first one on, so many in each, from the offset."""
     target = lower_bound(counts, capacity)
-    bins = scaled_search(best_fit(counts, capacity), capacity, target)
+    bins = local_search(best_fit(counts, capacity), capacity, target)
     ranks, sequence, runs = np.zeros(capacity + 1, dtype=np.int64), 0, []
     for n, held, _ in bins:
         offset = 0

@@ -240,3 +240,23 @@ def test_the_plan_does_not_grow_with_the_corpus(real_lengths: np.ndarray) -> Non
     one = np.zeros(1025, dtype=np.int64)
     one[342] = 1_000_000
     assert len(packing.plan_runs(one, 1024)) <= 4
+
+
+def test_no_sequence_of_a_large_corpus_is_left_unsearched() -> None:
+    """The plan of 2 million pieces, as that of 2,000: a second search finds no step between any two sequences."""
+    rng = np.random.default_rng(6)
+    counts = np.bincount(rng.integers(250, 520, 2000), minlength=1025)
+    for times in (1, 1000):
+        many = counts * times + rng.integers(0, times, 1025) * (counts > 0)
+        runs = packing.plan_runs(many, 1024).tolist()
+        held: dict[int, dict[int, int]] = {}
+        for length, _, sequence, each, _ in runs:
+            held.setdefault(sequence, {})[length] = each
+        starts = sorted(held)
+        length, rank, _, each, _ = max((r for r in runs if r[2] == starts[-1]), key=lambda r: r[1])
+        ends = [*starts[1:], starts[-1] + (int(many[length]) - rank) // each]
+        bins = [[b - a, held[a], 1024 - sum(x * y for x, y in held[a].items())] for a, b in zip(starts, ends, strict=True)]
+        assert sum(n * x * y for n, h, _ in bins for x, y in h.items()) == (many * np.arange(1025)).sum()
+        taken: list[int] = []
+        packing.local_search(bins, 1024, packing.lower_bound(many, 1024), taken)
+        assert taken == [0]
