@@ -107,8 +107,8 @@ def symbol_words(run: Column, phrase: Column) -> Column:
             .otherwise(F.concat(g["phrase"], F.lit(" "), n, F.lit(" times")))
         )
 
-    joined = F.array_join(F.transform(groups, words), " and ")
-    return F.when(F.size(groups) > 0, F.concat(F.lit(" "), joined, F.lit(" "))).otherwise(" ")
+    # groups are computed once
+    return let(groups, lambda found: F.when(F.size(found) > 0, F.concat(F.lit(" "), F.array_join(F.transform(found, words), " and "), F.lit(" "))).otherwise(" "))
 
 
 def strength_words(match: Column) -> Column:
@@ -159,9 +159,9 @@ def punctuation(text: Column) -> Column:
     return collapse_spaces(F.regexp_replace(closed, r"([.,/+\-:])\s*\1+", "$1"))
 
 
-def normalize(text: Column, name: Column, type_line: Column, keep_reminders: bool = False) -> Column:
-    """The whole pipeline; null, empty and vanished texts are EMPTY."""
-    phrase = self_reference(type_line)
+def normalize(text: Column, name: Column, type_line: Column, keep_reminders: bool = False, phrase: Column | None = None) -> Column:
+    """The whole pipeline; null, empty and vanished texts are EMPTY.  The phrase is the self-reference of the type line if not given."""
+    phrase = self_reference(type_line) if phrase is None else phrase
     steps = [
         lambda t: reminders(t, type_line, keep_reminders),
         lambda t: own_name(t, name, phrase),

@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import bit_set, collapse_spaces, let
-from ..functions.normalize import EMPTY, normalize
+from ..functions.normalize import EMPTY, normalize, self_reference
 from ..functions.segment import sources
 from . import filters as request
 from .encode import Encoder
@@ -24,6 +24,7 @@ CATEGORY_CODES = {"c": "creature", "i": "instant", "s": "sorcery", "e": "enchant
 FORMAT_CODES = {"s": "standard", "p": "pioneer", "m": "modern", "l": "legacy", "v": "vintage", "c": "commander", "u": "pauper"}
 RARITY_CODES = {"c": "common", "u": "uncommon", "r": "rare", "m": "mythic"}
 QUERY_TYPE_LINES = ["Creature", "Land", "Artifact", "Planeswalker", "Enchantment", "Instant", ""]
+SELF_MARK = "qjqjq"  # letters of no word that normalization writes
 DOUBLE_SIDED = ["transform", "modal_dfc", "meld", "double_faced_token", "art_series"]
 ABILITY_WORD = r"(?m)^\s*([A-Za-z][A-Za-z' -]{1,40}?)\s+[—-]\s+"
 KEYS = ["entity_id", "facet_ix"]
@@ -35,12 +36,24 @@ def image_side(layout: Column, facet_ix: Column) -> Column:
     return F.when(layout.isin(DOUBLE_SIDED) & (facet_ix > 0), "back").otherwise("front")
 
 
+def variants(source: Column) -> Column:
+    """A fragment normalized under each of QUERY_TYPE_LINES.
+
+    These differ in the self-reference alone, so the fragment is normalized once with a mark in its place, which no step reads or makes;
+    only a fragment that has the mark's letters itself is normalized under each."""
+    mark, name = F.lit(SELF_MARK), F.lit("")
+    phrases = F.array(*(self_reference(F.lit(t)) for t in QUERY_TYPE_LINES))
+    once = let(normalize(source, name, name, phrase=mark), lambda n: F.transform(phrases, lambda p: F.replace(n, mark, p)))
+    each = F.transform(F.lit(QUERY_TYPE_LINES), lambda t: normalize(source, name, t))
+    # apostrophes are dropped and symbols lower-cased on the way
+    return F.when(F.lower(F.replace(source, F.lit("'"), F.lit(""))).contains(SELF_MARK), each).otherwise(once)
+
+
 def query_parts(query: Column, keywords: Iterable[str], templates: Mapping[str, str]) -> Column:
     """array<struct<display, variants>> of queries: the fragments whose plain variant isn't empty, the first of each list of
     variants."""
     pieces = sources(F.regexp_replace(query, r"\s*//\s*", "\n"), keywords, templates)
-    kinds = F.lit(QUERY_TYPE_LINES)
-    parts = F.transform(pieces, lambda s: F.struct(s["display"].alias("display"), F.array_distinct(F.transform(kinds, lambda t: normalize(s["source"], F.lit(""), t))).alias("variants")))
+    parts = F.transform(pieces, lambda s: F.struct(s["display"].alias("display"), F.array_distinct(variants(s["source"])).alias("variants")))
 
     def distinct(said: Column) -> Column:
         lists = F.transform(said, lambda p: p["variants"])

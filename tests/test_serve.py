@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
-from fragmill.operators import filters, records
+from fragmill.functions.normalize import normalize
+from fragmill.operators import filters, records, serve
 from fragmill.operators.encode import HashingEncoder
 from fragmill.operators.fragments import fragments, terms
 from fragmill.operators.index import with_idf, with_vectors
@@ -70,3 +71,19 @@ def test_recover(spark: SparkSession) -> None:
     pairs = spark.createDataFrame([("draw a card", "Draw.", 0), ("mana dork", "Tap.", 1), ("old tag", "Tap.", 2)], "anchor string, text string, pos int")
     triplets, anchors = spark.createDataFrame([("old tag",)], "anchor string"), spark.createDataFrame([("mana dork",)], "anchor string")
     assert [(r["text"], r["queries"]) for r in recover_queries(pairs, triplets, anchors, "m").collect()] == [("Draw.", ["draw a card"])]
+
+
+def test_a_query_fragment_is_normalized_once(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Under a mark, unless it has the mark's letters; the variants are those of each kind of object."""
+    texts = ["{T}: Add {G}.", "{q}, {T}, {T}: Draw 2 cards.", "flying", "qjqjq {T}: Add {G}.", "qj'qjq {T}", "{QJQJQ/P} {T}", "(gone)", "{T} 2/2 this creature", "", "+1: this land {T}{T}{T}"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    kinds = F.array(*(normalize(F.col("text"), F.lit(""), F.lit(t)) for t in serve.QUERY_TYPE_LINES))
+    got = rows.select("text", serve.variants(F.col("text")).alias("got"), kinds.alias("wanted")).collect()
+    assert all(r["got"] == r["wanted"] for r in got) and len(got) == len(texts)
+
+    def under_a_mark(text: Column, name: Column, type_line: Column, **mark: Column) -> Column:
+        return normalize(text, name, type_line, **mark) if mark else F.raise_error(F.lit("normalized under each kind")).cast("string")
+
+    monkeypatch.setattr(serve, "normalize", under_a_mark)
+    once = rows.where("text in ('{T}: Add {G}.', 'flying')").select(serve.query_parts(F.col("text"), KEYWORDS, {}).alias("parts")).collect()
+    assert sorted(len(r["parts"][0]["variants"]) for r in once) == [1, 7]
