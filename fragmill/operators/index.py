@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+#: So many parts the rows of one key are cut into.
+SALTS = 64
+
 
 def with_idf(instances: DataFrame, term: str = "term") -> DataFrame:
     """instances with df and idf = ln(1 + N / df) of their term, over all instances, placeholders included.
 
     A merge join, as Spark may else take instances for small by their compressed size and send them all through the driver."""
-    return instances.join(idf(instances, term).hint("merge"), term)
+    return share(instances, idf(instances, term), term)
+
+
+def share(rows: DataFrame, shared: DataFrame, by: str) -> DataFrame:
+    """rows with the columns of shared, which has one row a key; one key may have most of rows.
+
+    The rows of a key are dealt to SALTS tasks by their hash, and what they share is sent to those that have some of them.  The rows
+    are read twice."""
+    own = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]  # a map has no hash
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(SALTS)))
+    met = dealt.select(by, "_salt").distinct().join(shared.hint("merge"), by)
+    return dealt.join(met.hint("merge"), [by, "_salt"]).drop("_salt")
 
 
 def idf(instances: DataFrame, term: str = "term") -> DataFrame:

@@ -80,9 +80,10 @@ def score_distinct(instances: DataFrame, vectors: DataFrame, seed: Seed, keys: S
     """The same in two steps, where instances share vectors: each distinct vector is compared once, and what is joined to its
     instances are a few numbers instead of the vector.
 
-    Tables that are bucketed by the same key join without a shuffle; alive (keys) leaves out facets after that, on the keys by
+    Tables that are bucketed by the same key join without a shuffle.  The distinct vectors' numbers are hashed and the instances stream
+    past them, so that those of one text, however many, are never sorted in a task's memory; alive (keys) leaves out facets after that, on the keys by
     which they are then aggregated, so that the narrow rows are dealt out once."""
-    rows = instances.select(by, *keys, "fragment_ix", "idf", "text").join(similarities(vectors, seed, by, counted).hint("merge"), by)
+    rows = instances.select(by, *keys, "fragment_ix", "idf", "text").join(similarities(vectors, seed, by, counted).hint("shuffle_hash"), by)
     rows = rows if alive is None else rows.join(alive.select(*keys).hint("merge"), list(keys), "left_semi")
     return score_facets(rows, seed, keys, **bounds)
 

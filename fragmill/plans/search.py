@@ -33,7 +33,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         "entity_id", F.lit(0).alias("facet_ix"), F.col("p_brand").alias("name"), F.lit("").alias("type_line"), "text", records.type_categories(F.lit("")).alias("categories"),
         null("array<string>").alias("colors"), *(null("string").alias(c) for c in ("mana_cost", "power", "toughness")),
     )
-    return own, faces, written(with_idf(fragments(faces, KEYWORDS, TEMPLATES), "text_hash"), "instances")
+    built = written(fragments(faces, KEYWORDS, TEMPLATES), "fragments")  # normalized once
+    return own, faces, written(with_idf(built, "text_hash"), "instances")
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
