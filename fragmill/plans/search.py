@@ -119,9 +119,13 @@ def name_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: About so many rows of the fragments lie in a bucket, so that there are more of them as the corpus grows.
+BUCKET_ROWS = 100_000
+
+
 def _published(spark: SparkSession, sf_dir: str) -> SnapshotStore:
-    store = SnapshotStore(spark, new_path(spark, "snapshots"))
     own, faces, instances = corpus(spark, sf_dir)
+    store = SnapshotStore(spark, new_path(spark, "snapshots"), buckets=max(8, -(-instances.count() // BUCKET_ROWS)))
     index = NameIndex.of(faces, ["entity_id", "facet_ix"])
     store.publish({"entities": own, "facets": faces, "fragments": instances, "name_grams": index.postings, "name_counts": index.counts}, terms(instances), HashingEncoder(), "v1", datetime(2024, 1, 1, tzinfo=UTC))
     return store
@@ -131,8 +135,9 @@ def _published(spark: SparkSession, sf_dir: str) -> SnapshotStore:
 def snapshot_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments with their vectors from a snapshot, whose tables lie in the same buckets: the places that a vector fills."""
     store = _published(spark, sf_dir)
-    rows = store.table("fragments").join(store.table("vectors"), "text_hash")
-    return rows.select("entity_id", "fragment_ix", F.size(F.filter("vector", lambda x: x > 0)).cast("bigint").alias("filled"))
+    filled = store.table("vectors").select("text_hash", F.size(F.filter("vector", lambda x: x > 0)).cast("bigint").alias("filled"))
+    # a bucket's distinct texts are hashed, and its fragments stream past them unsorted: one text can have most of them
+    return store.table("fragments").join(filled.hint("shuffle_hash"), "text_hash").select("entity_id", "fragment_ix", "filled")
 
 
 @query("SELECT 'p' || p_partkey AS entity_id, 0 AS facet_ix, p_brand AS name, p_size::DOUBLE AS cmc FROM part WHERE p_partkey IN (6, 77, 101)")

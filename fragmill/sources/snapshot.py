@@ -12,7 +12,7 @@ import os
 from collections.abc import Mapping
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.encode import Encoder
 from ..operators.index import all_vectors, new_terms
@@ -25,7 +25,7 @@ LAYOUT = "layout.json"
 
 class SnapshotStore:
     """Snapshots below a path of any file system that Spark reaches.  Keyed tables have as many buckets as given, which should
-    make a bucket of the largest table some hundred megabytes; row_group is the size of a part that a look-up reads or skips."""
+    make a bucket of the largest table some hundred megabytes on average; row_group is the size of a part that a look-up reads or skips."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 8, row_group: int = 8 << 20):
         self.spark, self.path, self.buckets, self.row_group = spark, path.rstrip("/"), buckets, row_group
@@ -135,8 +135,10 @@ class SnapshotStore:
         if not keys:
             df.write.mode("overwrite").parquet(path)
             return None
-        # one file a bucket: the shuffle deals rows as the buckets do
-        rows, known = df.repartition(self.buckets, keys[0]), _catalogued(path)
+        # a row a key: the shuffle deals rows as the buckets do; where a key can have many rows, a bucket is cut along the further keys,
+        # so that no task sorts all rows of a key or a bucket
+        bucket = F.pmod(F.hash(keys[0]), F.lit(self.buckets))
+        rows, known = df.repartitionByRange(self.buckets, bucket, *keys) if len(keys) > 1 else df.repartition(self.buckets, keys[0]), _catalogued(path)
         self.spark.sql(f"DROP TABLE IF EXISTS {known}")
         sink = rows.write.mode("overwrite").bucketBy(self.buckets, keys[0]).sortBy(*keys).option("path", path).option("parquet.block.size", self.row_group)
         sink.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").option(f"parquet.bloom.filter.expected.ndv#{keys[0]}", "100000").saveAsTable(known)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import SparkSession, functions as F
 
+from fragmill.operators.encode import HashingEncoder
 from fragmill.operators.fragments import fragments, terms
 from fragmill.operators.index import with_idf
 from fragmill.operators.score import Seed, score_distinct
+from fragmill.sources.snapshot import SnapshotStore
 
 
 def test_fragments_are_told_apart_in_their_row(spark: SparkSession) -> None:
@@ -46,3 +50,17 @@ def test_instances_of_a_text_stream_past_its_vector(spark: SparkSession) -> None
 def test_one_row_for_each_hash(spark: SparkSession) -> None:
     rows = spark.createDataFrame([("h", "x"), ("h", "x"), ("h", "y"), ("g", "z")], "text_hash string, normalized string")
     assert sorted(r["text_hash"] for r in terms(rows).collect()) == ["g", "h"]
+
+
+def test_a_text_of_most_fragments_is_cut_in_its_bucket(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    store = SnapshotStore(spark, str(tmp_path), buckets=4)
+    known = spark.createDataFrame([("hot", "draw"), ("x", "gain"), ("y", "win")], "text_hash string, normalized string")
+    held = F.when(F.col("id") < 3900, "hot").when(F.col("id") < 3950, "x").otherwise("y")
+    rows = spark.range(4000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("entity_id"), held.alias("text_hash"))
+    store.publish({"fragments": rows}, known, HashingEncoder(4), "v1", datetime(2024, 1, 1, tzinfo=UTC))
+    table = store.table("fragments")
+    files = [r["n"] for r in table.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(files) == 4000 and max(files) < 2000
+    joined = table.join(store.table("vectors").hint("shuffle_hash"), "text_hash")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 4000
+    assert table.where("text_hash = 'hot'").count() == 3900 and table.where("text_hash = 'y'").count() == 50
