@@ -36,3 +36,16 @@ def test_few_candidates_are_shuffled(spark: SparkSession) -> None:
     finally:
         training.written = real
     assert seen["candidates"].count() <= 16
+
+
+def test_all_members_of_a_tag_are_counted(spark: SparkSession) -> None:
+    """Tag late shares members of a only behind its first 200; a row listed twice counts twice for its own tag."""
+    rows = [("a", e, e) for e in range(300)] + [("a", 255, 300)] + [("late", e, e) for e in range(250, 261)] + [("late", 900, 900)] + [("early", e, e) for e in (*range(4), *range(500, 600))]
+    members = spark.createDataFrame(rows, "tag string, entity int, pos int")
+    held = {(t, e) for t, e, _ in rows}
+    wanted = {(t, o): sum(u == t and (o, e) in held for u, e, _ in rows) for t in ("a", "late", "early") for o in ("a", "late", "early") if o != t}
+    sizes = {t: sum(u == t for u, *_ in rows) for t in ("a", "late", "early")}
+    found = {(r["tag"], r["other"]): (r["n"], r["association"]) for r in training.co_tags(members).collect()}
+    assert found == {k: (n, n / sizes[k[1]]) for k, n in wanted.items() if n >= 3} and found["a", "late"][0] == 12
+    assert ("a", "late") not in {(r["tag"], r["other"]) for r in training.co_tags(members, sample=200).collect()}
+    assert training.hard_negatives(members).where("tag = 'a'").orderBy("pool_pos").first()["entity"] == 900
