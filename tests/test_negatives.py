@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from fragmill.operators import training
+from fragmill.operators.dataset import assemble
 
 
 def test_pools_are_whole_after_rounds(spark: SparkSession) -> None:
@@ -49,3 +50,12 @@ def test_all_members_of_a_tag_are_counted(spark: SparkSession) -> None:
     assert found == {k: (n, n / sizes[k[1]]) for k, n in wanted.items() if n >= 3} and found["a", "late"][0] == 12
     assert ("a", "late") not in {(r["tag"], r["other"]) for r in training.co_tags(members, sample=200).collect()}
     assert training.hard_negatives(members).where("tag = 'a'").orderBy("pool_pos").first()["entity"] == 900
+
+
+def test_a_training_set_counts_all_picks(spark: SparkSession) -> None:
+    """The negatives of tag a come from a tag that shares picks with it only behind the first 200."""
+    texts = spark.createDataFrame([(e, 0, f"h{e}", f"text {e}") for e in range(400)], "entity int, fragment int, text_hash string, text string")
+    members = spark.createDataFrame([("a", e, e) for e in range(300)] + [("far", e, e) for e in range(250, 270)] + [("far", 399, 399)], "tag string, entity int, pos int")
+    tags = spark.createDataFrame([("a", None), ("far", None)], "tag string, description string")
+    made = [assemble(texts, members, tags, co_tag_sample=n).triplets.where("tag = 'a'").select("negative").distinct().collect() for n in (None, 200)]
+    assert [r["negative"] for r in made[0]] == ["text 399"] and made[1] == []
