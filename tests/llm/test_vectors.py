@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import SparkSession, functions as F
 
+from fragmill.llm import projection_forest
 from fragmill.llm.projection_forest import Tree, near_duplicates, spill_of
 from fragmill.llm.threshold_topk import Block, exact_top_k
 
@@ -113,3 +117,44 @@ def test_recall_and_copies_do_not_depend_on_the_components(components: int) -> N
         met[np.intersect1d(first, second) // 1024] = True
     assert met.mean() >= 0.99 and copies / (5 * 10_000) <= 4
     assert spill_of(0.95, 64) == pytest.approx(0.03, abs=1e-4)
+
+
+def on_disk(spark: SparkSession) -> int:
+    """Bytes of the session's shuffle files and of its tables in the shared folder."""
+    folders = [d.getPath() for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    total = 0
+    for top in [*folders, spark.conf.get("spark.checkpoint.dir").removeprefix("file://")]:
+        for d, _, names in os.walk(top):
+            for name in names:
+                try:
+                    total += os.path.getsize(f"{d}/{name}")
+                except OSError:  # gone meanwhile
+                    pass
+    return total
+
+
+def test_disk_stays_in_proportion_to_the_vectors(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Copies for trees, spill and blocks aren't on disk all at once: 6,000 vectors, a third of them one dense group."""
+    monkeypatch.setattr(projection_forest, "LEAST_PASS", 0, raising=False)
+    monkeypatch.setattr(projection_forest, "BLOCK", 1024, raising=False)
+    monkeypatch.setattr(projection_forest, "GROUP_BYTES", 512 * 512, raising=False)  # a dense group is more than a task takes
+    rng, n = np.random.default_rng(8), 6_000
+    x = rng.normal(size=(n, 64))
+    x[: n // 3] = x[0] + 0.01 * rng.normal(size=(n // 3, 64))
+    x[n // 2 :: 50] = x[n // 2 - 1 : -1 : 50] * 2 + 0.2 * rng.normal(size=x[n // 2 :: 50].shape)
+    x = x[rng.permutation(n)].astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4).cache()
+    assert table.count() == n
+    before, peak, ended = on_disk(spark), [0], threading.Event()
+    watch = threading.Thread(target=lambda: [peak.__setitem__(0, max(peak[0], on_disk(spark))) for _ in iter(lambda: ended.wait(0.05), True)])
+    watch.start()
+    try:
+        rows = near_duplicates(table, trees=2, leaf_vectors=256).collect()
+    finally:
+        ended.set()
+        watch.join()
+        table.unpersist()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = np.concatenate([(unit[k : k + 1000] @ unit.T >= 0.95).sum(1) - 1 for k in range(0, n, 1000)])
+    assert links.max() == n // 3 - 1 and [r["n_links"] for r in sorted(rows)] == links.tolist()
+    assert peak[0] - before <= 4 * x.nbytes, (peak[0] - before) / x.nbytes
